@@ -177,7 +177,7 @@ def rnd(sql: str, cols: list[str]) -> str:
     """Round the named double columns of a query to ND decimals."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c}, {ND}) AS {c}" for c in cols)
+    rep = ", ".join(f"round({c} * CAST('1.0000000000001' AS DOUBLE), {ND}) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) q"
 
 
