@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattle.operators.timeseries import corrected_kurt, corrected_skew
-from wattle.session import checked_broadcast
 
 PROFILE_STATS = ("max", "mean", "std", "skew", "median", "q80", "q30", "kurt", "mad", "ptp")
 
@@ -68,7 +67,7 @@ def profile_full(df: DataFrame, keys: list[str], col: str, prefix: str | None =
 def mean_abs_dev(df: DataFrame, keys: list[str], col: str, name: str = "mad") -> DataFrame:
     """Mean absolute deviation from the group mean (two aggregates)."""
     means = df.groupBy(*keys).agg(F.avg(col).alias("__mu"))
-    j = df.select(*keys, col).join(checked_broadcast(means), keys, "inner")
+    j = df.select(*keys, col).join(means, keys, "inner")
     # NULL keys drop out in the equi join, as pandas' groupby drops NaN keys
     return j.groupBy(*keys).agg(F.avg(F.abs(F.col(col) - F.col("__mu"))).alias(name))
 

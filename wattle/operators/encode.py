@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattle.session import checked_broadcast
 
 
 def fit_label_encoder(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -24,7 +23,7 @@ def fit_label_encoder(df: DataFrame, col: str, out: str | None = None) -> DataFr
 
 def apply_label_encoder(df: DataFrame, mapping: DataFrame, col: str, replace: bool = True) -> DataFrame:
     code = [c for c in mapping.columns if c != col][0]
-    j = df.join(checked_broadcast(mapping), col, "left")
+    j = df.join(mapping, col, "left")
     if replace:
         return j.select(*[F.col(code).alias(col) if c == col else F.col(c) for c in df.columns])
     return j.select(*df.columns, code)
@@ -59,7 +58,7 @@ def apply_target_encoder(df: DataFrame, enc: DataFrame, prior: float, key: str,
                          out: str | None = None) -> DataFrame:
     """Unseen keys get the prior."""
     out = out or [c for c in enc.columns if c != key][0]
-    j = df.join(checked_broadcast(enc), key, "left")
+    j = df.join(enc, key, "left")
     return j.select(*df.columns, F.coalesce(F.col(out), F.lit(prior)).alias(out))
 
 
@@ -83,7 +82,7 @@ def target_encode_oof(df: DataFrame, key: str, target: str, fold: str, min_sampl
     stats = kf.join(k, key, "inner").select(
         key, fold, (F.col("__nk") - F.col("__nkf")).alias("__n"),
         (F.col("__sk") - F.col("__skf")).alias("__s"))
-    j = (df.join(checked_broadcast(stats), [key, fold], "left")
+    j = (df.join(stats, [key, fold], "left")
          .join(F.broadcast(fprior), fold, "left"))   # one row per fold: bounded by k
     n, prior = F.col("__n"), F.col("__prior")
     enc = F.when(n > 0, _smooth(n, F.col("__s") / n, prior, min_samples_leaf, smoothing)).otherwise(prior)

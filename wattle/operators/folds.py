@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.session import bounded_rows, checked_broadcast
+from wattle.session import bounded_rows
 from wattle.sources.positions import dense_position
 
 MAX_GROUPS = 1_000_000
@@ -40,7 +40,7 @@ def folds_stratified(df: DataFrame, k: int, label: str, order: str = "row_id",
     """Per-class contiguous folds (each class split into k runs in ``order``)."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     p = dense_position(df, order, "__pos", by=[label])
-    j = p.join(checked_broadcast(sizes), label, "left")
+    j = p.join(sizes, label, "left")
     return j.select(*df.columns, fold_of(F.col("__pos"), F.col("__n"), k).alias(name))
 
 

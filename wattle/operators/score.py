@@ -100,8 +100,7 @@ def oof_group_mean(df: DataFrame, keys: list[str], target: str, fold: str = "fol
     every fold (the SQL-checkable stand-in for out-of-fold model predictions)."""
     from pyspark.sql import Window
 
-    from wattle.session import checked_broadcast
-
+    
     kf = df.groupBy(*keys, fold).agg(F.count(target).alias("__nkf"), F.sum(target).alias("__skf"))
     k = kf.groupBy(*keys).agg(F.sum("__nkf").alias("__nk"), F.sum("__skf").alias("__sk"))
     stats = kf.join(k, keys, "inner").select(
@@ -111,6 +110,6 @@ def oof_group_mean(df: DataFrame, keys: list[str], target: str, fold: str = "fol
     allf = Window.partitionBy()                                   # k-row fold table
     fmean = f.select(fold, ((F.sum("__sf").over(allf) - F.col("__sf"))
                             / (F.sum("__nf").over(allf) - F.col("__nf"))).alias("__fm"))
-    j = df.join(checked_broadcast(stats), keys + [fold], "left").join(F.broadcast(fmean), fold, "left")
+    j = df.join(stats, keys + [fold], "left").join(F.broadcast(fmean), fold, "left")
     pred = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")).otherwise(F.col("__fm"))
     return j.select(*df.columns, pred.alias(name))

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattle.session import checked_broadcast
 
 
 def _hour():
@@ -68,7 +67,7 @@ def impute_group_mean(df: DataFrame, cols: list[str], site: str = "site_id",
     means = group_means(df, cols, site, ts).select(
         site, "__day", "__month", *[F.col(c).alias(f"__m_{c}") for c in cols])
     keyed = df.select("*", *_day_month(ts))
-    j = keyed.join(checked_broadcast(means), [site, "__day", "__month"], "left")
+    j = keyed.join(means, [site, "__day", "__month"], "left")
     return j.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
 
@@ -93,7 +92,7 @@ def ffill_group_means(means: DataFrame, cols: list[str], site: str = "site_id",
     w_prev = Window.orderBy(site).rowsBetween(Window.unboundedPreceding, -1)
     carry = site_last.select(site, *[F.last(c, ignorenulls=True).over(w_prev).alias(f"__carry_{c}")
                                      for c in cols])   # one row per site
-    j = within.join(checked_broadcast(carry), site, "left")
+    j = within.join(carry, site, "left")
     return j.select(site, "__day", "__month",
                     *[F.coalesce(F.col(c), F.col(f"__carry_{c}")).alias(c) for c in cols])
 
@@ -105,7 +104,7 @@ def impute_group_ffill(df: DataFrame, cols: list[str], site: str = "site_id",
     means = ffill_group_means(group_means(df, cols, site, ts), cols, site, across_sites)
     means = means.select(site, "__day", "__month", *[F.col(c).alias(f"__m_{c}") for c in cols])
     keyed = df.select("*", *_day_month(ts))
-    j = keyed.join(checked_broadcast(means), [site, "__day", "__month"], "left")
+    j = keyed.join(means, [site, "__day", "__month"], "left")
     return j.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
 
@@ -113,19 +112,33 @@ def impute_group_ffill(df: DataFrame, cols: list[str], site: str = "site_id",
 def interpolate_linear(df: DataFrame, cols: list[str], site: str = "site_id",
                        ts: str = "timestamp") -> DataFrame:
     """Linear interpolation by row position within each site (time order);
-    leading and trailing NULLs take the nearest value (both directions)."""
-    w = Window.partitionBy(site).orderBy(ts)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    fwd = w.rowsBetween(0, Window.unboundedFollowing)
-    pos = F.row_number().over(w)
-    x = df.withColumn("__i", pos)
-    out = []
+    leading and trailing NULLs take the nearest value (both directions).
+
+    Previous and next non-NULL values (and their positions) come from two
+    running windows, one ascending and one descending in time, so the cost
+    is O(n) per site (an unbounded-following frame would be recomputed per row).
+    """
+    up = Window.partitionBy(site).orderBy(F.col(ts).asc())
+    down = Window.partitionBy(site).orderBy(F.col(ts).desc())
+    back = up.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = down.rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("__i", F.row_number().over(up))
+    prev = []
     for c in cols:
         v = F.col(c)
-        pv = F.last(v, ignorenulls=True).over(back)
-        pi = F.last(F.when(v.isNotNull(), F.col("__i")), ignorenulls=True).over(back)
-        nv = F.first(v, ignorenulls=True).over(fwd)
-        ni = F.first(F.when(v.isNotNull(), F.col("__i")), ignorenulls=True).over(fwd)
+        prev += [F.last(v, ignorenulls=True).over(back).alias(f"__pv_{c}"),
+                 F.last(F.when(v.isNotNull(), F.col("__i")), ignorenulls=True).over(back).alias(f"__pi_{c}")]
+    x = x.select("*", *prev)
+    nxt = []
+    for c in cols:
+        v = F.col(c)
+        nxt += [F.last(v, ignorenulls=True).over(ahead).alias(f"__nv_{c}"),
+                F.last(F.when(v.isNotNull(), F.col("__i")), ignorenulls=True).over(ahead).alias(f"__ni_{c}")]
+    x = x.select("*", *nxt)
+    out = []
+    for c in cols:
+        v, pv, pi, nv, ni = (F.col(c), F.col(f"__pv_{c}"), F.col(f"__pi_{c}"),
+                             F.col(f"__nv_{c}"), F.col(f"__ni_{c}"))
         interp = pv + (nv - pv) * (F.col("__i") - pi) / (ni - pi)
         out.append(F.when(v.isNotNull(), v).when(pv.isNull(), nv).when(nv.isNull(), pv)
                    .otherwise(interp).alias(c))

@@ -16,7 +16,7 @@ from wattle.functions import arith, calendar, target, weather
 from wattle.operators import aggregate, clean, encode, folds, joins, model, project, score, setops
 from wattle.operators import timeseries as ts
 from wattle.plans import features
-from wattle.session import scratch_path
+from wattle.session import materialize, scratch_path
 from wattle.sources import driver_tables as dt
 from wattle.sources import positions, readers, sinks
 
@@ -51,7 +51,8 @@ def _readings(s, d):
 
 
 def _weather(s, d):
-    return dt.raw_weather(s, d)
+    # sites x hours, reused by several branches of each plan: computed once
+    return materialize(dt.raw_weather(s, d))
 
 
 def _buildings(s, d):
@@ -476,8 +477,9 @@ SMALL = model.GBTParams(max_iter=8, max_depth=4, min_instances_per_node=5, max_b
 
 
 def _model_frame(s, d):
-    tf = q_training_frame(s, d)
-    return folds.folds_kfold(tf, 3, "row_id")
+    tf = materialize(features.training_frame(_readings(s, d), _buildings(s, d), _weather(s, d),
+                                             dt.bad_rows(s, d), holidays=HOLIDAYS))
+    return materialize(folds.folds_kfold(tf, 3, "row_id"))
 
 
 def q_assemble_features(s, d):

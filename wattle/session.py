@@ -9,9 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a dimension side may hold before a join stops broadcasting it.  The
-# check reads at most this many rows plus one, so it costs O(limit), not O(n).
+# Broadcast policy.  Tables that are small by construction (one row per fold,
+# per input partition, per nation) get an explicit ``F.broadcast`` hint.  Every
+# side whose size depends on the data is joined without a hint; adaptive query
+# execution measures it at run time and broadcasts it only below
+# ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (set here), else keeps the
+# shuffle join.  ``checked_broadcast`` is the opt-in eager variant for callers
+# that know the side is cheap to count.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+AQE_BROADCAST_BYTES = str(64 * 1024 * 1024)
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -28,6 +34,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", AQE_BROADCAST_BYTES)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
@@ -82,3 +89,12 @@ def env_cpus(default: int = 8) -> int:
         return int(os.environ.get("BENCH_CPUS", default))
     except ValueError:
         return default
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    shared folder (survives executor loss; never a local checkpoint).  Meant
+    for small derived tables reused by several branches of a plan and for
+    model-training inputs read many times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

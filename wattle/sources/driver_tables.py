@@ -24,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattle.session import checked_broadcast
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -56,7 +55,7 @@ def scoring_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = load(spark, sf_dir, "events").select("user_id", "ts", "value")
     cust = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    j = ev.join(checked_broadcast(cust), ev.user_id == cust.c_custkey, "inner")
+    j = ev.join(cust, ev.user_id == cust.c_custkey, "inner")
     v = F.col("value")
     return (j.groupBy(F.col("c_nationkey").alias("site_id"), hour_of("ts").alias("timestamp"))
             .agg((F.avg(v) / 4 - 5).alias("air_temperature"),

@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattle.session import checked_broadcast
 
 DEFAULT_WIDTH = 1 << 20
 
@@ -57,7 +56,7 @@ def dense_position(df: DataFrame, key: str, name: str = "pos", by: list[str] | N
     counts = ranged.groupBy(*by, rng).agg(F.count(F.lit(1)).alias("__n"))
     w_pref = Window.partitionBy(*by).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, rng, F.coalesce(F.sum("__n").over(w_pref), F.lit(0)).alias("__off"))
-    out = local.join(checked_broadcast(offsets), by + [rng], "inner")
+    out = local.join(offsets, by + [rng], "inner")
     return out.select(*[F.col(c) for c in df.columns],
                       (F.col("__off") + F.col("__lpos")).cast("long").alias(name))
 
