@@ -57,8 +57,9 @@ def drop_startup_outliers(df: DataFrame, max_building: int, meter_value, before,
 
 
 def drop_bad_rows(df: DataFrame, bad: DataFrame, row_id: str = "row_id", pos: str = "pos") -> DataFrame:
-    """Remove rows whose position is listed in ``bad`` (anti join, no collect)."""
-    b = bad.select(F.col(pos).alias("__bad_pos")).distinct()
+    """Remove rows whose position is listed in ``bad`` (anti join, no collect;
+    duplicates in the list are harmless, so no distinct shuffle)."""
+    b = bad.select(F.col(pos).alias("__bad_pos"))
     return df.join(b, F.col(row_id) == F.col("__bad_pos"), "left_anti")
 
 

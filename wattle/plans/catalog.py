@@ -16,7 +16,7 @@ from wattle.functions import arith, calendar, target, weather
 from wattle.operators import aggregate, clean, encode, folds, joins, model, project, score, setops
 from wattle.operators import timeseries as ts
 from wattle.plans import features
-from wattle.session import materialize, scratch_path
+from wattle.session import materialize, scratch_path, write_table
 from wattle.sources import driver_tables as dt
 from wattle.sources import positions, readers, sinks
 
@@ -52,7 +52,7 @@ def _readings(s, d):
 
 def _weather(s, d):
     # sites x hours, reused by several branches of each plan: computed once
-    return materialize(dt.raw_weather(s, d))
+    return write_table(dt.raw_weather(s, d), "raw-weather")
 
 
 def _buildings(s, d):
@@ -209,7 +209,7 @@ def q_join_building(s, d):
 
 def q_join_weather(s, d):
     rb = joins.join_building(_readings(s, d), _buildings(s, d).select("building_id", "site_id"))
-    return joins.join_weather(rb, _weather_features(s, d))
+    return joins.join_weather(rb, write_table(_weather_features(s, d), "weather-features"))
 
 
 def q_join_inner(s, d):

@@ -8,7 +8,12 @@ Plan shape (readings are the only large input):
       calendar + buckets + log target
 
 Weather features are computed once on the sites x hours table (small) and
-shared by every meter; nothing is rebuilt per segment.
+shared by every meter; nothing is rebuilt per segment.  Both derived
+dimensions (weather and building features) are written once to the shared
+folder: the fact-side joins then see their real size, so the planner
+broadcasts them when they are small and the readings are never shuffled to
+meet a few thousand dimension rows; a large building table falls back to a
+sort-merge join on building_id (AQE splits hot buildings).
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from wattle.operators.clean import drop_bad_rows
 from wattle.operators.encode import label_encode
 from wattle.operators.joins import join_building, join_weather
 from wattle.operators.timeseries import gap_fill, impute_group_ffill, impute_group_mean, lead_features
+from wattle.session import write_table
 
 MEAN_FILLED = ["air_temperature", "dew_temperature", "wind_direction", "wind_speed"]
 FFILL_FILLED = ["cloud_coverage", "precip_depth_1_hr", "sea_level_pressure"]
@@ -33,7 +39,8 @@ FFILL_FILLED = ["cloud_coverage", "precip_depth_1_hr", "sea_level_pressure"]
 
 def weather_features(weather: DataFrame, mean_cols=MEAN_FILLED, ffill_cols=FFILL_FILLED,
                      leads: bool = True, across_sites: bool = True) -> DataFrame:
-    """Spine + fills + relative humidity + feels-like + 1..3 hour look-ahead."""
+    """Spine + fills + relative humidity + feels-like + 1..3 hour look-ahead.
+    (The input is read by several branches; pass a table, not a heavy plan.)"""
     w = gap_fill(weather)
     w = impute_group_mean(w, list(mean_cols))
     w = impute_group_ffill(w, list(ffill_cols), across_sites=across_sites)
@@ -77,8 +84,8 @@ def training_frame(readings: DataFrame, buildings: DataFrame, weather: DataFrame
                                                       "wind_speed")) -> DataFrame:
     """Model-ready training rows: one per kept reading, target in log1p."""
     r = drop_bad_rows(readings, bad_rows) if bad_rows is not None else readings
-    b = building_features(buildings)
-    w = weather if weather_ready else weather_features(weather)
+    b = write_table(building_features(buildings), "building-features")
+    w = weather if weather_ready else write_table(weather_features(weather), "weather-features")
     df = join_weather(join_building(r, b), w)
     df = calendar_features(df, holidays=holidays)
     df = df.withColumn("meter_reading", log1p_safe("meter_reading"))
@@ -89,7 +96,7 @@ def scoring_frame(rows: DataFrame, buildings: DataFrame, weather: DataFrame,
                   holidays=REFERENCE_HOLIDAYS, weather_ready: bool = False,
                   drop=("sea_level_pressure", "wind_direction", "wind_speed")) -> DataFrame:
     """Rows to predict with the same features (no target)."""
-    b = building_features(buildings)
-    w = weather if weather_ready else weather_features(weather)
+    b = write_table(building_features(buildings), "building-features")
+    w = weather if weather_ready else write_table(weather_features(weather), "weather-features")
     df = join_weather(join_building(rows, b), w)
     return calendar_features(df, holidays=holidays).drop(*drop)

@@ -35,6 +35,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.autoBroadcastJoinThreshold", AQE_BROADCAST_BYTES)
+         .config("spark.sql.autoBroadcastJoinThreshold", AQE_BROADCAST_BYTES)
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
@@ -98,3 +99,15 @@ def materialize(df: DataFrame) -> DataFrame:
     model-training inputs read many times."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under a new path in the shared folder and read it
+    back.  Cuts lineage like a checkpoint and, unlike one, gives the planner
+    the table's real on-disk size: a small derived dimension is then
+    broadcast by the planner's own size check
+    (``spark.sql.autoBroadcastJoinThreshold``) and a large one is not."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
