@@ -75,7 +75,7 @@ def target_encode_oof(df: DataFrame, key: str, target: str, fold: str, min_sampl
     out = out or f"{key}_te"
     kf = df.groupBy(key, fold).agg(F.count(target).alias("__nkf"), F.sum(target).alias("__skf"))
     k = kf.groupBy(key).agg(F.sum("__nkf").alias("__nk"), F.sum("__skf").alias("__sk"))
-    f = df.groupBy(fold).agg(F.count(target).alias("__nf"), F.sum(target).alias("__sf"))
+    f = kf.groupBy(fold).agg(F.sum("__nkf").alias("__nf"), F.sum("__skf").alias("__sf"))
     allf = Window.partitionBy()                               # over the k-row fold table
     fprior = f.select(fold, ((F.sum("__sf").over(allf) - F.col("__sf"))
                              / (F.sum("__nf").over(allf) - F.col("__nf"))).alias("__prior"))

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.session import bounded_rows
 from wattle.sources.positions import dense_position
 
 MAX_GROUPS = 1_000_000
@@ -30,18 +29,15 @@ def fold_of(pos: Column, n: Column, k: int) -> Column:
 
 def folds_kfold(df: DataFrame, k: int, order: str = "row_id", name: str = "fold") -> DataFrame:
     """Contiguous k folds in ``order`` (unique integer key)."""
-    n = df.count()
-    p = dense_position(df, order, "__pos")
-    return p.select(*df.columns, fold_of(F.col("__pos"), F.lit(n), k).alias(name))
+    p = dense_position(df, order, "__pos", total="__n")
+    return p.select(*df.columns, fold_of(F.col("__pos"), F.col("__n"), k).alias(name))
 
 
 def folds_stratified(df: DataFrame, k: int, label: str, order: str = "row_id",
                      name: str = "fold") -> DataFrame:
     """Per-class contiguous folds (each class split into k runs in ``order``)."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    p = dense_position(df, order, "__pos", by=[label])
-    j = p.join(sizes, label, "left")
-    return j.select(*df.columns, fold_of(F.col("__pos"), F.col("__n"), k).alias(name))
+    p = dense_position(df, order, "__pos", by=[label], total="__n")
+    return p.select(*df.columns, fold_of(F.col("__pos"), F.col("__n"), k).alias(name))
 
 
 def group_fold_table(df: DataFrame, k: int, group: str, name: str = "fold",
@@ -49,9 +45,10 @@ def group_fold_table(df: DataFrame, k: int, group: str, name: str = "fold",
     """(group, fold) by the greedy rule: groups by size descending (ties: larger
     group value first), each into the currently lightest fold (lowest index on ties)."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    if bounded_rows(sizes, max_groups) is None:
+    rows = sizes.limit(max_groups + 1).collect()       # one row per group, at most max_groups + 1
+    if len(rows) > max_groups:
         raise ValueError(f"more than {max_groups} groups: group folds need a coarser group column")
-    rows = sizes.orderBy(F.desc("__n"), F.desc(group)).collect()   # one row per group, bounded above
+    rows.sort(key=lambda r: (-r["__n"], _desc_key(r[group])))
     if len(rows) < k:
         raise ValueError(f"cannot split {len(rows)} groups into {k} folds")
     load = [0] * k
@@ -65,6 +62,13 @@ def group_fold_table(df: DataFrame, k: int, group: str, name: str = "fold",
     return spark.createDataFrame(assign, f"{group} {dtype}, {name} int")
 
 
+def _desc_key(v):
+    """Sort key placing larger group values first (numbers or strings)."""
+    if isinstance(v, (int, float)):
+        return -v
+    return tuple(-ord(ch) for ch in str(v)) + (1,)
+
+
 def folds_group(df: DataFrame, k: int, group: str, name: str = "fold") -> DataFrame:
     table = group_fold_table(df, k, group, name)
     return df.join(F.broadcast(table), group, "left").select(*df.columns, name)

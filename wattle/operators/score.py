@@ -106,7 +106,7 @@ def oof_group_mean(df: DataFrame, keys: list[str], target: str, fold: str = "fol
     stats = kf.join(k, keys, "inner").select(
         *keys, fold, (F.col("__nk") - F.col("__nkf")).alias("__n"),
         (F.col("__sk") - F.col("__skf")).alias("__s"))
-    f = df.groupBy(fold).agg(F.count(target).alias("__nf"), F.sum(target).alias("__sf"))
+    f = kf.groupBy(fold).agg(F.sum("__nkf").alias("__nf"), F.sum("__skf").alias("__sf"))
     allf = Window.partitionBy()                                   # k-row fold table
     fmean = f.select(fold, ((F.sum("__sf").over(allf) - F.col("__sf"))
                             / (F.sum("__nf").over(allf) - F.col("__nf"))).alias("__fm"))

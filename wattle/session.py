@@ -21,7 +21,7 @@ AQE_BROADCAST_BYTES = str(64 * 1024 * 1024)
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "wattle") -> SparkSession:
+                app_name: str = "wattle", driver_memory: str | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings the operators assume.
 
     On a cluster ``master`` stays None and the launcher decides; locally pass
@@ -40,6 +40,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:          # local mode: the driver JVM is the only executor
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -110,4 +112,4 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)     # known schema: no footer-inference job

@@ -45,9 +45,10 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 
 def dense_position(df: DataFrame, key: str, name: str = "pos", by: list[str] | None = None,
-                   width: int = DEFAULT_WIDTH) -> DataFrame:
+                   width: int = DEFAULT_WIDTH, total: str | None = None) -> DataFrame:
     """0..n-1 position of each row ordered by the unique integer ``key``
-    (restarting per ``by`` group when given)."""
+    (restarting per ``by`` group when given).  ``total`` adds the group's row
+    count, taken from the same per-range count table (no extra job)."""
     by = list(by or [])
     rng = "__wattle_rng"
     ranged = df.withColumn(rng, F.floor(F.col(key) / F.lit(width)).cast("long"))
@@ -55,10 +56,13 @@ def dense_position(df: DataFrame, key: str, name: str = "pos", by: list[str] | N
     local = ranged.withColumn("__lpos", F.row_number().over(w_local) - 1)
     counts = ranged.groupBy(*by, rng).agg(F.count(F.lit(1)).alias("__n"))
     w_pref = Window.partitionBy(*by).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, rng, F.coalesce(F.sum("__n").over(w_pref), F.lit(0)).alias("__off"))
+    extra = [F.sum("__n").over(Window.partitionBy(*by)).alias("__total")] if total else []
+    offsets = counts.select(*by, rng, F.coalesce(F.sum("__n").over(w_pref), F.lit(0)).alias("__off"),
+                            *extra)
     out = local.join(offsets, by + [rng], "inner")
+    tail = [F.col("__total").cast("long").alias(total)] if total else []
     return out.select(*[F.col(c) for c in df.columns],
-                      (F.col("__off") + F.col("__lpos")).cast("long").alias(name))
+                      (F.col("__off") + F.col("__lpos")).cast("long").alias(name), *tail)
 
 
 def group_sizes(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
