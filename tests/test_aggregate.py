@@ -50,3 +50,16 @@ def test_topk_is_ordered(spark):
     out = A.topk_mean(df, "k", "v", 5).collect()
     assert [r.mean_value for r in out] == [6.0] * 5
     assert [r.k for r in out] == [6, 13, 20, 27, 34]
+
+
+def test_profile_fold_safe_equals_refit(spark):
+    from pyspark.sql import functions as F
+    rnd = random.Random(12)
+    rows = [(i, rnd.randint(0, 3), rnd.uniform(0, 9), i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "row_id long, k int, x double, fold int")
+    got = {(r.k, r.fold): r for r in A.profile_fold_safe(df, ["k"], "x", "fold", 3).collect()}
+    for f in range(3):
+        ref = A.profile_mean_median(df.filter(F.col("fold") != f), ["k"], "x", "s").collect()
+        for r in ref:
+            g = got[(r.k, f)]
+            assert g.x_mean == pytest.approx(r.mean_s) and g.x_median == pytest.approx(r.median_s)

@@ -64,6 +64,29 @@ def profile_full(df: DataFrame, keys: list[str], col: str, prefix: str | None =
     return out.select(*keys, *[f"{p}_{s}" for s in stats])
 
 
+def profile_fold_safe(df: DataFrame, keys: list[str], col: str, fold: str, k: int,
+                      stats=("mean", "median", "std"), prefix: str | None = None,
+                      exact: bool = True) -> DataFrame:
+    """Per-group statistics computed, for each fold f, from the rows of the
+    other folds only (no leak of the held-out rows into their own features).
+
+    Each row is replicated into the k-1 training sets it belongs to (k is the
+    small fold count, so the data grows by a bounded factor, never by pairs of
+    rows), then aggregated by (keys, target fold): medians and quantiles are
+    not subtractable, so this is the exact form.  Returns keys, fold and the
+    statistics, to be joined back on (keys, fold).
+    """
+    p = prefix or col
+    folds_arr = F.array(*[F.lit(i) for i in range(k)])
+    others = F.filter(folds_arr, lambda x: x != F.col(fold))
+    rep = df.select(*keys, col, F.explode(others).alias(fold))
+    c = F.col(col)
+    exprs = {"mean": F.avg(c), "median": _pct(c, 0.5, exact), "std": F.stddev_samp(c),
+             "max": F.max(c), "min": F.min(c), "q80": _pct(c, 0.8, exact), "q30": _pct(c, 0.3, exact),
+             "count": F.count(c)}
+    return rep.groupBy(*keys, fold).agg(*[exprs[s].alias(f"{p}_{s}") for s in stats])
+
+
 def mean_abs_dev(df: DataFrame, keys: list[str], col: str, name: str = "mad") -> DataFrame:
     """Mean absolute deviation from the group mean (two aggregates)."""
     means = df.groupBy(*keys).agg(F.avg(col).alias("__mu"))

@@ -110,6 +110,14 @@ def q_sink_fixed_decimals(s, d):
     return sinks.format_fixed(o, ["meter_reading"], 4)
 
 
+def q_sink_csv(s, d):
+    """Predictions written as CSV to the shared folder and read back with a schema."""
+    o = _oof(s, d).select("row_id", F.expm1("oof").alias("meter_reading"))
+    path = sinks.write_csv(o, scratch_path(s, "submission"))
+    return readers.read_csv(s, path, T.StructType([T.StructField("row_id", T.LongType()),
+                                                   T.StructField("meter_reading", T.DoubleType())]))
+
+
 def q_segment_outputs(s, d):
     o = _oof(s, d).select("row_id", "meter", F.col("oof").alias("meter_reading_oof"))
     path = sinks.write_segments(o, scratch_path(s, "segments"), "meter")
@@ -253,6 +261,13 @@ def q_profile_full(s, d):
     return aggregate.profile_full(_readings(s, d), ["building_id", "meter"], "meter_reading")
 
 
+def q_profile_fold_safe(s, d):
+    f = _folded(s, d)
+    prof = aggregate.profile_fold_safe(f, ["building_id", "meter"], "meter_reading", "fold", 3)
+    return joins.join_back(f.select("row_id", "building_id", "meter", "fold"), prof,
+                           ["building_id", "meter", "fold"]).drop("building_id", "meter")
+
+
 def q_quantiles(s, d):
     return aggregate.quantiles(_readings(s, d), ["meter"], "meter_reading", (0.3, 0.8))
 

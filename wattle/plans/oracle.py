@@ -265,6 +265,7 @@ def build(holidays, params) -> dict[str, str]:
     q["scan_limit"] = w(READINGS, "SELECT * FROM readings ORDER BY row_id LIMIT 1000", ["meter_reading"])
     q["preview"] = w(READINGS, "SELECT count(*) AS n_rows, 5 AS n_cols FROM readings", [])
     q["sink_fixed_decimals"] = w(OOF, "SELECT row_id, printf('%.4f', exp(oof) - 1) AS meter_reading FROM oof_t", [])
+    q["sink_csv"] = w(OOF, "SELECT row_id, exp(oof) - 1 AS meter_reading FROM oof_t", ["meter_reading"])
     q["segment_outputs"] = w(OOF, "SELECT row_id, meter, oof AS meter_reading_oof FROM oof_t",
                              ["meter_reading_oof"])
     q["align_to_template"] = w(OOF, """SELECT r.row_id, p.meter_reading FROM oof_t r
@@ -382,6 +383,13 @@ def build(holidays, params) -> dict[str, str]:
             FROM readings r JOIN (SELECT building_id, meter, avg(meter_reading) AS mu FROM readings GROUP BY 1, 2) g
             USING (building_id, meter) GROUP BY 1, 2) m USING (building_id, meter)""",
                           [f"meter_reading_{s}" for s in full])
+    q["profile_fold_safe"] = w(FOLDED, """SELECT a.row_id, a.fold, p.meter_reading_mean, p.meter_reading_median,
+        p.meter_reading_std FROM folded a LEFT JOIN (
+          SELECT x.building_id, x.meter, f.fold, avg(x.meter_reading) AS meter_reading_mean,
+                 median(x.meter_reading) AS meter_reading_median, stddev_samp(x.meter_reading) AS meter_reading_std
+          FROM (SELECT DISTINCT fold FROM folded) f JOIN folded x ON x.fold <> f.fold
+          GROUP BY 1, 2, 3) p ON p.building_id = a.building_id AND p.meter = a.meter AND p.fold = a.fold""",
+                               ["meter_reading_mean", "meter_reading_median", "meter_reading_std"])
     q["quantiles"] = w(READINGS, """SELECT meter, quantile_cont(meter_reading, 0.3) AS q30,
         quantile_cont(meter_reading, 0.8) AS q80 FROM readings GROUP BY 1""", ["q30", "q80"])
     q["global_bounds"] = w(RAW_WEATHER, """SELECT first_ts, last_ts, date_diff('hour', first_ts, last_ts) + 1 AS total_hours
