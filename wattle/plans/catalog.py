@@ -488,12 +488,13 @@ def q_scoring_frame(s, d):
 MODEL_FEATURES = ["building_id", "site_id", "primary_use", "square_feet", "air_temperature",
                   "dew_temperature", "cloud_coverage", "precip_depth_1_hr", "relative_humidity",
                   "feels_like", "hour", "day_of_week", "year_day", "is_holiday"]
-SMALL = model.GBTParams(max_iter=8, max_depth=4, min_instances_per_node=5, max_bins=32)
+SMALL = model.GBTParams(max_iter=5, max_depth=4, min_instances_per_node=5, max_bins=32)
 
 
 def _model_frame(s, d):
-    tf = materialize(features.training_frame(_readings(s, d), _buildings(s, d), _weather(s, d),
-                                             dt.bad_rows(s, d), holidays=HOLIDAYS))
+    """Training frame with contiguous folds, materialized once for the fits."""
+    tf = features.training_frame(_readings(s, d), _buildings(s, d), _weather(s, d),
+                                 dt.bad_rows(s, d), holidays=HOLIDAYS)
     return materialize(folds.folds_kfold(tf, 3, "row_id"))
 
 
@@ -505,30 +506,31 @@ def q_assemble_features(s, d):
 
 def q_gbt_train(s, d):
     mf = _model_frame(s, d)
-    m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL, validation=None)
+    m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
     return model.predict(m, mf, MODEL_FEATURES).select("row_id", "meter_reading", "prediction")
 
 
 def q_oof_predict(s, d):
-    out, _ = model.oof_predict(_model_frame(s, d), MODEL_FEATURES, "meter_reading", "fold", SMALL)
+    out, _ = model.oof_predict(_model_frame(s, d), MODEL_FEATURES, "meter_reading", "fold", SMALL,
+                               materialize_input=False)
     return out.select("row_id", "fold", "meter_reading", "oof")
 
 
 def q_segment_models(s, d):
     mf = _model_frame(s, d)
-    ms = model.segment_models(mf, "meter", MODEL_FEATURES, "meter_reading", SMALL)
+    ms = model.segment_models(mf, "meter", MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
     return model.predict_segments(ms, mf, "meter", MODEL_FEATURES).select("row_id", "meter", "prediction")
 
 
 def q_feature_importance(s, d):
     mf = _model_frame(s, d)
-    m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL)
+    m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
     return model.feature_importance(m, MODEL_FEATURES)
 
 
 def q_param_search(s, d):
     return model.param_search(_model_frame(s, d), MODEL_FEATURES, "meter_reading", "fold", n_points=2,
-                              base=SMALL, parallelism=2)
+                              base=SMALL, parallelism=2, materialize_input=False)
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items())
