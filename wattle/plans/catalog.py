@@ -60,7 +60,7 @@ def _buildings(s, d):
 
 
 def _filled(s, d):
-    return ts.gap_fill(_weather(s, d)).select(*WEATHER_OUT)
+    return materialize(ts.gap_fill(_weather(s, d)).select(*WEATHER_OUT))
 
 
 def _weather_features(s, d):
@@ -73,8 +73,9 @@ def _log_readings(s, d):
 
 
 def _folded(s, d, k=3):
-    """Log-target readings with contiguous 3-fold assignment."""
-    return folds.folds_kfold(_log_readings(s, d), k, "row_id")
+    """Log-target readings with contiguous 3-fold assignment, materialized once:
+    every cross-validation step (OOF means, encodings, scores) reads it."""
+    return materialize(folds.folds_kfold(_log_readings(s, d), k, "row_id"))
 
 
 def _oof(s, d):
@@ -446,7 +447,7 @@ def q_target_encode_oof(s, d):
 
 # ---------------------------------------------------------------- I: folds, scoring
 def q_folds_kfold(s, d):
-    return _folded(s, d).select("row_id", "fold")
+    return folds.folds_kfold(_log_readings(s, d), 3, "row_id").select("row_id", "fold")
 
 
 def q_folds_stratified(s, d):

@@ -31,7 +31,7 @@ from wattle.operators.clean import drop_bad_rows
 from wattle.operators.encode import label_encode
 from wattle.operators.joins import join_building, join_weather
 from wattle.operators.timeseries import gap_fill, impute_group_ffill, impute_group_mean, lead_features
-from wattle.session import write_table
+from wattle.session import materialize, write_table
 
 MEAN_FILLED = ["air_temperature", "dew_temperature", "wind_direction", "wind_speed"]
 FFILL_FILLED = ["cloud_coverage", "precip_depth_1_hr", "sea_level_pressure"]
@@ -40,8 +40,10 @@ FFILL_FILLED = ["cloud_coverage", "precip_depth_1_hr", "sea_level_pressure"]
 def weather_features(weather: DataFrame, mean_cols=MEAN_FILLED, ffill_cols=FFILL_FILLED,
                      leads: bool = True, across_sites: bool = True) -> DataFrame:
     """Spine + fills + relative humidity + feels-like + 1..3 hour look-ahead.
-    (The input is read by several branches; pass a table, not a heavy plan.)"""
-    w = gap_fill(weather)
+    (The input is read by several branches; pass a table, not a heavy plan.)
+    The gap-filled table (sites x hours) feeds every fill, so it is
+    materialized once instead of being re-derived in each branch."""
+    w = materialize(gap_fill(weather))
     w = impute_group_mean(w, list(mean_cols))
     w = impute_group_ffill(w, list(ffill_cols), across_sites=across_sites)
     w = w.withColumn("relative_humidity", humidity_magnus("air_temperature", "dew_temperature"))
