@@ -120,3 +120,20 @@ def test_leads_stay_inside_site(spark):
     assert out[(0, 3.0)].x_lead1 is None
     assert out[(0, 1.0)].x_lead2 == 3.0
     assert out[(1, 10.0)].x_lead1 == 20.0 and out[(1, 10.0)].x_lead2 is None
+
+
+def test_combined_fills_equal_separate(spark):
+    rnd = random.Random(21)
+    rows = []
+    for site in range(3):
+        for h in range(24 * 20):
+            t = pd.Timestamp("2016-02-01") + pd.Timedelta(hours=h)
+            gone = (t.day + site) % 7 == 0
+            rows.append((site, t.to_pydatetime(), None if gone or rnd.random() < 0.3 else rnd.uniform(0, 9),
+                         None if gone or rnd.random() < 0.3 else rnd.uniform(0, 9)))
+    df = spark.createDataFrame(rows, "site_id int, timestamp timestamp_ntz, a double, b double")
+    sep = T.impute_group_ffill(T.impute_group_mean(df, ["a"]), ["b"]).toPandas()
+    comb = T.impute_group_fills(df, ["a"], ["b"]).toPandas()
+    key = ["site_id", "timestamp"]
+    sep, comb = sep.sort_values(key).reset_index(drop=True), comb.sort_values(key).reset_index(drop=True)
+    np.testing.assert_allclose(sep[["a", "b"]].to_numpy(dtype=float), comb[["a", "b"]].to_numpy(dtype=float))

@@ -109,6 +109,24 @@ def impute_group_ffill(df: DataFrame, cols: list[str], site: str = "site_id",
                       for c in df.columns])
 
 
+def impute_group_fills(df: DataFrame, mean_cols: list[str], ffill_cols: list[str],
+                       site: str = "site_id", ts: str = "timestamp",
+                       across_sites: bool = True) -> DataFrame:
+    """:func:`impute_group_mean` on ``mean_cols`` and :func:`impute_group_ffill`
+    on ``ffill_cols`` with one aggregate and one join back (same keys)."""
+    cols = list(mean_cols) + list(ffill_cols)
+    means = group_means(df, cols, site, ts)
+    if ffill_cols:
+        filled = ffill_group_means(means, list(ffill_cols), site, across_sites)
+        means = means.select(site, "__day", "__month", *mean_cols).join(
+            filled, [site, "__day", "__month"], "inner")
+    means = means.select(site, "__day", "__month", *[F.col(c).alias(f"__m_{c}") for c in cols])
+    keyed = df.select("*", *_day_month(ts))
+    j = keyed.join(means, [site, "__day", "__month"], "left")
+    return j.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}")).alias(c) if c in cols else F.col(c)
+                      for c in df.columns])
+
+
 def interpolate_linear(df: DataFrame, cols: list[str], site: str = "site_id",
                        ts: str = "timestamp") -> DataFrame:
     """Linear interpolation by row position within each site (time order);

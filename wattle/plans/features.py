@@ -30,7 +30,7 @@ from wattle.functions.weather import feels_like, humidity_magnus
 from wattle.operators.clean import drop_bad_rows
 from wattle.operators.encode import label_encode
 from wattle.operators.joins import join_building, join_weather
-from wattle.operators.timeseries import gap_fill, impute_group_ffill, impute_group_mean, lead_features
+from wattle.operators.timeseries import gap_fill, impute_group_fills, lead_features
 from wattle.session import materialize, write_table
 
 MEAN_FILLED = ["air_temperature", "dew_temperature", "wind_direction", "wind_speed"]
@@ -44,8 +44,7 @@ def weather_features(weather: DataFrame, mean_cols=MEAN_FILLED, ffill_cols=FFILL
     The gap-filled table (sites x hours) feeds every fill, so it is
     materialized once instead of being re-derived in each branch."""
     w = materialize(gap_fill(weather))
-    w = impute_group_mean(w, list(mean_cols))
-    w = impute_group_ffill(w, list(ffill_cols), across_sites=across_sites)
+    w = impute_group_fills(w, list(mean_cols), list(ffill_cols), across_sites=across_sites)
     w = w.withColumn("relative_humidity", humidity_magnus("air_temperature", "dew_temperature"))
     w = w.withColumn("feels_like", feels_like("air_temperature", "relative_humidity", "wind_speed"))
     if leads:
