@@ -480,6 +480,18 @@ def q_training_frame(s, d):
                                    dt.bad_rows(s, d), holidays=HOLIDAYS)
 
 
+SITE_OUTLIER = dict(STARTUP, site="site_id", site_value=0)
+
+
+def q_site_training_frame(s, d):
+    return features.site_training_frame(_readings(s, d), _buildings(s, d), _weather(s, d), SITE_OUTLIER)
+
+
+def q_folds_per_segment(s, d):
+    """Contiguous 2-fold split inside each meter (the per-site KFold)."""
+    return folds.folds_stratified(_readings(s, d), 2, "meter", "row_id").select("row_id", "meter", "fold")
+
+
 def q_scoring_frame(s, d):
     return features.scoring_frame(dt.scoring_rows(s, d), _buildings(s, d), _weather(s, d),
                                   holidays=HOLIDAYS)

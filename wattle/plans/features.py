@@ -27,10 +27,13 @@ from wattle.functions.calendar import (
 )
 from wattle.functions.target import log1p_safe
 from wattle.functions.weather import feels_like, humidity_magnus
-from wattle.operators.clean import drop_bad_rows
+from wattle.operators.aggregate import profile_mean_median
+from wattle.operators.clean import drop_bad_rows, drop_startup_outliers
 from wattle.operators.encode import label_encode
-from wattle.operators.joins import join_building, join_weather
-from wattle.operators.timeseries import gap_fill, impute_group_fills, lead_features
+from wattle.operators.joins import join_back, join_building, join_weather
+from wattle.operators.timeseries import (
+    gap_fill, impute_group_fills, interpolate_linear, lead_features, rolling_stats,
+)
 from wattle.session import materialize, write_table
 
 MEAN_FILLED = ["air_temperature", "dew_temperature", "wind_direction", "wind_speed"]
@@ -101,3 +104,34 @@ def scoring_frame(rows: DataFrame, buildings: DataFrame, weather: DataFrame,
     w = weather if weather_ready else write_table(weather_features(weather), "weather-features")
     df = join_weather(join_building(rows, b), w)
     return calendar_features(df, holidays=holidays).drop(*drop)
+
+
+SITE_WEATHER = ["air_temperature", "cloud_coverage", "dew_temperature", "precip_depth_1_hr"]
+
+
+def site_training_frame(readings: DataFrame, buildings: DataFrame, weather: DataFrame,
+                        outlier: dict, window: int = 18, weather_cols=SITE_WEATHER) -> DataFrame:
+    """The per-site pipeline's training rows.
+
+    Weather: interpolated per site over its own rows, plus trailing
+    ``window``-row statistics (both tables sites x hours, written once).
+    Readings: inner join to encoded buildings, left join to interpolated
+    weather, start-up outlier rule, log target, hour and weekday, mean and
+    median of the log target per (building, meter) and per
+    (building, meter, hour) joined back (inner), then the rolling weather
+    statistics joined on (site, hour).
+    """
+    cols = list(weather_cols)
+    w = weather.select("site_id", "timestamp", *cols)
+    wi = write_table(interpolate_linear(w, cols), "weather-interpolated")
+    lags = write_table(rolling_stats(wi, cols, window, drop_source=True), "weather-lags")
+    b = write_table(label_encode(buildings, "primary_use"), "buildings-encoded")
+    df = join_weather(join_building(readings, b, how="inner"), wi)
+    df = drop_startup_outliers(df, **outlier)
+    df = df.select("*", log1p_safe("meter_reading").alias("log_meter_reading"),
+                   F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("weekday"))
+    keys = ["building_id", "meter"]
+    p1 = profile_mean_median(df, keys, "log_meter_reading", "building_meter")
+    p2 = profile_mean_median(df, keys + ["hour"], "log_meter_reading", "building_meter_hour")
+    df = join_back(join_back(df, p1, keys, "inner"), p2, keys + ["hour"], "inner")
+    return join_weather(df, lags)

@@ -192,7 +192,7 @@ ROLL = ["mean", "median", "min", "max", "std", "skew"]
 CAL = ('o_orderkey AS row_id, o_orderdate AS "timestamp"')
 
 
-def _interp_sql() -> str:
+def _interp_sql(base: str = None, src: str = "filled") -> str:
     parts = []
     for c in INTERP:
         pv = f"last_value({c} IGNORE NULLS) OVER bk"
@@ -202,9 +202,9 @@ def _interp_sql() -> str:
         parts.append(f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN ({pv}) IS NULL THEN {nv} "
                      f"WHEN ({nv}) IS NULL THEN {pv} "
                      f"ELSE ({pv}) + (({nv}) - ({pv})) * (i - ({pi})) / (({ni}) - ({pi})) END AS {c}")
-    return FILLED + """,
+    return (FILLED if base is None else base) + """,
 numbered AS (SELECT site_id, "timestamp", """ + ", ".join(INTERP) + """,
-                    row_number() OVER (PARTITION BY site_id ORDER BY "timestamp") AS i FROM filled),
+                    row_number() OVER (PARTITION BY site_id ORDER BY "timestamp") AS i FROM """ + src + """),
 interp AS (SELECT site_id, "timestamp", """ + ",\n  ".join(parts) + """
   FROM numbered
   WINDOW bk AS (PARTITION BY site_id ORDER BY "timestamp" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -546,6 +546,36 @@ def build(holidays, params) -> dict[str, str]:
         FROM kept r LEFT JOIN bf USING (building_id)
         LEFT JOIN wf ON wf.site_id = bf.site_id AND wf."timestamp" = r."timestamp" """,
                             ["meter_reading"] + BUILD_DBL + TRAIN_WF)
+    lag_names = ", ".join(f"lg.{c}" for c in ROLL_NAMES)
+    q["site_training_frame"] = w(READINGS + ",\n" + BUILDING_FEATURES + ",\n" + _interp_sql(RAW_WEATHER, "raw_weather") + f""",
+        lags AS (SELECT site_id, "timestamp", {_ROLL_SQL} FROM interp
+                 WINDOW r AS (PARTITION BY site_id ORDER BY "timestamp" ROWS BETWEEN 17 PRECEDING AND CURRENT ROW)),
+        base AS (
+          SELECT r.*, b.site_id, p.code AS primary_use, b.square_feet, b.floor_count,
+                 i.air_temperature, i.cloud_coverage, i.dew_temperature, i.precip_depth_1_hr
+          FROM readings r JOIN buildings b USING (building_id)
+          LEFT JOIN pu p ON b.primary_use = p.primary_use
+          LEFT JOIN interp i ON i.site_id = b.site_id AND i."timestamp" = r."timestamp"
+          WHERE NOT coalesce(r.building_id <= {st['max_building']} AND r.meter = '{st['meter_value']}'
+                AND r."timestamp" < TIMESTAMP '{st['before']}' AND b.site_id = 0, false)),
+        feat AS (SELECT *, CASE WHEN meter_reading > -1 THEN ln(1 + meter_reading) END AS log_meter_reading,
+                        hour("timestamp") AS hour, isodow("timestamp") - 1 AS weekday FROM base)""",
+                                 f"""SELECT f.*, p1.mean_building_meter, p1.median_building_meter,
+        p2.mean_building_meter_hour, p2.median_building_meter_hour, {lag_names}
+        FROM feat f
+        JOIN (SELECT building_id, meter, avg(log_meter_reading) AS mean_building_meter,
+                     median(log_meter_reading) AS median_building_meter FROM feat GROUP BY 1, 2) p1
+          USING (building_id, meter)
+        JOIN (SELECT building_id, meter, hour, avg(log_meter_reading) AS mean_building_meter_hour,
+                     median(log_meter_reading) AS median_building_meter_hour FROM feat GROUP BY 1, 2, 3) p2
+          USING (building_id, meter, hour)
+        LEFT JOIN lags lg ON lg.site_id = f.site_id AND lg."timestamp" = f."timestamp" """,
+                                 ["meter_reading", "square_feet", "floor_count", "log_meter_reading",
+                                  "mean_building_meter", "median_building_meter", "mean_building_meter_hour",
+                                  "median_building_meter_hour"] + INTERP + ROLL_NAMES)
+    q["folds_per_segment"] = w(READINGS, f"""SELECT row_id, meter, {kfold('n', 'pos', 2)} AS fold
+        FROM (SELECT row_id, meter, row_number() OVER (PARTITION BY meter ORDER BY row_id) - 1 AS pos,
+                     count(*) OVER (PARTITION BY meter) AS n FROM readings)""", [])
     q["scoring_frame"] = w(READINGS + ",\n" + BUILDING_FEATURES + ",\n" + WF,
                            f"""SELECT r.row_id, r.building_id, r.meter, r."timestamp",
         bf.site_id, bf.primary_use, bf.square_feet, bf.floor_count, bf.square_feet_floor, {frame_cols},
