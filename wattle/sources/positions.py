@@ -54,12 +54,14 @@ def dense_position(df: DataFrame, key: str, name: str = "pos", by: list[str] | N
     ranged = df.withColumn(rng, F.floor(F.col(key) / F.lit(width)).cast("long"))
     w_local = Window.partitionBy(*by, rng).orderBy(key)
     local = ranged.withColumn("__lpos", F.row_number().over(w_local) - 1)
-    counts = ranged.groupBy(*by, rng).agg(F.count(F.lit(1)).alias("__n"))
+    # counts from the same windowed rows: both branches share one shuffle of the input
+    counts = local.groupBy(*by, rng).agg(F.count(F.lit(1)).alias("__n"))
     w_pref = Window.partitionBy(*by).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum("__n").over(Window.partitionBy(*by)).alias("__total")] if total else []
     offsets = counts.select(*by, rng, F.coalesce(F.sum("__n").over(w_pref), F.lit(0)).alias("__off"),
                             *extra)
-    out = local.join(offsets, by + [rng], "inner")
+    # one row per (group, key range): small by construction, so hinted
+    out = local.join(F.broadcast(offsets), by + [rng], "inner")
     tail = [F.col("__total").cast("long").alias(total)] if total else []
     return out.select(*[F.col(c) for c in df.columns],
                       (F.col("__off") + F.col("__lpos")).cast("long").alias(name), *tail)
