@@ -1,7 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import ts
 from wattle.functions import arith, calendar, weather

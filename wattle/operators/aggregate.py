@@ -81,9 +81,11 @@ def profile_fold_safe(df: DataFrame, keys: list[str], col: str, fold: str, k: in
     others = F.filter(folds_arr, lambda x: x != F.col(fold))
     rep = df.select(*keys, col, F.explode(others).alias(fold))
     c = F.col(col)
+    n = F.count(c)
     exprs = {"mean": F.avg(c), "median": _pct(c, 0.5, exact), "std": F.stddev_samp(c),
              "max": F.max(c), "min": F.min(c), "q80": _pct(c, 0.8, exact), "q30": _pct(c, 0.3, exact),
-             "count": F.count(c)}
+             "count": n, "skew": corrected_skew(F.skewness(c), n),
+             "kurt": corrected_kurt(F.kurtosis(c), n), "ptp": F.max(c) - F.min(c)}
     return rep.groupBy(*keys, fold).agg(*[exprs[s].alias(f"{p}_{s}") for s in stats])
 
 
