@@ -504,21 +504,22 @@ MODEL_FEATURES = ["building_id", "site_id", "primary_use", "square_feet", "air_t
 SMALL = model.GBTParams(max_iter=5, max_depth=4, min_instances_per_node=5, max_bins=32)
 
 
-def _model_frame(s, d):
-    """Training frame with contiguous folds, materialized once for the fits."""
+def _model_frame(s, d, with_folds: bool = True):
+    """Training frame (with contiguous folds when a step needs them),
+    materialized once for the fits."""
     tf = features.training_frame(_readings(s, d), _buildings(s, d), _weather(s, d),
                                  dt.bad_rows(s, d), holidays=HOLIDAYS)
-    return materialize(folds.folds_kfold(tf, 3, "row_id"))
+    return materialize(folds.folds_kfold(tf, 3, "row_id") if with_folds else tf)
 
 
 def q_assemble_features(s, d):
     from pyspark.ml.functions import vector_to_array
-    return model.assemble_features(_model_frame(s, d), MODEL_FEATURES).select(
+    return model.assemble_features(_model_frame(s, d, with_folds=False), MODEL_FEATURES).select(
         "row_id", vector_to_array("features").alias("features"))
 
 
 def q_gbt_train(s, d):
-    mf = _model_frame(s, d)
+    mf = _model_frame(s, d, with_folds=False)
     m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
     return model.predict(m, mf, MODEL_FEATURES).select("row_id", "meter_reading", "prediction")
 
@@ -530,13 +531,13 @@ def q_oof_predict(s, d):
 
 
 def q_segment_models(s, d):
-    mf = _model_frame(s, d)
+    mf = _model_frame(s, d, with_folds=False)
     ms = model.segment_models(mf, "meter", MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
     return model.predict_segments(ms, mf, "meter", MODEL_FEATURES).select("row_id", "meter", "prediction")
 
 
 def q_feature_importance(s, d):
-    mf = _model_frame(s, d)
+    mf = _model_frame(s, d, with_folds=False)
     m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
     return model.feature_importance(m, MODEL_FEATURES)
 
