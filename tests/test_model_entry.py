@@ -28,3 +28,13 @@ def test_gbt_oof_and_importance(spark):
     assert math.isfinite(err) and err < base
     imp = model.feature_importance(models[0], ["a", "b"]).collect()
     assert abs(sum(r.importance for r in imp) - 1.0) < 1e-9
+
+
+def test_left_joins_keep_rows(spark):
+    from wattle.plans import catalog
+    from wattle.sources import driver_tables as dt
+    d = "/root/testdata/sf0.001"
+    kept = catalog.QUERIES["drop_bad_rows"](spark, d).count()
+    assert catalog.QUERIES["training_frame"](spark, d).count() == kept
+    assert catalog.QUERIES["scoring_frame"](spark, d).count() == dt.readings(spark, d).count()
+    assert catalog.QUERIES["join_weather"](spark, d).count() == dt.readings(spark, d).count()

@@ -80,6 +80,20 @@ def holdout_rmsle(truth: DataFrame, pred: DataFrame, first_year: int, last_year:
                 "true_l1p", "pred_l1p")
 
 
+def holdout_from_file(spark, predictions_path: str, rows: DataFrame, truth: DataFrame,
+                      first_year: int, last_year: int, exclude_building, key: str = "row_id",
+                      keys=("building_id", "meter", "timestamp"), value: str = "meter_reading") -> DataFrame:
+    """Score a saved prediction file (CSV ``row_id, meter_reading``): attach the
+    rows' keys by ``row_id`` (inner join), then the holdout score."""
+    from pyspark.sql import types as T
+
+    from wattle.sources.readers import read_csv
+    schema = T.StructType([T.StructField(key, T.LongType()), T.StructField(value, T.DoubleType())])
+    saved = read_csv(spark, predictions_path, schema)
+    pred = rows.select(key, *keys).join(saved, key, "inner").drop(key)
+    return holdout_rmsle(truth, pred, first_year, last_year, exclude_building, keys=keys, value=value)
+
+
 def distribution_compare(df: DataFrame, a: str, b: str, lo: float, hi: float, bins: int = 20) -> DataFrame:
     """Fixed-bin histograms of two columns side by side: (bin, n_<a>, n_<b>).
     Bin 0 holds values below ``lo``, bin bins+1 values at or above ``hi``."""

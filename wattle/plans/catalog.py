@@ -471,6 +471,14 @@ def q_holdout_rmsle(s, d):
     return score.holdout_rmsle(_readings(s, d), pred, *HOLDOUT_YEARS, EXCLUDED_BUILDING)
 
 
+def q_holdout_from_file(s, d):
+    """Saved submission file scored against the holdout (write, read back, join on row_id)."""
+    o = _oof(s, d).select("row_id", F.expm1("oof").alias("meter_reading"))
+    path = sinks.write_csv(o, scratch_path(s, "saved-submission"))
+    return score.holdout_from_file(s, path, dt.scoring_rows(s, d), _readings(s, d), *HOLDOUT_YEARS,
+                                   EXCLUDED_BUILDING)
+
+
 def q_distribution_compare(s, d):
     return score.distribution_compare(_oof(s, d), "meter_reading", "oof", 0.0, 8.0, 16)
 

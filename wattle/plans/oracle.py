@@ -526,6 +526,8 @@ def build(holidays, params) -> dict[str, str]:
         count(*) FILTER (WHERE NOT (true_l1p IS NOT NULL AND pred_l1p IS NOT NULL)) AS n_unmatched FROM hj""",
                            ["rmse"])
 
+    q["holdout_from_file"] = q["holdout_rmsle"]
+
     def wb(c):
         return (f"CASE WHEN {c} < 0.0 THEN 0 WHEN {c} >= 8.0 THEN 17 "
                 f"ELSE CAST(floor(16 * ({c} - 0.0) / (8.0 - 0.0)) AS BIGINT) + 1 END")
