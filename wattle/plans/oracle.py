@@ -235,15 +235,15 @@ BUILD_DBL = ["square_feet", "floor_count", "square_feet_floor"]
 WF_DBL = WCOLS + ["relative_humidity", "feels_like", "air_temperature_lead1",
                   "air_temperature_lead2", "air_temperature_lead3"]
 TRAIN_WF = [c for c in WF_DBL if c not in ("sea_level_pressure", "wind_direction", "wind_speed")]
-CAL_FEATURES = ("hour(\"timestamp\") AS hour, "
-                "CASE WHEN isodow(\"timestamp\") - 1 IN (1, 2, 3) THEN 1 ELSE isodow(\"timestamp\") - 1 END AS day_of_week, "
-                "dayofyear(\"timestamp\") AS year_day, "
+CAL_FEATURES = ("CAST(hour(\"timestamp\") AS INTEGER) AS hour, "
+                "CAST(CASE WHEN isodow(\"timestamp\") - 1 IN (1, 2, 3) THEN 1 ELSE isodow(\"timestamp\") - 1 END AS INTEGER) AS day_of_week, "
+                "CAST(dayofyear(\"timestamp\") AS INTEGER) AS year_day, "
                 "CAST(coalesce(CAST(\"timestamp\" AS DATE) IN ({hol}), false) AS INTEGER) AS is_holiday, "
-                "CASE WHEN month(\"timestamp\") IN (12, 1, 2) THEN 1 WHEN month(\"timestamp\") IN (3, 4, 5) THEN 2 "
+                "CAST(CASE WHEN month(\"timestamp\") IN (12, 1, 2) THEN 1 WHEN month(\"timestamp\") IN (3, 4, 5) THEN 2 "
                 "WHEN month(\"timestamp\") IN (6, 7, 8) THEN 3 WHEN month(\"timestamp\") IN (9, 10, 11) THEN 4 "
-                "ELSE month(\"timestamp\") END AS month, "
-                "CASE WHEN month(\"timestamp\") IN (1, 2, 3, 4) THEN 1 WHEN month(\"timestamp\") IN (5, 6, 7, 8) THEN 2 "
-                "WHEN month(\"timestamp\") IN (9, 10, 11, 12) THEN 3 ELSE month(\"timestamp\") END AS \"group\"")
+                "ELSE month(\"timestamp\") END AS INTEGER) AS month, "
+                "CAST(CASE WHEN month(\"timestamp\") IN (1, 2, 3, 4) THEN 1 WHEN month(\"timestamp\") IN (5, 6, 7, 8) THEN 2 "
+                "WHEN month(\"timestamp\") IN (9, 10, 11, 12) THEN 3 ELSE month(\"timestamp\") END AS INTEGER) AS \"group\"")
 
 
 def te_sql(n: str, m: str, prior: str) -> str:
@@ -301,11 +301,11 @@ def build(holidays, params) -> dict[str, str]:
         CASE WHEN site_id IN (1) AND NOT building_id IN (150, 106) THEN square_feet * {lit(10.7639)}
              ELSE square_feet END AS square_feet FROM buildings""", ["square_feet"])
     q["month_bucket"] = """SELECT o_orderkey AS row_id,
-        CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 1 WHEN month(o_orderdate) IN (3, 4, 5) THEN 2
+        CAST(CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 1 WHEN month(o_orderdate) IN (3, 4, 5) THEN 2
              WHEN month(o_orderdate) IN (6, 7, 8) THEN 3 WHEN month(o_orderdate) IN (9, 10, 11) THEN 4
-             ELSE month(o_orderdate) END AS season,
-        CASE WHEN month(o_orderdate) IN (1, 2, 3, 4) THEN 1 WHEN month(o_orderdate) IN (5, 6, 7, 8) THEN 2
-             WHEN month(o_orderdate) IN (9, 10, 11, 12) THEN 3 ELSE month(o_orderdate) END AS third
+             ELSE month(o_orderdate) END AS INTEGER) AS season,
+        CAST(CASE WHEN month(o_orderdate) IN (1, 2, 3, 4) THEN 1 WHEN month(o_orderdate) IN (5, 6, 7, 8) THEN 2
+             WHEN month(o_orderdate) IN (9, 10, 11, 12) THEN 3 ELSE month(o_orderdate) END AS INTEGER) AS third
         FROM orders"""
     q["row_id"] = w(READINGS + ",\n" + BAD, """SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS pos
         FROM readings r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.pos = r.row_id)""", [])
@@ -352,12 +352,13 @@ def build(holidays, params) -> dict[str, str]:
         exp(oof) - 1 AS meter_reading_pred FROM oof_t) p USING (building_id, meter, "timestamp")""",
                         ["meter_reading_true", "meter_reading_pred"])
 
-    q["group_mean"] = w(FILLED, """SELECT site_id, day("timestamp") AS day, month("timestamp") AS month,
+    q["group_mean"] = w(FILLED, """SELECT site_id, CAST(day("timestamp") AS INTEGER) AS day,
+        CAST(month("timestamp") AS INTEGER) AS month,
         avg(air_temperature) AS air_temperature_mean FROM filled GROUP BY 1, 2, 3""", ["air_temperature_mean"])
     q["profile_mean_median"] = w(LOG_READINGS, """SELECT building_id, meter, avg(meter_reading) AS mean_building_meter,
         median(meter_reading) AS median_building_meter FROM log_readings GROUP BY 1, 2""",
                                  ["mean_building_meter", "median_building_meter"])
-    q["profile_by_hour"] = w(LOG_READINGS, """SELECT building_id, meter, hour("timestamp") AS hour,
+    q["profile_by_hour"] = w(LOG_READINGS, """SELECT building_id, meter, CAST(hour("timestamp") AS INTEGER) AS hour,
         avg(meter_reading) AS mean_building_meter_hour, median(meter_reading) AS median_building_meter_hour
         FROM log_readings GROUP BY 1, 2, 3""", ["mean_building_meter_hour", "median_building_meter_hour"])
     q["profile_by_season"] = w(READINGS, """SELECT building_id, meter,
@@ -472,12 +473,14 @@ def build(holidays, params) -> dict[str, str]:
                         " AS relative_humidity FROM wimp)",
                         "SELECT site_id, \"timestamp\", " + feels("air_temperature", "relative_humidity", "wind_speed") +
                         " AS feels_like FROM wrh", ["feels_like"])
-    q["calendar_features"] = """SELECT o_orderkey AS row_id, month(o_orderdate) AS month, hour(o_orderdate) AS hour,
-        day(o_orderdate) AS day, weekofyear(o_orderdate) AS week, year(o_orderdate) AS year,
-        isodow(o_orderdate) - 1 AS day_of_week, dayofyear(o_orderdate) AS year_day FROM orders"""
+    q["calendar_features"] = """SELECT o_orderkey AS row_id, CAST(month(o_orderdate) AS INTEGER) AS month,
+        CAST(hour(o_orderdate) AS INTEGER) AS hour, CAST(day(o_orderdate) AS INTEGER) AS day,
+        CAST(weekofyear(o_orderdate) AS INTEGER) AS week, CAST(year(o_orderdate) AS INTEGER) AS year,
+        CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_of_week,
+        CAST(dayofyear(o_orderdate) AS INTEGER) AS year_day FROM orders"""
     q["weekday_collapse"] = """SELECT o_orderkey AS row_id,
-        CASE WHEN isodow(o_orderdate) - 1 IN (1, 2, 3) THEN 1 ELSE isodow(o_orderdate) - 1 END AS day_of_week
-        FROM orders"""
+        CAST(CASE WHEN isodow(o_orderdate) - 1 IN (1, 2, 3) THEN 1 ELSE isodow(o_orderdate) - 1 END AS INTEGER)
+        AS day_of_week FROM orders"""
     q["weekend_flag"] = """SELECT o_orderkey AS row_id, CAST(isodow(o_orderdate) - 1 >= 5 AS INTEGER) AS is_weekend
         FROM orders"""
     q["holiday_flag"] = f"""SELECT o_orderkey AS row_id,
@@ -561,7 +564,8 @@ def build(holidays, params) -> dict[str, str]:
           WHERE NOT coalesce(r.building_id <= {st['max_building']} AND r.meter = '{st['meter_value']}'
                 AND r."timestamp" < TIMESTAMP '{st['before']}' AND b.site_id = 0, false)),
         feat AS (SELECT *, CASE WHEN meter_reading > -1 THEN ln(1 + meter_reading) END AS log_meter_reading,
-                        hour("timestamp") AS hour, isodow("timestamp") - 1 AS weekday FROM base)""",
+                        CAST(hour("timestamp") AS INTEGER) AS hour,
+                        CAST(isodow("timestamp") - 1 AS INTEGER) AS weekday FROM base)""",
                                  f"""SELECT f.*, p1.mean_building_meter, p1.median_building_meter,
         p2.mean_building_meter_hour, p2.median_building_meter_hour, {lag_names}
         FROM feat f
