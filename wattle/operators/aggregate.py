@@ -23,6 +23,13 @@ def _pct(c: Column, p: float, exact: bool, accuracy: int = 10000) -> Column:
     return F.percentile(c, p) if exact else F.percentile_approx(c, p, accuracy).cast("double")
 
 
+def _pcts(c: Column, probs, exact: bool, accuracy: int = 10000) -> Column:
+    """All requested quantiles from one aggregate buffer (one value->count map
+    or one sketch per group, not one per quantile)."""
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    return F.percentile(c, arr) if exact else F.percentile_approx(c, arr, accuracy)
+
+
 def group_mean(df: DataFrame, keys: list[str], col: str, name: str | None = None) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(col).alias(name or f"{col}_mean"))
 
@@ -50,13 +57,20 @@ def profile_full(df: DataFrame, keys: list[str], col: str, prefix: str | None =
     p = prefix or col
     c = F.col(col)
     n = F.count(c)
+    qs = {"median": 0.5, "q80": 0.8, "q30": 0.3}
+    wanted = [s for s in stats if s in qs]
     exprs = {
         "max": F.max(c), "mean": F.avg(c), "std": F.stddev_samp(c),
-        "skew": corrected_skew(F.skewness(c), n), "median": _pct(c, 0.5, exact),
-        "q80": _pct(c, 0.8, exact), "q30": _pct(c, 0.3, exact),
+        "skew": corrected_skew(F.skewness(c), n),
         "kurt": corrected_kurt(F.kurtosis(c), n), "ptp": F.max(c) - F.min(c),
     }
-    first = df.groupBy(*keys).agg(*[exprs[s].alias(f"{p}_{s}") for s in stats if s != "mad"])
+    aggs = [exprs[s].alias(f"{p}_{s}") for s in stats if s in exprs]
+    if wanted:
+        aggs.append(_pcts(c, [qs[s] for s in wanted], exact).alias("__q"))
+    first = df.groupBy(*keys).agg(*aggs)
+    if wanted:
+        first = first.select(*[F.col(x) for x in first.columns if x != "__q"],
+                             *[F.col("__q")[i].cast("double").alias(f"{p}_{s}") for i, s in enumerate(wanted)])
     if "mad" not in stats:
         return first
     mad = mean_abs_dev(df, keys, col, f"{p}_mad")
@@ -82,11 +96,18 @@ def profile_fold_safe(df: DataFrame, keys: list[str], col: str, fold: str, k: in
     rep = df.select(*keys, col, F.explode(others).alias(fold))
     c = F.col(col)
     n = F.count(c)
-    exprs = {"mean": F.avg(c), "median": _pct(c, 0.5, exact), "std": F.stddev_samp(c),
-             "max": F.max(c), "min": F.min(c), "q80": _pct(c, 0.8, exact), "q30": _pct(c, 0.3, exact),
-             "count": n, "skew": corrected_skew(F.skewness(c), n),
-             "kurt": corrected_kurt(F.kurtosis(c), n), "ptp": F.max(c) - F.min(c)}
-    return rep.groupBy(*keys, fold).agg(*[exprs[s].alias(f"{p}_{s}") for s in stats])
+    qs = {"median": 0.5, "q80": 0.8, "q30": 0.3}
+    wanted = [s for s in stats if s in qs]
+    exprs = {"mean": F.avg(c), "std": F.stddev_samp(c), "max": F.max(c), "min": F.min(c), "count": n,
+             "skew": corrected_skew(F.skewness(c), n), "kurt": corrected_kurt(F.kurtosis(c), n),
+             "ptp": F.max(c) - F.min(c)}
+    aggs = [exprs[s].alias(f"{p}_{s}") for s in stats if s in exprs]
+    if wanted:
+        aggs.append(_pcts(c, [qs[s] for s in wanted], exact).alias("__q"))
+    out = rep.groupBy(*keys, fold).agg(*aggs)
+    cols = [F.col(f"{p}_{s}") if s in exprs else
+            F.col("__q")[wanted.index(s)].cast("double").alias(f"{p}_{s}") for s in stats]
+    return out.select(*keys, fold, *cols)
 
 
 def mean_abs_dev(df: DataFrame, keys: list[str], col: str, name: str = "mad") -> DataFrame:
@@ -98,8 +119,10 @@ def mean_abs_dev(df: DataFrame, keys: list[str], col: str, name: str = "mad") ->
 
 
 def quantiles(df: DataFrame, keys: list[str], col: str, probs=(0.3, 0.8), exact: bool = True) -> DataFrame:
-    c = F.col(col)
-    return df.groupBy(*keys).agg(*[_pct(c, q, exact).alias(f"q{int(round(q * 100))}") for q in probs])
+    """Linear-interpolated quantiles per group, all from one aggregate buffer."""
+    g = df.groupBy(*keys).agg(_pcts(F.col(col), probs, exact).alias("__q"))
+    return g.select(*keys, *[F.col("__q")[i].cast("double").alias(f"q{int(round(q * 100))}")
+                             for i, q in enumerate(probs)])
 
 
 def global_bounds(df: DataFrame, ts: str = "timestamp") -> DataFrame:
