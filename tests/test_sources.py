@@ -60,3 +60,19 @@ def test_narrow_schema_strict_bounds(spark):
     rep = {r.column_name: r.target_type for r in range_report(df).collect()}
     assert rep == {"a": "tinyint", "b": "smallint", "c": "float"}     # 127 does not fit int8
     assert dict(narrow_schema(df).dtypes) == {"a": "tinyint", "b": "smallint", "c": "float"}
+
+
+def test_size_for_input(spark):
+    from wattle.session import input_bytes, size_for_input
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+                                             "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        n = input_bytes(spark, ["/root/testdata/sf0.01/events.parquet"])
+        assert n > 0
+        conf = size_for_input(spark, 100 * 1024 ** 4)            # 100 TB
+        assert conf["spark.sql.shuffle.partitions"] == "200000"  # capped
+        conf = size_for_input(spark, 10 * 1024 ** 3)             # 10 GB -> 40 x 256 MB
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

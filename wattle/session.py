@@ -113,3 +113,34 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)     # known schema: no footer-inference job
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 * 1024 * 1024,
+                   max_partitions: int = 200_000) -> dict:
+    """Size shuffles and scan splits for the data actually read.
+
+    Initial shuffle partitions = input bytes / target partition bytes
+    (AQE then coalesces small ones toward the advisory size and splits
+    skewed ones); scan splits use the same target.  Returns the settings
+    applied.  On 100 TB with 256 MB partitions this is ~400k, capped at
+    ``max_partitions`` (above that, raise the target size instead).
+    """
+    n = max(1, min(max_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    conf = {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+    }
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths``: the ``binaryFile`` source's
+    ``length`` column comes from the file listing (the unselected ``content``
+    column is pruned, so no file is read)."""
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+          .load(paths).select(F.sum("length").alias("n")))
+    return int(df.first()["n"] or 0)
