@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from wattle.plans import catalog  # noqa: E402
 from wattle.session import get_session  # noqa: E402
 
-NAMES = ["training_frame", "scoring_frame", "join_weather", "profile_full", "target_encode_oof",
+NAMES = ["training_frame", "scoring_frame", "site_training_frame", "join_weather", "profile_full", "target_encode_oof",
          "oof_group_mean", "folds_kfold", "holdout_rmsle", "gap_fill", "impute_group_ffill",
          "interpolate_linear", "rolling_stats"]
 
