@@ -1,15 +1,62 @@
-"""Corpus pipeline: the stages applied to ``documents`` in order."""
+"""Corpus pipeline: the stages applied to ``documents`` in order.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
+``run`` writes the result of a stage to the shared folder and reads it again for the
+next one.  All stages but the last return the columns of ``documents``; the last one
+returns the documents of the mix and the words that the mix takes of each.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from wattle.llm import decontaminate, line_dedup, mixture, near_dup, toxicity
+from wattle.llm.common import documents, saved
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a calibrated toxicity of 0.5 or more go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found on many sites are cut out of every document but the first that has them."""
+    return line_dedup.line_dedup(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return near_dup.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with at least one word in twenty inside benchmark windows go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with ``taken`` words of each."""
+    return mixture.mixed_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixture", mix_sources),
+]
+
+#: the trained scores and the sketches have no SQL form; see tests/llm/test_pipeline.py
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = documents(spark, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = saved(docs, f"stage-{name}")
     return docs

@@ -169,17 +169,18 @@ class Chunk:
             stop[:-1] = ok[:-1] & ((best[1:] != best[:-1]) | ~ok[1:])
             los.append(first + lo)
             his.append(np.flatnonzero(stop) + 1 + lo)
-            hashes.append(h[best[first].astype(np.int64)])
+            # anchors are minima: mixed again, their values spread evenly over the buckets
+            hashes.append(A.mix(h[best[first].astype(np.int64)] + A.FAR_BASE))
         z = np.zeros(0, np.int64)
         self.lo = np.concatenate(los) if los else z               # window starts [lo, hi) of each run
         self.hi = np.concatenate(his) if his else z
         self.hash = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
 
-    def context(self, lo: int, hi: int) -> bytes:
-        """The text that the windows [lo, hi) cover."""
-        if self.spec.by_words:
-            return self.norm[self.norm_at[lo]:self.norm_end[hi + self.spec.width - 2]]
-        return self.text[lo:hi + self.spec.width - 1]
+    def bounds(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte range (of the text, or of the normalised text) that the windows [lo, hi) cover."""
+        if len(lo) and self.spec.by_words:
+            return self.norm_at[lo], self.norm_end[hi + self.spec.width - 2]
+        return lo, hi + self.spec.width - 1
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -276,19 +277,12 @@ class Contexts:
         self.doc = c.doc_of(self.lo)
         self.doc_key = c.ids[self.doc]
         self.start = self.lo - c.sym_offs[self.doc]
+        begin, end = c.bounds(self.lo, self.hi)
+        body = c.norm if c.spec.by_words else c.text
         known: dict[bytes, int] = {}
-        self.ref = np.empty(len(self.lo), np.int64)
-        self.texts: list[bytes] = []
-        firsts = []
-        for i, (lo, hi) in enumerate(zip(self.lo.tolist(), self.hi.tolist(), strict=True)):
-            t = c.context(lo, hi)
-            k = known.get(t)
-            if k is None:
-                k = known[t] = len(self.texts)
-                self.texts.append(t)
-                firsts.append(i)
-            self.ref[i] = k
-        f = np.array(firsts, np.int64)
+        self.ref = np.array([known.setdefault(body[i:j], len(known)) for i, j in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+        self.texts = list(known)
+        f = np.unique(self.ref, return_index=True)[1]
         self.first = f
         self.windows = (self.hi - self.lo)[f] if len(f) else f
         route = hashes[f].copy() if len(f) else np.zeros(0, np.uint64)
@@ -354,7 +348,6 @@ def answer(spec: Spec, sent: DataFrame, find: Finder) -> DataFrame:
 
     def meet(cells: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
-        texts: list[bytes] = []
         parts = []
         for blob in cells.column("blob").to_pylist():
             raw = _unpack(blob)
@@ -363,16 +356,10 @@ def answer(spec: Spec, sent: DataFrame, find: Finder) -> DataFrame:
             wins = np.frombuffer(raw, np.int32, n, 8 + 4 * n)
             key = np.frombuffer(raw, np.int64, n, 8 + 8 * n)
             start = np.frombuffer(raw, np.int64, n, 8 + 16 * n)
-            ids = np.empty(n, np.int64)
-            at = 8 + 24 * n
-            for i, ln in enumerate(lens.tolist()):
-                t = raw[at:at + ln]
-                at += ln
-                k = known.setdefault(t, len(texts))
-                if k == len(texts):
-                    texts.append(t)
-                ids[i] = k
+            end = 8 + 24 * n + np.cumsum(lens, dtype=np.int64)
+            ids = np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip((end - lens).tolist(), end.tolist(), strict=True)], np.int64)
             parts.append((ids, wins.astype(np.int64), key, start))
+        texts = list(known)
         ids, wins, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort([start, key, ids])
         first = order[np.unique(ids[order], return_index=True)[1]]        # least key of each distinct context
