@@ -103,8 +103,8 @@ placed AS (SELECT no, r % CAST(ceil(source_size / {_B}) AS BIGINT) AS b, r // CA
            FROM ranked WHERE r < need),
 taken AS (SELECT no, b, least(least({_B}, source_size - b * {_B}), CAST(floor(target) AS BIGINT) - turn * source_size - b * {_B}) AS take FROM placed),
 d AS (SELECT doc_id, size, s.no, s.source_size, s.target,
-             sum(size) OVER (PARTITION BY s.no ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - size AS at
+             sum(size) OVER (PARTITION BY s.no ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - size AS p0
       FROM sized JOIN s ON sized.source IS NOT DISTINCT FROM s.source),
-cut AS (SELECT doc_id, sum(greatest(least(at + size - b * {_B}, take) - greatest(at - b * {_B}, 0), 0)) AS taken
-        FROM d JOIN taken ON d.no = taken.no AND b BETWEEN at // {_B} AND (at + size - 1) // {_B} WHERE size > 0 AND take > 0 GROUP BY doc_id)
+cut AS (SELECT doc_id, sum(greatest(least(p0 + size - b * {_B}, take) - greatest(p0 - b * {_B}, 0), 0)) AS taken
+        FROM d JOIN taken ON d.no = taken.no AND b BETWEEN p0 // {_B} AND (p0 + size - 1) // {_B} WHERE size > 0 AND take > 0 GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d LEFT JOIN cut USING (doc_id)"""
