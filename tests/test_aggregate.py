@@ -73,11 +73,3 @@ def test_approximate_quantiles_close_to_exact(spark):
     ap = {r.k: r for r in A.quantiles(df, ["k"], "x", (0.3, 0.8), exact=False).collect()}
     for k in ex:
         assert abs(ex[k].q30 - ap[k].q30) < 1.0 and abs(ex[k].q80 - ap[k].q80) < 1.0
-
-
-def test_checked_broadcast_bound(spark):
-    from wattle.session import bounded_rows, checked_broadcast
-    df = spark.range(100)
-    assert bounded_rows(df, 100) == 100 and bounded_rows(df, 99) is None
-    plan = spark.range(10_000).join(checked_broadcast(df, 1000), "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan

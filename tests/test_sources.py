@@ -70,7 +70,7 @@ def test_size_for_input(spark):
         n = input_bytes(spark, ["/root/testdata/sf0.01/events.parquet"])
         assert n > 0
         conf = size_for_input(spark, 100 * 1024 ** 4)            # 100 TB
-        assert conf["spark.sql.shuffle.partitions"] == "200000"  # capped
+        assert conf["spark.sql.shuffle.partitions"] == "409600"
         conf = size_for_input(spark, 10 * 1024 ** 3)             # 10 GB -> 40 x 256 MB
         assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
     finally:

@@ -5,16 +5,19 @@ computes partial aggregates before the shuffle.  Exact median/quantiles keep
 a value->count map per group (exact, as pandas); pass ``exact=False`` to
 switch to the bounded-memory ``percentile_approx`` sketch when a group can
 hold billions of distinct values.  The mean absolute deviation needs the
-group mean first, so it is a second aggregate over rows joined to the
-(small, checked-broadcast) mean table — never a window that buffers a group.
+group mean first, so it is a second aggregate over rows joined to the table of
+means (planner-sized) — never a window that buffers a group.  ``quantiles``
+ranks the distinct (group, value) pairs over range partitions instead, so that
+a few huge groups are no burden on single tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattle.operators.timeseries import corrected_kurt, corrected_skew
+from wattle.session import write_table
 
 PROFILE_STATS = ("max", "mean", "std", "skew", "median", "q80", "q30", "kurt", "mad", "ptp")
 
@@ -73,7 +76,10 @@ def profile_full(df: DataFrame, keys: list[str], col: str, prefix: str | None =
                              *[F.col("__q")[i].cast("double").alias(f"{p}_{s}") for i, s in enumerate(wanted)])
     if "mad" not in stats:
         return first
-    mad = mean_abs_dev(df, keys, col, f"{p}_mad")
+    if "mean" in stats:
+        mad = mean_abs_dev(df, keys, col, f"{p}_mad", first.select(*keys, F.col(f"{p}_mean").alias("__mu")))
+    else:
+        mad = mean_abs_dev(df, keys, col, f"{p}_mad")
     out = first.join(mad, keys, "inner")
     return out.select(*keys, *[f"{p}_{s}" for s in stats])
 
@@ -110,19 +116,49 @@ def profile_fold_safe(df: DataFrame, keys: list[str], col: str, fold: str, k: in
     return out.select(*keys, fold, *cols)
 
 
-def mean_abs_dev(df: DataFrame, keys: list[str], col: str, name: str = "mad") -> DataFrame:
-    """Mean absolute deviation from the group mean (two aggregates)."""
-    means = df.groupBy(*keys).agg(F.avg(col).alias("__mu"))
+def mean_abs_dev(df: DataFrame, keys: list[str], col: str, name: str = "mad", means: DataFrame | None = None) -> DataFrame:
+    """Mean absolute deviation from the group mean (two aggregates); ``means`` are
+    the groups' means as ``__mu`` where they are known already."""
+    means = df.groupBy(*keys).agg(F.avg(col).alias("__mu")) if means is None else means
     j = df.select(*keys, col).join(means, keys, "inner")
     # NULL keys drop out in the equi join, as pandas' groupby drops NaN keys
     return j.groupBy(*keys).agg(F.avg(F.abs(F.col(col) - F.col("__mu"))).alias(name))
 
 
 def quantiles(df: DataFrame, keys: list[str], col: str, probs=(0.3, 0.8), exact: bool = True) -> DataFrame:
-    """Linear-interpolated quantiles per group, all from one aggregate buffer."""
-    g = df.groupBy(*keys).agg(_pcts(F.col(col), probs, exact).alias("__q"))
-    return g.select(*keys, *[F.col("__q")[i].cast("double").alias(f"q{int(round(q * 100))}")
-                             for i, q in enumerate(probs)])
+    """Linear-interpolated quantiles per group.
+
+    Exact: the distinct (group, value) pairs are counted and ranked over range
+    partitions, so the running count of a value in its group comes from the counts
+    of whole partitions and of the values before it in its own; each quantile then
+    takes the two values around its place.  No task holds a group.  ``exact=False``:
+    one sketch per group."""
+    names = [f"q{int(round(q * 100))}" for q in probs]
+    if not exact:
+        g = df.groupBy(*keys).agg(_pcts(F.col(col), probs, False).alias("__q"))
+        return g.select(*keys, *[F.col("__q")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    pairs = df.groupBy(*keys, F.col(col).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = write_table(pairs.repartitionByRange(n, *keys, "__v").withColumn("__part", F.spark_partition_id()), "value-counts")
+    dealt = dealt.withColumn("__c", F.when(F.col("__v").isNull(), 0).otherwise(F.col("__c")))   # a NULL takes no place
+    per = dealt.groupBy(*keys, "__part").agg(F.sum("__c").alias("__pc"))
+    group = Window.partitionBy(*keys)                       # rows: the partitions that a group touches
+    per = per.withColumn("__before", F.coalesce(F.sum("__pc").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    per = per.withColumn("__n", F.sum("__pc").over(group))
+    inside = Window.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    here = dealt.withColumn("__upto", F.sum("__c").over(inside))
+    on = F.lit(True)
+    for k in [*keys, "__part"]:
+        on = on & here[k].eqNullSafe(per[k])
+    ranked = here.join(per, on).select(*[here[k] for k in keys], "__v", "__n", (F.col("__before") + F.col("__upto")).alias("__hi"),
+                                       (F.col("__before") + F.col("__upto") - F.col("__c")).alias("__lo"))
+    aggs = []
+    for q, name in zip(probs, names):
+        place = F.lit(float(q)) * (F.col("__n") - 1)
+        at = lambda i: F.max(F.when((F.col("__lo") <= i) & (i < F.col("__hi")), F.col("__v")))
+        aggs += [at(F.floor(place)).alias(f"__{name}a"), at(F.ceil(place)).alias(f"__{name}b"), F.max(place - F.floor(place)).alias(f"__{name}f")]
+    g = ranked.groupBy(*keys).agg(*aggs)
+    return g.select(*keys, *[((1 - F.col(f"__{n}f")) * F.col(f"__{n}a") + F.col(f"__{n}f") * F.col(f"__{n}b")).alias(n) for n in names])
 
 
 def global_bounds(df: DataFrame, ts: str = "timestamp") -> DataFrame:

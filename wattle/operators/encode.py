@@ -1,7 +1,7 @@
 """Categorical encodings, fitted once and applied by join.
 
-Label encoding: sorted distinct values -> 0..k-1 (``dense_rank`` over the
-distinct table, one row per category).  Target encoding: per-key count and
+Label encoding: sorted distinct values -> 0..k-1 (``range_rank`` over the
+distinct table).  Target encoding: per-key count and
 sum joined back; the fold-safe variant subtracts each fold's own counts and
 sums from the key totals, so every fold is encoded from the other folds in
 one pass (no per-fold loop, no leak).
@@ -12,13 +12,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattle.session import write_table
+from wattle.sources.positions import range_rank
 
 
 def fit_label_encoder(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Mapping (value, code) with codes in ascending value order."""
     out = out or f"{col}_code"
     d = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return d.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).alias(out))
+    return range_rank(d, [col], out).withColumn(out, F.col(out).cast("int"))
 
 
 def apply_label_encoder(df: DataFrame, mapping: DataFrame, col: str, replace: bool = True) -> DataFrame:
@@ -47,8 +49,9 @@ def fit_target_encoder(train: DataFrame, key: str, target: str, min_samples_leaf
     a key seen once gets the prior.
     """
     out = out or f"{key}_te"
-    prior = train.agg(F.avg(target)).first()[0]          # one scalar
-    stats = train.groupBy(key).agg(F.count(target).alias("__n"), F.avg(target).alias("__m"))
+    stats = write_table(train.groupBy(key).agg(F.count(target).alias("__n"), F.sum(target).alias("__s")), "key-sums")
+    prior = stats.agg(F.sum("__s") / F.sum("__n")).first()[0]          # one scalar, from the sums
+    stats = stats.withColumn("__m", F.col("__s") / F.when(F.col("__n") > 0, F.col("__n")))
     enc = stats.select(key, _smooth(F.col("__n"), F.col("__m"), F.lit(prior), min_samples_leaf,
                                     smoothing).alias(out))
     return enc, prior
@@ -73,7 +76,7 @@ def target_encode_oof(df: DataFrame, key: str, target: str, fold: str, min_sampl
     """Fold-safe target encoding: rows of fold f are encoded from rows of the
     other folds only (counts and sums are subtractable)."""
     out = out or f"{key}_te"
-    kf = df.groupBy(key, fold).agg(F.count(target).alias("__nkf"), F.sum(target).alias("__skf"))
+    kf = write_table(df.groupBy(key, fold).agg(F.count(target).alias("__nkf"), F.sum(target).alias("__skf")), "key-fold-sums")
     k = kf.groupBy(key).agg(F.sum("__nkf").alias("__nk"), F.sum("__skf").alias("__sk"))
     f = kf.groupBy(fold).agg(F.sum("__nkf").alias("__nf"), F.sum("__skf").alias("__sf"))
     allf = Window.partitionBy()                               # over the k-row fold table

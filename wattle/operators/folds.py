@@ -5,7 +5,7 @@ Contiguous folds (KFold / per-class StratifiedKFold without shuffle) follow
 one extra row.  Positions come from :func:`dense_position` (bounded-range
 windows + prefix sums), never from a window over all rows.  Group folds use
 the greedy rule (largest group first, into the lightest fold) over the group
-size table, whose size is checked before it is collected.
+size table, which is streamed, never collected.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattle.session import scratch_path, write_table
 from wattle.sources.positions import dense_position
 
-MAX_GROUPS = 1_000_000
+#: group assignments held on the driver before they are written
+ASSIGN_BATCH = 100_000
 
 
 def fold_of(pos: Column, n: Column, k: int) -> Column:
@@ -40,35 +42,41 @@ def folds_stratified(df: DataFrame, k: int, label: str, order: str = "row_id",
     return p.select(*df.columns, fold_of(F.col("__pos"), F.col("__n"), k).alias(name))
 
 
-def group_fold_table(df: DataFrame, k: int, group: str, name: str = "fold",
-                     max_groups: int = MAX_GROUPS) -> DataFrame:
+def group_fold_table(df: DataFrame, k: int, group: str, name: str = "fold", batch: int = ASSIGN_BATCH) -> DataFrame:
     """(group, fold) by the greedy rule: groups by size descending (ties: larger
-    group value first), each into the currently lightest fold (lowest index on ties)."""
+    group value first), each into the currently lightest fold (lowest index on ties).
+
+    The rule is sequential, so the size table (one row per group, sorted by Spark) is
+    streamed through the driver a partition at a time; only the ``k`` loads and one
+    batch of assignments are held there, and the assignments are written as they come."""
+    spark = df.sparkSession
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    rows = sizes.limit(max_groups + 1).collect()       # one row per group, at most max_groups + 1
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups: group folds need a coarser group column")
-    rows.sort(key=lambda r: (-r["__n"], _desc_key(r[group])))
-    if len(rows) < k:
-        raise ValueError(f"cannot split {len(rows)} groups into {k} folds")
-    load = [0] * k
-    assign = []
-    for r in rows:
+    dtype = dict(sizes.dtypes)[group]
+    schema = f"{_quoted(group)} {dtype}, {name} int"
+    path = scratch_path(spark, "group-folds")
+    load, done, part = [0] * k, 0, []
+
+    def flush() -> None:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        part.clear()
+
+    for r in write_table(sizes, "group-sizes").orderBy(F.desc("__n"), F.desc_nulls_last(group)).toLocalIterator():
         f = min(range(k), key=lambda i: (load[i], i))
         load[f] += r["__n"]
-        assign.append((r[group], f))
-    spark = df.sparkSession
-    dtype = dict(sizes.dtypes)[group]
-    return spark.createDataFrame(assign, f"{group} {dtype}, {name} int")
+        part.append((r[group], f))
+        done += 1
+        if len(part) >= batch:
+            flush()
+    if done < k:
+        raise ValueError(f"cannot split {done} groups into {k} folds")
+    flush()
+    return spark.read.schema(schema).parquet(path)
 
 
-def _desc_key(v):
-    """Sort key placing larger group values first (numbers or strings)."""
-    if isinstance(v, (int, float)):
-        return -v
-    return tuple(-ord(ch) for ch in str(v)) + (1,)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def folds_group(df: DataFrame, k: int, group: str, name: str = "fold") -> DataFrame:
-    table = group_fold_table(df, k, group, name)
-    return df.join(F.broadcast(table), group, "left").select(*df.columns, name)
+    table = group_fold_table(df, k, group, name).withColumnRenamed(group, "__g")
+    return df.join(table, F.col(group).eqNullSafe(F.col("__g")), "left").select(*df.columns, name)

@@ -4,9 +4,7 @@ No broadcast hint is forced on a side whose size depends on the data: the
 join is planned as a shuffle join and adaptive execution turns it into a
 broadcast hash join only when the side's measured size after its stage is
 below ``spark.sql.adaptive.autoBroadcastJoinThreshold``.  That is the size
-check, on real run-time statistics, without an extra job.  Callers that want
-an explicit hint pass ``max_broadcast_rows``: the side is then counted up to
-that bound first (a cheap, bounded ``limit(n+1).count()``).  Hot keys on the
+check, on real run-time statistics, without an extra job.  Hot keys on the
 shuffle path are split by AQE's skew-join handling.
 """
 
@@ -15,14 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattle.session import checked_broadcast
 
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-                   max_broadcast_rows: int | None = None) -> DataFrame:
+def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "left") -> DataFrame:
     """Equi join fact -> dimension (``how`` = left keeps every fact row)."""
-    if max_broadcast_rows is not None:
-        dim = checked_broadcast(dim, max_broadcast_rows)
     return fact.join(dim, on, how)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattle.functions.arith import clip_zero
 from wattle.functions.target import log1p_safe
 from wattle.operators.clean import clip_negative, exclude_entity, fill_const, year_range
 from wattle.operators.joins import join_truth
+from wattle.session import write_table
 
 
 def rmse_expr(y: str, p: str):
@@ -26,13 +27,18 @@ def rmse(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def cv_mean_score(df: DataFrame, y: str, p: str, fold: str = "fold") -> DataFrame:
-    """Mean over folds of the per-fold RMSE (differs from pooled RMSE)."""
-    per = df.groupBy(fold).agg(rmse_expr(y, p).alias("__r"))
-    return per.agg(F.avg("__r").alias("cv_mean_rmse"), F.count(F.lit(1)).alias("n_folds"))
+    """Mean over folds of the per-fold RMSE (differs from pooled RMSE), with the rows
+    that were scored and those that had no truth or no prediction."""
+    both = F.col(y).isNotNull() & F.col(p).isNotNull()
+    per = df.groupBy(fold).agg(rmse_expr(y, p).alias("__r"), F.count_if(both).alias("__s"), F.count_if(~both).alias("__u"))
+    return per.agg(F.avg("__r").alias("cv_mean_rmse"), F.count(F.lit(1)).alias("n_folds"),
+                   F.sum("__s").alias("n_scored"), F.sum("__u").alias("n_unmatched"))
 
 
 def score_by_segment(df: DataFrame, segment: str, y: str, p: str) -> DataFrame:
-    return df.groupBy(segment).agg(rmse_expr(y, p).alias("rmse"), F.count(F.lit(1)).alias("n_rows"))
+    both = F.col(y).isNotNull() & F.col(p).isNotNull()
+    return df.groupBy(segment).agg(rmse_expr(y, p).alias("rmse"), F.count_if(both).alias("n_scored"),
+                                   F.count_if(~both).alias("n_unmatched"))
 
 
 def ensemble_mean(df: DataFrame, cols: list[str], name: str = "pred_mean") -> DataFrame:
@@ -53,12 +59,6 @@ def ensemble_log_space(df: DataFrame, cols: list[str], name: str = "meter_readin
     return df.select("*", clip_zero(F.expm1(total / F.lit(len(cols)))).alias(name))
 
 
-def ensemble_long(preds: DataFrame, key: str = "row_id", value: str = "pred",
-                  name: str = "pred_mean") -> DataFrame:
-    """Mean per key over a long (key, model, pred) table."""
-    return preds.groupBy(key).agg(F.avg(value).alias(name))
-
-
 def holdout_frame(truth: DataFrame, pred: DataFrame, first_year: int, last_year: int,
                   exclude_building, keys=("building_id", "meter", "timestamp"),
                   value: str = "meter_reading", ts: str = "timestamp",
@@ -97,33 +97,33 @@ def holdout_from_file(spark, predictions_path: str, rows: DataFrame, truth: Data
 def distribution_compare(df: DataFrame, a: str, b: str, lo: float, hi: float, bins: int = 20) -> DataFrame:
     """Fixed-bin histograms of two columns side by side: (bin, n_<a>, n_<b>).
     Bin 0 holds values below ``lo``, bin bins+1 values at or above ``hi``."""
-    def hist(c):
-        return (df.where(F.col(c).isNotNull())
-                .groupBy(F.width_bucket(F.col(c), F.lit(lo), F.lit(hi), F.lit(bins)).alias("bin"))
-                .agg(F.count(F.lit(1)).alias(f"n_{c}")))
-    j = hist(a).join(hist(b), "bin", "full")
-    return j.select("bin", F.coalesce(f"n_{a}", F.lit(0)).alias(f"n_{a}"),
-                    F.coalesce(f"n_{b}", F.lit(0)).alias(f"n_{b}"))
+    bin_of = lambda c: F.width_bucket(F.col(c), F.lit(lo), F.lit(hi), F.lit(bins))
+    pair = F.explode(F.array(F.struct(F.lit(0).alias("which"), bin_of(a).alias("bin")), F.struct(F.lit(1).alias("which"), bin_of(b).alias("bin"))))
+    # one pass: both bins of a row, counted together
+    rows = df.select(pair.alias("h")).select("h.which", "h.bin").where(F.col("bin").isNotNull())
+    return rows.groupBy("bin").agg(F.count_if(F.col("which") == 0).alias(f"n_{a}"), F.count_if(F.col("which") == 1).alias(f"n_{b}"))
 
 
 def oof_group_mean(df: DataFrame, keys: list[str], target: str, fold: str = "fold",
-                   name: str = "oof") -> DataFrame:
+                   name: str = "oof", segment: str | None = None) -> DataFrame:
     """Leave-fold-out group-mean predictor: a row of fold f is predicted by
     the mean target of its group over the other folds, else by the mean of
     all other folds.  Counts and sums are subtracted, so one pass serves
-    every fold (the SQL-checkable stand-in for out-of-fold model predictions)."""
-    from pyspark.sql import Window
-
-    
-    kf = df.groupBy(*keys, fold).agg(F.count(target).alias("__nkf"), F.sum(target).alias("__skf"))
+    every fold (the SQL-checkable stand-in for out-of-fold model predictions).
+    With ``segment`` every segment value is treated as a data set of its own."""
+    part = [segment] if segment else []
+    keys = [*part, *keys]
+    # (keys, fold) sums are aggregated once; totals and fold means come from that small table
+    kf = write_table(df.groupBy(*keys, fold).agg(F.count(target).alias("__nkf"), F.sum(target).alias("__skf")), "key-fold-sums")
     k = kf.groupBy(*keys).agg(F.sum("__nkf").alias("__nk"), F.sum("__skf").alias("__sk"))
     stats = kf.join(k, keys, "inner").select(
         *keys, fold, (F.col("__nk") - F.col("__nkf")).alias("__n"),
         (F.col("__sk") - F.col("__skf")).alias("__s"))
-    f = kf.groupBy(fold).agg(F.sum("__nkf").alias("__nf"), F.sum("__skf").alias("__sf"))
-    allf = Window.partitionBy()                                   # k-row fold table
-    fmean = f.select(fold, ((F.sum("__sf").over(allf) - F.col("__sf"))
-                            / (F.sum("__nf").over(allf) - F.col("__nf"))).alias("__fm"))
-    j = df.join(stats, keys + [fold], "left").join(F.broadcast(fmean), fold, "left")
+    f = kf.groupBy(*part, fold).agg(F.sum("__nkf").alias("__nf"), F.sum("__skf").alias("__sf"))
+    others = Window.partitionBy(*part)                            # rows: the folds (of a segment)
+    fmean = f.select(*part, fold, ((F.sum("__sf").over(others) - F.col("__sf"))
+                                   / (F.sum("__nf").over(others) - F.col("__nf"))).alias("__fm"))
+    # one row per fold without segments; with them the planner sizes it
+    j = df.join(stats, keys + [fold], "left").join(fmean if segment else F.broadcast(fmean), [*part, fold], "left")
     pred = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n")).otherwise(F.col("__fm"))
     return j.select(*df.columns, pred.alias(name))

@@ -2,8 +2,10 @@
 driver tables (whole tables, via the adapters in ``wattle.sources.driver_tables``).
 
 Every callable takes ``(spark, sf_dir)`` and returns a DataFrame whose double
-columns are rounded to 9 decimals (the oracle does the same), so engine
-summation order cannot flip a comparison.
+columns are rounded to 9 decimals (the oracle does the same): sums of readings
+are exact (decimal), what is left to the rounding are last-digit differences of
+means and of exp, ln and pow between engines.  Values with fewer decimals, such
+as the input columns, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -21,10 +23,6 @@ from wattle.sources import driver_tables as dt
 from wattle.sources import positions, readers, sinks
 
 ND = 9
-# Output values are nudged by one part in 1e13 before rounding: results that
-# sit exactly on a 9th-decimal tie (common with 2-decimal inputs and power-of-2
-# counts) then round the same way in every engine, whatever its summation order.
-NUDGE = 1.0000000000001
 KEYS = ["building_id", "meter", "timestamp"]
 WEATHER_OUT = ["site_id", "timestamp"] + ["air_temperature", "cloud_coverage", "dew_temperature",
                                           "precip_depth_1_hr", "sea_level_pressure",
@@ -40,7 +38,7 @@ HOLIDAYS = calendar.REFERENCE_HOLIDAYS + tuple(
 
 
 def rounded(df: DataFrame, nd: int = ND) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name) * F.lit(NUDGE), nd).alias(f.name)
+    return df.select(*[F.round(F.col(f.name), nd).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -73,9 +71,10 @@ def _log_readings(s, d):
 
 
 def _folded(s, d, k=3):
-    """Log-target readings with contiguous 3-fold assignment, materialized once:
-    every cross-validation step (OOF means, encodings, scores) reads it."""
-    return materialize(folds.folds_kfold(_log_readings(s, d), k, "row_id"))
+    """Log-target readings with contiguous 3-fold assignment, written once as a
+    table: every cross-validation step (OOF means, encodings, scores) reads the
+    columns it needs from it."""
+    return write_table(folds.folds_kfold(_log_readings(s, d), k, "row_id"), "folded")
 
 
 def _oof(s, d):
@@ -83,14 +82,12 @@ def _oof(s, d):
 
 
 def _three_models(s, d):
-    """Three leave-fold-out group-mean predictors (log space) side by side."""
-    f = _folded(s, d)
-    a0 = score.oof_group_mean(f, ["building_id", "meter"], "meter_reading", "fold", "p1")
-    a = a0.select("row_id", "p1")
-    b = score.oof_group_mean(f.withColumn("hour", F.hour("timestamp")), ["meter", "hour"],
-                             "meter_reading", "fold", "p2").select("row_id", "p2")
-    c = score.oof_group_mean(f, ["building_id"], "meter_reading", "fold", "p3").select("row_id", "p3")
-    return a.join(b, "row_id").join(c, "row_id")
+    """Three leave-fold-out group-mean predictors (log space) side by side: each adds
+    its column to the same rows."""
+    f = _folded(s, d).withColumn("hour", F.hour("timestamp"))
+    for name, keys in (("p1", ["building_id", "meter"]), ("p2", ["meter", "hour"]), ("p3", ["building_id"])):
+        f = score.oof_group_mean(f, keys, "meter_reading", "fold", name)
+    return f.select("row_id", "p1", "p2", "p3")
 
 
 # ---------------------------------------------------------------- A: scans and sinks
@@ -222,7 +219,8 @@ def q_join_weather(s, d):
 
 
 def q_join_inner(s, d):
-    return joins.join_building(_readings(s, d), _buildings(s, d), how="inner")
+    """Readings of buildings with a known (positive) area: the others are lost."""
+    return joins.join_building(_readings(s, d), _buildings(s, d).filter("square_feet > 0"), how="inner")
 
 
 def q_agg_back(s, d):
@@ -254,7 +252,7 @@ def q_profile_by_hour(s, d):
 
 
 def q_profile_by_season(s, d):
-    r = _readings(s, d).withColumn("season", calendar.season("timestamp"))
+    r = dt.order_readings(s, d).withColumn("season", calendar.season("timestamp"))
     return aggregate.profile_max_mean_std(r, ["building_id", "meter", "season"], "meter_reading")
 
 
@@ -357,16 +355,15 @@ def q_lead_features(s, d):
 def q_union_by_name(s, d):
     r = _readings(s, d)
     kept = clean.drop_bad_rows(r, dt.bad_rows(s, d))
-    dropped = r.join(kept.select("row_id"), "row_id", "left_anti").drop("meter_reading")
+    bad = dt.bad_rows(s, d).select(F.col("pos").alias("row_id"))
+    dropped = r.join(bad, "row_id", "left_semi").drop("meter_reading")
     return setops.union_by_name(kept, dropped)
 
 
 def q_union_segments(s, d):
-    f = _folded(s, d)
-    meters = [r[0] for r in f.select("meter").distinct().orderBy("meter").collect()]  # segment list
-    parts = [score.oof_group_mean(f.filter(F.col("meter") == m), ["building_id"], "meter_reading",
-                                  "fold").select("row_id", "meter", "oof") for m in meters]
-    return setops.union_segments(parts)
+    """The per-segment predictor for all segments at once: the segment is part of every key."""
+    return score.oof_group_mean(_folded(s, d), ["building_id"], "meter_reading", "fold",
+                                segment="meter").select("row_id", "meter", "oof")
 
 
 def q_sort_result(s, d):
@@ -455,7 +452,9 @@ def q_folds_stratified(s, d):
 
 
 def q_folds_group(s, d):
-    return folds.folds_group(_readings(s, d), 3, "building_id").select("row_id", "building_id", "fold")
+    """Group folds by third of the year, over several years."""
+    r = dt.order_readings(s, d).withColumn("third", calendar.third_of_year("timestamp"))
+    return folds.folds_group(r, 3, "third").select("row_id", "third", "fold")
 
 
 def q_oof_group_mean(s, d):
@@ -505,54 +504,84 @@ def q_scoring_frame(s, d):
                                   holidays=HOLIDAYS)
 
 
-# ---------------------------------------------------------------- model (rows-only checks)
-MODEL_FEATURES = ["building_id", "site_id", "primary_use", "square_feet", "air_temperature",
-                  "dew_temperature", "cloud_coverage", "precip_depth_1_hr", "relative_humidity",
-                  "feels_like", "hour", "day_of_week", "year_day", "is_holiday"]
-SMALL = model.GBTParams(max_iter=5, max_depth=4, min_instances_per_node=5, max_bins=32)
+# ---------------------------------------------------------------- models
+MODEL_FEATURES = ["building_id", "meter_code", "site_id", "primary_use", "square_feet", "square_feet_floor",
+                  "air_temperature", "dew_temperature", "cloud_coverage", "precip_depth_1_hr", "relative_humidity",
+                  "feels_like", "air_temperature_lead1", "air_temperature_lead2", "air_temperature_lead3",
+                  "hour", "day_of_week", "year_day", "is_holiday", "month", "group"]
+# Budgets of the registered queries, smaller than the operators' defaults (50 trees of depth
+# 6; 45 points): every fit stops early on its validation rows.
+FIT = model.GBTParams(max_iter=20, max_depth=5)
+SEARCH = model.GBTParams(max_iter=10, max_depth=5)
+SEARCH_POINTS = 4
+
 
+def _coded(s, d, frame):
+    """``frame`` with the meter as a code, and the number of values of each category."""
+    meters = write_table(encode.fit_label_encoder(_readings(s, d), "meter", "meter_code"), "meters")
+    uses = _buildings(s, d).select(F.count_distinct("primary_use")).first()[0]
+    return frame.join(meters, "meter", "left"), {"meter_code": meters.count(), "primary_use": uses}
 
-def _model_frame(s, d, with_folds: bool = True):
-    """Training frame (with contiguous folds when a step needs them),
-    materialized once for the fits."""
+
+def _model_frame(s, d):
+    """Training frame with contiguous folds, written once for the fits."""
     tf = features.training_frame(_readings(s, d), _buildings(s, d), _weather(s, d),
                                  dt.bad_rows(s, d), holidays=HOLIDAYS)
-    return materialize(folds.folds_kfold(tf, 3, "row_id") if with_folds else tf)
+    tf, categories = _coded(s, d, tf.filter("meter_reading IS NOT NULL"))
+    return write_table(folds.folds_kfold(tf, 3, "row_id"), "model-frame"), categories
 
 
 def q_assemble_features(s, d):
     from pyspark.ml.functions import vector_to_array
-    return model.assemble_features(_model_frame(s, d, with_folds=False), MODEL_FEATURES).select(
-        "row_id", vector_to_array("features").alias("features"))
+    mf, _ = _model_frame(s, d)
+    rounded_vector = F.transform(vector_to_array("features"), lambda x: F.round(x, ND))
+    return model.assemble_features(mf, MODEL_FEATURES).select("row_id", rounded_vector.alias("features"))
 
 
 def q_gbt_train(s, d):
-    mf = _model_frame(s, d, with_folds=False)
-    m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
-    return model.predict(m, mf, MODEL_FEATURES).select("row_id", "meter_reading", "prediction")
+    """One model; the rows of fold 0 stop it early."""
+    mf, categories = _model_frame(s, d)
+    m = model.train_gbt(mf.withColumn("is_valid", F.col("fold") == 0), MODEL_FEATURES, "meter_reading", FIT, "is_valid",
+                        categories, materialize_input=False)
+    return model.predict(m, mf, MODEL_FEATURES, categories=categories).select("row_id", "meter_reading", "prediction")
 
 
 def q_oof_predict(s, d):
-    out, _ = model.oof_predict(_model_frame(s, d), MODEL_FEATURES, "meter_reading", "fold", SMALL,
-                               materialize_input=False)
+    mf, categories = _model_frame(s, d)
+    out, _ = model.oof_predict(mf, MODEL_FEATURES, "meter_reading", "fold", FIT, categories=categories, materialize_input=False)
     return out.select("row_id", "fold", "meter_reading", "oof")
 
 
+def q_fold_submission(s, d):
+    """Fold models applied to the scoring rows: mean after expm1, clipped, sorted, written
+    as CSV and read back."""
+    mf, categories = _model_frame(s, d)
+    _, models = model.oof_predict(mf, MODEL_FEATURES, "meter_reading", "fold", SEARCH, categories=categories, materialize_input=False)
+    rows = features.scoring_frame(dt.scoring_rows(s, d), _buildings(s, d), _weather(s, d), holidays=HOLIDAYS)
+    rows = write_table(_coded(s, d, rows)[0], "scoring-frame")
+    out = model.score_ensemble(models, rows, MODEL_FEATURES, categories=categories).select("row_id", "meter_reading")
+    path = sinks.write_csv(out.orderBy("row_id"), scratch_path(s, "fold-submission"))
+    return readers.read_csv(s, path, T.StructType([T.StructField("row_id", T.LongType()), T.StructField("meter_reading", T.DoubleType())]))
+
+
 def q_segment_models(s, d):
-    mf = _model_frame(s, d, with_folds=False)
-    ms = model.segment_models(mf, "meter", MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
-    return model.predict_segments(ms, mf, "meter", MODEL_FEATURES).select("row_id", "meter", "prediction")
+    mf, categories = _model_frame(s, d)
+    mf = mf.withColumn("is_valid", F.col("fold") == 0)
+    ms = model.segment_models(mf, "meter", MODEL_FEATURES, "meter_reading", FIT, "is_valid", categories, materialize_input=False)
+    return model.predict_segments(ms, mf, "meter", MODEL_FEATURES, categories=categories).select("row_id", "meter", "prediction")
 
 
 def q_feature_importance(s, d):
-    mf = _model_frame(s, d, with_folds=False)
-    m = model.train_gbt(mf, MODEL_FEATURES, "meter_reading", SMALL, materialize_input=False)
+    mf, categories = _model_frame(s, d)
+    m = model.train_gbt(mf.withColumn("is_valid", F.col("fold") == 0), MODEL_FEATURES, "meter_reading", FIT, "is_valid",
+                        categories, materialize_input=False)
     return model.feature_importance(m, MODEL_FEATURES)
 
 
 def q_param_search(s, d):
-    return model.param_search(_model_frame(s, d), MODEL_FEATURES, "meter_reading", "fold", n_points=2,
-                              base=SMALL, parallelism=2, materialize_input=False)
+    mf, categories = _model_frame(s, d)
+    return model.param_search(mf, MODEL_FEATURES, "meter_reading", "fold", n_points=SEARCH_POINTS,
+                              base=SEARCH, parallelism=4, categories=categories, materialize_input=False)
 
 
 QUERIES = {name[2:]: fn for name, fn in list(globals().items())

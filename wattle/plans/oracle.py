@@ -11,7 +11,7 @@ ND = 9
 
 READINGS = """readings AS (
   SELECT min(event_id) AS row_id, user_id AS building_id, event_type AS meter,
-         date_trunc('hour', ts) AS "timestamp", sum(value) AS meter_reading
+         date_trunc('hour', ts) AS "timestamp", CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS meter_reading
   FROM events GROUP BY user_id, event_type, date_trunc('hour', ts))"""
 
 LOG_READINGS = READINGS + """,
@@ -28,16 +28,20 @@ BUILDINGS = """buildings AS (
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
 
 RAW_WEATHER = """raw_weather AS (
-  SELECT c.c_nationkey AS site_id, date_trunc('hour', e.ts) AS "timestamp",
-         avg(e.value) / 4 - 5 AS air_temperature,
-         stddev_samp(e.value) / 10 AS cloud_coverage,
-         min(e.value) / 4 - 5 AS dew_temperature,
-         max(e.value) - min(e.value) AS precip_depth_1_hr,
-         max(e.value) AS sea_level_pressure,
-         avg(minute(e.ts)) * 6 AS wind_direction,
+  SELECT l_orderkey % 25 AS site_id,
+         TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((l_partkey * 7 + l_linenumber * 131 + l_orderkey) % 720 AS INTEGER)) AS "timestamp",
+         avg(l_quantity) - 10 AS air_temperature,
+         stddev_samp(l_quantity) / 2 AS cloud_coverage,
+         min(l_quantity) - 12 AS dew_temperature,
+         max(l_quantity) - min(l_quantity) AS precip_depth_1_hr,
+         max(l_extendedprice) AS sea_level_pressure,
+         avg(l_partkey % 360) AS wind_direction,
          CAST(count(*) AS DOUBLE) AS wind_speed
-  FROM events e JOIN customer c ON e.user_id = c.c_custkey
-  GROUP BY c.c_nationkey, date_trunc('hour', e.ts))"""
+  FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+
+ORDER_READINGS = """order_readings AS (
+  SELECT o_orderkey AS row_id, o_custkey AS building_id, o_orderpriority AS meter,
+         o_orderdate AS "timestamp", o_totalprice / 1000 AS meter_reading FROM orders)"""
 
 WCOLS = ["air_temperature", "cloud_coverage", "dew_temperature", "precip_depth_1_hr",
          "sea_level_pressure", "wind_direction", "wind_speed"]
@@ -177,7 +181,7 @@ def rnd(sql: str, cols: list[str]) -> str:
     """Round the named double columns of a query to ND decimals."""
     if not cols:
         return sql
-    rep = ", ".join(f"round({c} * CAST('1.0000000000001' AS DOUBLE), {ND}) AS {c}" for c in cols)
+    rep = ", ".join(f"round({c}, {ND}) AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) q"
 
 
@@ -341,7 +345,7 @@ def build(holidays, params) -> dict[str, str]:
                           ["meter_reading"] + WF_DBL)
     q["join_inner"] = w(READINGS + ",\n" + BUILDINGS,
                         "SELECT r.*, b.site_id, b.primary_use, b.square_feet, b.floor_count "
-                        "FROM readings r JOIN buildings b USING (building_id)",
+                        "FROM readings r JOIN buildings b USING (building_id) WHERE b.square_feet > 0",
                         ["meter_reading", "square_feet", "floor_count"])
     q["agg_back"] = w(LOG_READINGS, """SELECT r.*, p.mean_building_meter, p.median_building_meter
         FROM log_readings r LEFT JOIN (SELECT building_id, meter, avg(meter_reading) AS mean_building_meter,
@@ -361,11 +365,11 @@ def build(holidays, params) -> dict[str, str]:
     q["profile_by_hour"] = w(LOG_READINGS, """SELECT building_id, meter, CAST(hour("timestamp") AS INTEGER) AS hour,
         avg(meter_reading) AS mean_building_meter_hour, median(meter_reading) AS median_building_meter_hour
         FROM log_readings GROUP BY 1, 2, 3""", ["mean_building_meter_hour", "median_building_meter_hour"])
-    q["profile_by_season"] = w(READINGS, """SELECT building_id, meter,
+    q["profile_by_season"] = w(ORDER_READINGS, """SELECT building_id, meter,
         CASE WHEN month("timestamp") IN (12, 1, 2) THEN 1 WHEN month("timestamp") IN (3, 4, 5) THEN 2
              WHEN month("timestamp") IN (6, 7, 8) THEN 3 WHEN month("timestamp") IN (9, 10, 11) THEN 4 END AS season,
         max(meter_reading) AS meter_reading_max, avg(meter_reading) AS meter_reading_mean,
-        stddev_samp(meter_reading) AS meter_reading_std FROM readings GROUP BY 1, 2, 3""",
+        stddev_samp(meter_reading) AS meter_reading_std FROM order_readings GROUP BY 1, 2, 3""",
                                ["meter_reading_max", "meter_reading_mean", "meter_reading_std"])
     full = ["max", "mean", "std", "skew", "median", "q80", "q30", "kurt", "mad", "ptp"]
     q["profile_full"] = w(READINGS, """SELECT a.building_id, a.meter, a.meter_reading_max, a.meter_reading_mean,
@@ -400,14 +404,18 @@ def build(holidays, params) -> dict[str, str]:
         f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {cq} IS NULL) AS n_null FROM filled"
         for c, cq in [("site_id", "site_id"), ("timestamp", '"timestamp"')] + [(c, c) for c in WCOLS]), [])
     rm = "sqrt(avg(pow(meter_reading - oof, 2)))"
+    both = "meter_reading IS NOT NULL AND oof IS NOT NULL"
     q["rmse"] = w(OOF, f"""SELECT {rm} AS rmse,
         count(*) FILTER (WHERE meter_reading IS NOT NULL AND oof IS NOT NULL) AS n_scored,
         count(*) FILTER (WHERE NOT (meter_reading IS NOT NULL AND oof IS NOT NULL)) AS n_unmatched FROM oof_t""",
                   ["rmse"])
     q["oof_score"] = q["rmse"]
-    q["cv_mean_score"] = w(OOF, f"""SELECT avg(r) AS cv_mean_rmse, count(*) AS n_folds
-        FROM (SELECT fold, {rm} AS r FROM oof_t GROUP BY fold)""", ["cv_mean_rmse"])
-    q["score_by_segment"] = w(OOF, f"SELECT meter, {rm} AS rmse, count(*) AS n_rows FROM oof_t GROUP BY 1",
+    q["cv_mean_score"] = w(OOF, f"""SELECT avg(r) AS cv_mean_rmse, count(*) AS n_folds,
+        CAST(sum(s) AS BIGINT) AS n_scored, CAST(sum(u) AS BIGINT) AS n_unmatched
+        FROM (SELECT fold, {rm} AS r, count(*) FILTER (WHERE {both}) AS s, count(*) FILTER (WHERE NOT ({both})) AS u
+              FROM oof_t GROUP BY fold)""", ["cv_mean_rmse"])
+    q["score_by_segment"] = w(OOF, f"SELECT meter, {rm} AS rmse, count(*) FILTER (WHERE {both}) AS n_scored, "
+                              f"count(*) FILTER (WHERE NOT ({both})) AS n_unmatched FROM oof_t GROUP BY 1",
                               ["rmse"])
     q["topk_mean"] = w(READINGS, """SELECT building_id, avg(meter_reading) AS mean_value FROM readings
         GROUP BY 1 ORDER BY mean_value DESC, building_id ASC LIMIT 20""", ["mean_value"])
@@ -511,6 +519,11 @@ def build(holidays, params) -> dict[str, str]:
     q["folds_stratified"] = w(READINGS, f"""SELECT row_id, meter, {kfold('n', 'pos', 5)} AS fold
         FROM (SELECT row_id, meter, row_number() OVER (PARTITION BY meter ORDER BY row_id) - 1 AS pos,
                      count(*) OVER (PARTITION BY meter) AS n FROM readings)""", [])
+    q["folds_group"] = w(ORDER_READINGS + """,
+        t AS (SELECT row_id, CAST(CASE WHEN month("timestamp") <= 4 THEN 1 WHEN month("timestamp") <= 8 THEN 2 ELSE 3 END AS INTEGER) AS third
+              FROM order_readings),
+        f AS (SELECT third, CAST(row_number() OVER (ORDER BY n DESC, third DESC) - 1 AS INTEGER) AS fold
+              FROM (SELECT third, count(*) AS n FROM t GROUP BY third))""", "SELECT row_id, third, fold FROM t JOIN f USING (third)", [])
     q["oof_group_mean"] = w(OOF, "SELECT row_id, fold, oof FROM oof_t", ["oof"])
     q["holdout_rmsle"] = w(OOF + f""",
         truth AS (
@@ -551,6 +564,11 @@ def build(holidays, params) -> dict[str, str]:
         FROM kept r LEFT JOIN bf USING (building_id)
         LEFT JOIN wf ON wf.site_id = bf.site_id AND wf."timestamp" = r."timestamp" """,
                             ["meter_reading"] + BUILD_DBL + TRAIN_WF)
+    vector = ", ".join(f'coalesce(CAST("{c}" AS DOUBLE), -999.0)' for c in params["features"])
+    q["assemble_features"] = f"""WITH frame AS ({q["training_frame"]}),
+        codes AS (SELECT meter, row_number() OVER (ORDER BY meter) - 1 AS meter_code FROM (SELECT DISTINCT event_type AS meter FROM events))
+        SELECT row_id, list_transform([{vector}], lambda x: round(x, {ND})) AS features
+        FROM (SELECT frame.*, meter_code FROM frame LEFT JOIN codes USING (meter)) WHERE meter_reading IS NOT NULL"""
     lag_names = ", ".join(f"lg.{c}" for c in ROLL_NAMES)
     q["site_training_frame"] = w(READINGS + ",\n" + BUILDING_FEATURES + ",\n" + _interp_sql(RAW_WEATHER, "raw_weather") + f""",
         lags AS (SELECT site_id, "timestamp", {_ROLL_SQL} FROM interp

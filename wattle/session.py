@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 # side whose size depends on the data is joined without a hint; adaptive query
 # execution measures it at run time and broadcasts it only below
 # ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (set here), else keeps the
-# shuffle join.  ``checked_broadcast`` is the opt-in eager variant for callers
-# that know the side is cheap to count.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# shuffle join.
 AQE_BROADCAST_BYTES = str(64 * 1024 * 1024)
 
 
@@ -51,8 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and intermediate tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir).  Only when neither is set — local tests — a fresh
-    folder is created and registered.
+    checkpoint dir).  Where neither is set, a machine-local folder is made for
+    a single-machine session only; a cluster session is an error, because its
+    executors would not see that folder.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -60,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
         return d
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="wattle-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
@@ -71,29 +72,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count if it is at most ``max_rows``, else None (reads <= max_rows+1 rows)."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only when its size is proven small.
-
-    Beyond the bound the frame is returned unchanged and the planner falls
-    back to a shuffled (sort-merge) join; AQE may still convert it at run
-    time from measured shuffle sizes.
-    """
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
-
-
-def env_cpus(default: int = 8) -> int:
-    try:
-        return int(os.environ.get("BENCH_CPUS", default))
-    except ValueError:
-        return default
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
     shared folder (survives executor loss; never a local checkpoint).  Meant
@@ -115,17 +93,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)     # known schema: no footer-inference job
 
 
-def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 * 1024 * 1024,
-                   max_partitions: int = 200_000) -> dict:
+def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
     """Size shuffles and scan splits for the data actually read.
 
     Initial shuffle partitions = input bytes / target partition bytes
     (AQE then coalesces small ones toward the advisory size and splits
     skewed ones); scan splits use the same target.  Returns the settings
-    applied.  On 100 TB with 256 MB partitions this is ~400k, capped at
-    ``max_partitions`` (above that, raise the target size instead).
+    applied.  On 100 TB with 256 MB partitions this is ~400k; pass a larger
+    target size for fewer partitions.
     """
-    n = max(1, min(max_partitions, -(-int(input_bytes) // int(partition_bytes))))
+    n = max(1, -(-int(input_bytes) // int(partition_bytes)))
     conf = {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),

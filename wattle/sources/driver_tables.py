@@ -3,17 +3,20 @@
 | Role      | Derivation                                                                 |
 |-----------|----------------------------------------------------------------------------|
 | readings  | ``events`` summed per (user_id, event_type, hour): building_id = user_id, |
-|           | meter = event_type, timestamp = hour, meter_reading = sum(value),          |
+|           | meter = event_type, timestamp = hour, meter_reading = sum(value) (exact), |
 |           | row_id = smallest event_id of the hour (file position of its first row)   |
-| weather   | ``events`` joined to ``customer`` and aggregated per (c_nationkey, hour): |
-|           | site_id = c_nationkey; air = avg(value)/4 - 5, dew = min(value)/4 - 5,    |
-|           | cloud = stddev_samp(value)/10, precip = max - min, pressure = max(value), |
-|           | wind_direction = 6 * avg(minute(ts)), wind_speed = count(*)                |
+| weather   | returned ``lineitem`` rows per (site, hour of January 2024), nothing of   |
+|           | the readings: site_id = orderkey mod 25, hour from part, line and order;  |
+|           | air = avg(quantity) - 10, dew = min(quantity) - 12, cloud =               |
+|           | stddev_samp(quantity)/2, precip = max - min quantity, pressure =          |
+|           | max(extendedprice), wind direction = avg(partkey mod 360), speed = count  |
 | buildings | ``customer`` + ``nation``: building_id = c_custkey, site_id = c_nationkey, |
 |           | primary_use = c_mktsegment, square_feet = c_acctbal,                       |
 |           | floor_count = n_regionkey (0 occurs: exercises the zero-floor rule)        |
 | bad rows  | positions (event_id) of raw events with value < 1 (near-zero readings)    |
 | calendar  | ``orders.o_orderdate`` spans 1995-2001 (multi-year calendar rules)        |
+| order     | ``orders`` as readings of several years: building = o_custkey, meter =    |
+| readings  | o_orderpriority, timestamp = o_orderdate, meter_reading = o_totalprice/1000 |
 
 All timestamps stay ``timestamp_ntz``; the hour is built with
 ``make_timestamp_ntz`` so no session time zone is involved.
@@ -43,7 +46,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (ev.groupBy(F.col("user_id").alias("building_id"),
                        F.col("event_type").alias("meter"),
                        hour_of("ts").alias("timestamp"))
-            .agg(F.min("event_id").alias("row_id"), F.sum("value").alias("meter_reading"))
+            .agg(F.min("event_id").alias("row_id"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("meter_reading"))
             .select("row_id", "building_id", "meter", "timestamp", "meter_reading"))
 
 
@@ -53,20 +56,26 @@ def scoring_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events").select("user_id", "ts", "value")
-    cust = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    j = ev.join(cust, ev.user_id == cust.c_custkey, "inner")
-    v = F.col("value")
-    return (j.groupBy(F.col("c_nationkey").alias("site_id"), hour_of("ts").alias("timestamp"))
-            .agg((F.avg(v) / 4 - 5).alias("air_temperature"),
-                 (F.stddev_samp(v) / 10).alias("cloud_coverage"),
-                 (F.min(v) / 4 - 5).alias("dew_temperature"),
-                 (F.max(v) - F.min(v)).alias("precip_depth_1_hr"),
-                 F.max(v).alias("sea_level_pressure"),
-                 (F.avg(F.minute("ts")) * 6).alias("wind_direction"),
+    li = load(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
+    h = F.pmod(F.col("l_partkey") * 7 + F.col("l_linenumber") * 131 + F.col("l_orderkey"), F.lit(720))
+    hour = F.make_timestamp_ntz(F.lit(2024), F.lit(1), (F.floor(h / 24) + 1).cast("int"), (h % 24).cast("int"), F.lit(0), F.lit(0))
+    q = F.col("l_quantity")
+    return (li.groupBy(F.pmod(F.col("l_orderkey"), F.lit(25)).alias("site_id"), hour.alias("timestamp"))
+            .agg((F.avg(q) - 10).alias("air_temperature"),
+                 (F.stddev_samp(q) / 2).alias("cloud_coverage"),
+                 (F.min(q) - 12).alias("dew_temperature"),
+                 (F.max(q) - F.min(q)).alias("precip_depth_1_hr"),
+                 F.max("l_extendedprice").alias("sea_level_pressure"),
+                 F.avg(F.col("l_partkey") % 360).alias("wind_direction"),
                  F.count(F.lit(1)).cast("double").alias("wind_speed")))
 
 
+def order_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("building_id"), F.col("o_orderpriority").alias("meter"),
+                    F.col("o_orderdate").alias("timestamp"), (F.col("o_totalprice") / 1000).alias("meter_reading"))
+
+
 def raw_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cust = load(spark, sf_dir, "customer")
     nat = load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")

@@ -1,17 +1,20 @@
 """Row positions without a one-task window.
 
-Two JVM-side constructions replace pandas' implicit row index:
+Constructions that replace pandas' implicit row index:
 
-``with_row_id``     file position of each row of a scan, from
-                    ``monotonically_increasing_id`` (partition index in the
-                    high bits) plus a prefix sum over per-partition counts.
+``with_row_id``     file position of each row of a scan: files in path order, the
+                    splits of a file by their offset, rows by their place in the
+                    split.  Only the table of splits is summed up in order.
 ``dense_position``  0..n-1 rank of rows by a unique integer key (pandas
                     ``reset_index(drop=True)`` after a filter), optionally
                     restarted per class.  Rows are cut into key ranges of
                     ``width`` keys; each range holds at most ``width`` rows, so
                     the per-range ``row_number`` window is bounded no matter
                     how the data is skewed.  Only the per-range count table
-                    (n / width rows) goes through a prefix-sum window.
+                    goes through a prefix-sum window.
+``range_rank``      0..n-1 rank of distinct rows by any columns: rows are dealt to
+                    range partitions (from sampled bounds), ranked in their
+                    partition and shifted by the counts of those before it.
 """
 
 from __future__ import annotations
@@ -19,29 +22,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattle.session import write_table
 
 DEFAULT_WIDTH = 1 << 20
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Append the 0-based position of each row in scan order.
+    """Append the 0-based file position of each row.
 
-    Must be applied directly on a deterministic scan (no shuffle in between),
-    so the generated ids are identical in both branches of the plan.
+    Must be applied directly on a file scan (its ``_metadata`` names the file and
+    the split; no shuffle in between, so the ids are the same in both branches).
     """
     mid = "__wattle_mid"
-    tagged = df.withColumn(mid, F.monotonically_increasing_id())
-    part = F.shiftright(F.col(mid), 33)
-    counts = (tagged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n")))
-    offsets = counts.select(
-        "__p",
-        F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("__off"))
-    # one row per input partition: bounded by the partition count
-    joined = tagged.join(F.broadcast(offsets), part == F.col("__p"), "inner")
-    local = F.col(mid).bitwiseAND(F.lit((1 << 33) - 1))
+    tagged = df.select("*", F.monotonically_increasing_id().alias(mid), F.col("_metadata.file_path").alias("__path"),
+                       F.col("_metadata.file_block_start").alias("__start"))
+    splits = tagged.groupBy("__path", "__start").agg(F.min(mid).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("__path", "__start", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    # one row per file split
+    joined = tagged.join(splits, ["__path", "__start"], "inner")
     return joined.select(*[F.col(c) for c in df.columns],
-                         (F.col("__off") + local).cast("long").alias(name))
+                         (F.col("__off") + F.col(mid) - F.col("__first")).cast("long").alias(name))
+
+
+def range_rank(df: DataFrame, cols: list[str], name: str = "pos", partitions: int | None = None) -> DataFrame:
+    """Append the 0-based rank of each row by ``cols`` (NULLs first); rows must be
+    distinct in ``cols``.  The dealt rows are written once, so that both uses of
+    the partition number see the same bounds."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = "__wattle_part"
+    dealt = write_table(df.repartitionByRange(n, *cols).withColumn(part, F.spark_partition_id()), "range-rank")
+    counts = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    local = F.row_number().over(Window.partitionBy(part).orderBy(*cols)) - 1
+    # one row per partition: bounded by the partition count
+    return (dealt.withColumn("__lpos", local).join(F.broadcast(offsets), part)
+            .select(*df.columns, (F.col("__off") + F.col("__lpos")).cast("long").alias(name)))
 
 
 def dense_position(df: DataFrame, key: str, name: str = "pos", by: list[str] | None = None,
@@ -60,12 +78,9 @@ def dense_position(df: DataFrame, key: str, name: str = "pos", by: list[str] | N
     extra = [F.sum("__n").over(Window.partitionBy(*by)).alias("__total")] if total else []
     offsets = counts.select(*by, rng, F.coalesce(F.sum("__n").over(w_pref), F.lit(0)).alias("__off"),
                             *extra)
-    # one row per (group, key range): small by construction, so hinted
-    out = local.join(F.broadcast(offsets), by + [rng], "inner")
+    # one row per (group, key range): no hint, sparse keys may make many ranges
+    out = local.join(offsets, by + [rng], "inner")
     tail = [F.col("__total").cast("long").alias(total)] if total else []
     return out.select(*[F.col(c) for c in df.columns],
                       (F.col("__off") + F.col("__lpos")).cast("long").alias(name), *tail)
 
-
-def group_sizes(df: DataFrame, by: list[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))

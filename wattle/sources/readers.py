@@ -27,11 +27,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, add_row_id: s
     return with_row_id(df, add_row_id) if add_row_id else df
 
 
-def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return df.select(*columns) if columns else df
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN -> NULL in floating columns: Spark's avg/max propagate NaN where
     pandas skips it."""

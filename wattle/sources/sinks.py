@@ -35,10 +35,6 @@ def format_fixed(df: DataFrame, cols: list[str], decimals: int = 4) -> DataFrame
     return df.select(*[f(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def write_fixed_csv(df: DataFrame, path: str, cols: list[str], decimals: int = 4) -> str:
-    return write_csv(format_fixed(df, cols, decimals), path)
-
-
 def write_segments(df: DataFrame, path: str, segment: str, fmt: str = "parquet") -> str:
     """One output folder per segment value (``segment=<v>``), written in one job."""
     df.write.mode("overwrite").partitionBy(segment).format(fmt).save(path)

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 def score_micro_batches(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str,
                         checkpoint: str, fmt: str = "parquet"):
     """Start a query that scores each micro-batch with the batch plan ``score``
-    and appends the result to ``path`` (exactly-once via the checkpoint)."""
-    def _sink(batch: DataFrame, _epoch: int) -> None:
-        score(batch).write.mode("append").format(fmt).save(path)
+    into its own folder ``path/batch=<id>``.  A batch that is retried after a failure
+    replaces its folder, so its rows are there once."""
+    def _sink(batch: DataFrame, epoch: int) -> None:
+        score(batch).write.mode("overwrite").format(fmt).save(f"{path}/batch={epoch}")
 
     return (stream.writeStream.foreachBatch(_sink)
             .option("checkpointLocation", checkpoint).start())
