@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import wattle
 from wattle.session import write_table
 
 #: rows in one Arrow batch; with long texts the byte bound below ends a batch earlier
@@ -12,8 +17,31 @@ ARROW_ROWS = 512
 ARROW_BYTES = 4 * 1024 * 1024
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send the package to the executors, whose Python workers import it: ``addPyFile``
+    serves the archive from the driver, so no folder needs to be shared for it."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(wattle.__file__))
+    if sc.applicationId in _shipped or not os.path.isdir(root):   # already inside an archive
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="wattle-code-"), "wattle_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers (texts may be long)."""
+    """Ready the session for Python workers: the package is there, and Arrow batches
+    are bounded (texts may be long)."""
+    _ship(spark)
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS),
                        ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
         try:
