@@ -10,8 +10,10 @@
   the trees' probability to the share of toxic documents.
 
 Training rows: the labelled documents that are not held out, at most ``SAMPLE`` of them,
-chosen by the hash of their id.  By another hash they are dealt into three parts that
-learn the lexicon, the trees and the calibration, so no part judges its own evidence.
+chosen by the hash of their id.  By another hash they are dealt into three parts: two
+learn a lexicon each and give the trees their rows, each with the features of the other
+one's lexicon, and the third calibrates, so no row judges its own evidence.  Scores use
+the lexicon of the first two parts together.
 Every document is scored on its whole text.
 
 Defined cases: null and empty texts get the score of a text without any word; labels are
@@ -25,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -252,15 +255,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .orderBy(F.xxhash64("id"), "id").limit(sample))
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     # the sample is bounded, so its ids and labels may be broadcast
-    part = F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.lit(6))
+    part = F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.lit(5))
     rows = saved(d.join(F.broadcast(marked), "id").select("text", "toxic", part.alias("part")), "sample")
     n, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = n_toxic / n if n else 0.0
-    lexicon = learn_lexicon(rows.filter("part < 3"))
-    fit = rows.filter("part >= 3").select("part", F.col("toxic").cast("double").alias("label"),
-                                          array_to_vector(features(F.col("text").cast("string"), lexicon)).alias("features"))
+    first, second, last = rows.filter("part < 2"), rows.filter("part IN (2, 3)"), rows.filter("part = 4")
+    lexicon = learn_lexicon(rows.filter("part < 4"))
+    given = [(first, learn_lexicon(second)), (second, learn_lexicon(first)), (last, lexicon)]
+    fit = reduce(DataFrame.unionByName, [r.select("part", F.col("toxic").cast("double").alias("label"),
+                                                  array_to_vector(features(F.col("text").cast("string"), lex)).alias("features")) for r, lex in given])
     fit = saved(fit.repartition(4), "features")
-    trained, kept_back = fit.filter("part < 5"), fit.filter("part = 5")
+    trained, kept_back = fit.filter("part < 4"), fit.filter("part = 4")
     if trained.select("label").distinct().count() < 2 or kept_back.select("label").distinct().count() < 2:
         return Model(lexicon, None, None, prior)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7, minInstancesPerNode=2).fit(trained)
