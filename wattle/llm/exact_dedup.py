@@ -190,6 +190,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .select("doc_id", *KEY, "points", "text").mapInArrow(_cut, TEXT_SCHEMA)).withColumn("chunk_hash", F.xxhash64("chunk"))
     kept = (chunks.join(shared, KEY).filter(F.col("doc_id").eqNullSafe(F.col("keep")) & (F.col("points") == F.col("keep_points")))
             .groupBy(*KEY, "part").agg(F.min("chunk").alias("kept_chunk")))
+    kept = saved(kept, "kept-chunks")            # a scan of its own: the members' side of the join can be split
     differ = (chunks.join(kept, [*KEY, "part"], "left").filter(~F.col("chunk").eqNullSafe(F.col("kept_chunk")))
               .select(*KEY).distinct().withColumn("split", F.lit(True)))
     prints = prints.join(saved(differ, "differ"), KEY, "left").withColumn("class", F.when(F.col("split"), F.col("sha")))
