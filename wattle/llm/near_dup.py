@@ -8,9 +8,13 @@ occurrence number in the text, so a repeated k-mer counts as often as it is repe
   hashed in the order in which they stand in the text.  Texts agree on an entry with
   about the probability similarity ** SAMPLE; a change of order breaks the agreement.
 * Candidates: texts with equal words are one class from the start (one row stands for
-  all copies).  The members of a bucket (table, entry) are paired with its least and its
-  greatest member only, never with each other, by a join whose hot side can be split.
-  A pair is looked at when its sketches agree on ``MIN_AGREE`` entries.
+  all copies).  First, the members of a bucket (table, entry) are paired with its least
+  and its greatest member, by a join whose hot side can be split.  Then come rounds in
+  which every member meets ``NEIGHBOURS`` others of its bucket, in an order that is drawn
+  anew for each round (large buckets are dealt into parts for it); pairs within a class
+  that is known already are passed over, and rounds go on until one finds no new link.
+  So the pairs grow with the members, not with their square.  A pair is looked at when
+  its sketches agree on ``MIN_AGREE`` entries.
 * Verification: labelled k-mers match at most once, so the best alignment of two texts
   is the longest chain of matches that rises in both; matches outside the band of
   diagonals that a similar pair can touch are left out.  Similarity is the length of the
@@ -20,8 +24,8 @@ occurrence number in the text, so a repeated k-mer counts as often as it is repe
   tables in the shared folder.
 
 At similarity 0.8 two sketches agree on fewer than two of 16 entries with a probability of
-2e-6; the pairing by bucket ends can lose a link only if every bucket that both texts
-share has other ends that are similar to neither (measured in the tests).
+2e-6.  A class can stay split if no pair that would join its parts is drawn in a round
+that finds none elsewhere either (README: measured against all pairs).
 
 Defined cases: null, empty and wordless texts are alone in their class; the document with
 the smallest id stays (null last), of equal ids one row; rows with the same id are
@@ -32,10 +36,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattle.llm import arrays as A
@@ -46,6 +51,11 @@ TABLES = 16
 SAMPLE = 2
 MIN_AGREE = 2
 SIMILARITY = 0.8
+NEIGHBOURS = 12
+#: members of a bucket that are ordered together in a round
+PART = 4096
+#: node numbers (8 bytes each) that are broadcast to pick the k-mers of a round
+BROADCAST_NODES = 1_000_000
 SEEDS = A.mix(np.arange(1, 65, dtype=np.uint64) * A.MULT)
 
 
@@ -182,6 +192,33 @@ def _verify(least: float):
     return run
 
 
+def _agreement(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+
+
+def _neighbours(members: DataFrame, turn: int, min_agree: int) -> DataFrame:
+    """Pairs (a, b) of bucket neighbours in this turn's order, from different classes and
+    with sketches that agree; members: table, entry, size, node, entries, label."""
+    drawn = F.xxhash64(F.lit(turn), "table", "node")
+    part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("size") / PART))
+    along = Window.partitionBy("table", "entry", "part").orderBy("drawn").rowsBetween(1, NEIGHBOURS)
+    others = F.collect_list(F.struct(F.col("node").alias("n"), F.col("label").alias("l"), F.col("entries").alias("e"))).over(along)
+    met = (members.withColumn("drawn", drawn).withColumn("part", part).withColumn("others", others)
+           .select("node", "label", "entries", F.explode("others").alias("o"))
+           .filter("label <> o.l").withColumn("oe", F.col("o.e")).filter(_agreement("entries", "oe") >= min_agree))
+    return met.select(F.least("node", "o.n").alias("a"), F.greatest("node", "o.n").alias("b")).distinct()
+
+
+def _links(pairs: DataFrame, kmers: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that are similar enough."""
+    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    few = used.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    own = kmers.join(F.broadcast(used) if few else used, "node", "left_semi")
+    cand = (pairs.join(own.select(F.col("node").alias("b"), F.col("kmers").alias("kb")), "b")
+            .join(own.select(F.col("node").alias("a"), F.col("kmers").alias("ka")), "a").select("a", "b", "ka", "kb"))
+    return cand.mapInArrow(_verify(similarity), "a long, b long")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component; edges (a, b)."""
     both = saved(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
@@ -216,24 +253,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), *words, "entries"))
     reps = saved(reps, "texts")
     cells = reps.select("node", F.posexplode("entries").alias("table", "entry"))
-    ends = cells.groupBy("table", "entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    ends = cells.groupBy("table", "entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    shared = saved(cells.join(ends, ["table", "entry"]), "buckets")
     pair = lambda end: (F.when(F.col("node") != F.col(end), F.struct(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))))
-    pairs = (cells.join(ends, ["table", "entry"]).select(F.explode(F.array_compact(F.array(pair("lo"), pair("hi")))).alias("p"))
-             .select("p.a", "p.b").distinct())
+    pairs = shared.select(F.explode(F.array_compact(F.array(pair("lo"), pair("hi")))).alias("p")).select("p.a", "p.b").distinct()
     side = lambda n: reps.select(F.col("node").alias(n), F.col("entries").alias(f"e{n}"))
-    agree = F.aggregate(F.zip_with("ea", "eb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = saved(pairs.join(side("a"), "a").join(side("b"), "b").filter(agree >= min_agree).select("a", "b"), "pairs")
-    # the k-mers of the texts that pairs need, once
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = reps.join(used, "node").select("node", F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    pairs = saved(pairs.join(side("a"), "a").join(side("b"), "b").filter(_agreement("ea", "eb") >= min_agree).select("a", "b"), "pairs")
+    # the k-mers of the texts that share a bucket, once
+    need = (reps.join(shared.select("node").distinct(), "node").select("node", F.col("doc_id").alias("d"), F.col("th").alias("t")))
     source = base.select("doc_id", "th", "text")
     kmers = source.join(need, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
     kmers = saved(kmers.mapInArrow(_labels(k), "node long, kmers binary").dropDuplicates(["node"]), "kmers")
-    cand = (pairs.join(kmers.select(F.col("node").alias("b"), F.col("kmers").alias("kb")), "b")
-            .join(kmers.select(F.col("node").alias("a"), F.col("kmers").alias("ka")), "a").select("a", "b", "ka", "kb"))
-    links = saved(cand.mapInArrow(_verify(similarity), "a long, b long"), "links")
+    nodes = reps.select("node", *words)
+    links = saved(_links(pairs, kmers, similarity), "links")
+    labels = saved(components(links, nodes), "classes")
+    members = shared.select("table", "entry", "node", "size").join(reps.select("node", "entries"), "node")
+    for turn in count():
+        met = saved(_neighbours(members.join(labels.select("node", "label"), "node"), turn, min_agree), "pairs")
+        found = saved(_links(met, kmers, similarity), "links")
+        if found.isEmpty():
+            break
+        links = saved(links.unionByName(found), "links")
+        labels = saved(components(links, nodes), "classes")
     degree = (links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links")))
-    labels = components(links, reps.select("node", *words)).join(degree, "node", "left")
+    labels = labels.join(degree, "node", "left")
     member = (sketched.select("doc_id", "row", *words).join(labels.select(*words, "label", "n_links"), words, "left")
               .withColumn("label", F.coalesce("label", "row")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
