@@ -494,6 +494,30 @@ def q_site_training_frame(s, d):
     return features.site_training_frame(_readings(s, d), _buildings(s, d), _weather(s, d), SITE_OUTLIER)
 
 
+def q_site_scoring_frame(s, d):
+    return features.site_training_frame(_readings(s, d), _buildings(s, d), _weather(s, d), SITE_OUTLIER, scoring=dt.scoring_rows(s, d)).select(
+        "row_id", "site_id", "primary_use", "air_temperature", "hour", "weekday", "mean_building_meter", "median_building_meter",
+        "mean_building_meter_hour", "median_building_meter_hour", "air_temperature_mean_lag18")
+
+
+def _plain_training_frame(s, d):
+    return features.training_frame(_readings(s, d), _buildings(s, d), _weather(s, d), dt.bad_rows(s, d), holidays=HOLIDAYS)
+
+
+PROFILED = ["row_id", "building_id", "meter", "air_temperature", "meter_reading_mean", "meter_reading_median", "meter_reading_std", "building_id_te"]
+
+
+def q_profiled_training_frame(s, d):
+    return features.profiled_training_frame(_plain_training_frame(s, d)).select("fold", *PROFILED)
+
+
+def q_profiled_scoring_frame(s, d):
+    """Trained on the first part of the month: buildings that only the rest has are unseen."""
+    train = _plain_training_frame(s, d).filter(F.col("timestamp") < F.lit(TRAIN_CUT).cast("timestamp_ntz"))
+    rows = features.scoring_frame(dt.scoring_rows(s, d), _buildings(s, d), _weather(s, d), holidays=HOLIDAYS)
+    return features.profiled_scoring_frame(train, rows).select(*PROFILED)
+
+
 def q_folds_per_segment(s, d):
     """Contiguous 2-fold split inside each meter (the per-site KFold)."""
     return folds.folds_stratified(_readings(s, d), 2, "meter", "row_id").select("row_id", "meter", "fold")
@@ -525,8 +549,7 @@ def _coded(s, d, frame):
 
 def _model_frame(s, d):
     """Training frame with contiguous folds, written once for the fits."""
-    tf = features.training_frame(_readings(s, d), _buildings(s, d), _weather(s, d),
-                                 dt.bad_rows(s, d), holidays=HOLIDAYS)
+    tf = _plain_training_frame(s, d)
     tf, categories = _coded(s, d, tf.filter("meter_reading IS NOT NULL"))
     return write_table(folds.folds_kfold(tf, 3, "row_id"), "model-frame"), categories
 

@@ -3,8 +3,8 @@ one lazy plan from raw tables to model-ready rows.
 
 Plan shape (readings are the only large input):
 
-    readings --anti(bad rows)--> --left(buildings, checked broadcast)-->
-      --left(weather features on (site, hour), checked broadcast)-->
+    readings --anti(bad rows)--> --left(buildings)-->
+      --left(weather features on (site, hour))-->
       calendar + buckets + log target
 
 Weather features are computed once on the sites x hours table (small) and
@@ -27,9 +27,10 @@ from wattle.functions.calendar import (
 )
 from wattle.functions.target import log1p_safe
 from wattle.functions.weather import feels_like, humidity_magnus
-from wattle.operators.aggregate import profile_mean_median
+from wattle.operators.aggregate import profile_fold_safe, profile_full, profile_mean_median
 from wattle.operators.clean import drop_bad_rows, drop_startup_outliers
-from wattle.operators.encode import label_encode
+from wattle.operators.encode import label_encode, target_encode, target_encode_oof
+from wattle.operators.folds import folds_kfold
 from wattle.operators.joins import join_back, join_building, join_weather
 from wattle.operators.timeseries import (
     gap_fill, impute_group_fills, interpolate_linear, lead_features, rolling_stats,
@@ -106,12 +107,34 @@ def scoring_frame(rows: DataFrame, buildings: DataFrame, weather: DataFrame,
     return calendar_features(df, holidays=holidays).drop(*drop)
 
 
+PROFILE_STATS = ("mean", "median", "std")
+
+
+def profiled_training_frame(train: DataFrame, k: int = 3, keys=("building_id", "meter"), target: str = "meter_reading",
+                            encoded: str = "building_id") -> DataFrame:
+    """Training rows with contiguous folds, the target's profile by ``keys`` and the target
+    encoding of ``encoded``, both from the rows of the other folds only."""
+    rows = write_table(folds_kfold(train.filter(F.col(target).isNotNull()), k, "row_id"), "profiled-rows")
+    profile = profile_fold_safe(rows, list(keys), target, "fold", k, PROFILE_STATS)
+    return target_encode_oof(join_back(rows, profile, [*keys, "fold"]), encoded, target, "fold")
+
+
+def profiled_scoring_frame(train: DataFrame, scoring: DataFrame, keys=("building_id", "meter"), target: str = "meter_reading",
+                           encoded: str = "building_id") -> DataFrame:
+    """Scoring rows with the profile and the encoding of all training rows: a key that
+    training never saw has NULL statistics and the mean target as its encoding."""
+    train = train.filter(F.col(target).isNotNull())
+    profile = profile_full(train, list(keys), target, stats=PROFILE_STATS)
+    return target_encode(train, encoded, target, apply_to=join_back(scoring, profile, list(keys)))
+
+
 SITE_WEATHER = ["air_temperature", "cloud_coverage", "dew_temperature", "precip_depth_1_hr"]
 
 
 def site_training_frame(readings: DataFrame, buildings: DataFrame, weather: DataFrame,
-                        outlier: dict, window: int = 18, weather_cols=SITE_WEATHER) -> DataFrame:
-    """The per-site pipeline's training rows.
+                        outlier: dict, window: int = 18, weather_cols=SITE_WEATHER, scoring: DataFrame | None = None) -> DataFrame:
+    """The per-site pipeline's training rows or, with ``scoring`` (rows without a
+    target), those rows with the training rows' profiles: unseen keys get NULLs.
 
     Weather: interpolated per site over its own rows, plus trailing
     ``window``-row statistics (both tables sites x hours, written once).
@@ -126,12 +149,15 @@ def site_training_frame(readings: DataFrame, buildings: DataFrame, weather: Data
     wi = write_table(interpolate_linear(w, cols), "weather-interpolated")
     lags = write_table(rolling_stats(wi, cols, window, drop_source=True), "weather-lags")
     b = write_table(label_encode(buildings, "primary_use"), "buildings-encoded")
+    hours = [F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("weekday")]
     df = join_weather(join_building(readings, b, how="inner"), wi)
     df = drop_startup_outliers(df, **outlier)
-    df = df.select("*", log1p_safe("meter_reading").alias("log_meter_reading"),
-                   F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("weekday"))
+    df = df.select("*", log1p_safe("meter_reading").alias("log_meter_reading"), *hours)
     keys = ["building_id", "meter"]
     p1 = profile_mean_median(df, keys, "log_meter_reading", "building_meter")
     p2 = profile_mean_median(df, keys + ["hour"], "log_meter_reading", "building_meter_hour")
-    df = join_back(join_back(df, p1, keys, "inner"), p2, keys + ["hour"], "inner")
+    if scoring is not None:
+        df = join_weather(join_building(scoring, b), wi).select("*", *hours)
+    how = "inner" if scoring is None else "left"
+    df = join_back(join_back(df, p1, keys, how), p2, keys + ["hour"], how)
     return join_weather(df, lags)

@@ -555,22 +555,47 @@ def build(holidays, params) -> dict[str, str]:
         ON a.bin = b.bin""", [])
 
     frame_cols = (", ".join(f"wf.{c}" for c in TRAIN_WF))
-    q["training_frame"] = w(READINGS + ",\n" + BAD + ",\n" + BUILDING_FEATURES + ",\n" + WF + """,
-        kept AS (SELECT * FROM readings r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.pos = r.row_id))""",
-                            f"""SELECT r.row_id, r.building_id, r.meter, r."timestamp",
+    tf_ctes = READINGS + ",\n" + BAD + ",\n" + BUILDING_FEATURES + ",\n" + WF + """,
+        kept AS (SELECT * FROM readings r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.pos = r.row_id))"""
+    tf_body = f"""SELECT r.row_id, r.building_id, r.meter, r."timestamp",
         CASE WHEN r.meter_reading > -1 THEN ln(1 + r.meter_reading) END AS meter_reading,
         bf.site_id, bf.primary_use, bf.square_feet, bf.floor_count, bf.square_feet_floor, {frame_cols},
         {cal.replace('"timestamp"', 'r."timestamp"')}
         FROM kept r LEFT JOIN bf USING (building_id)
-        LEFT JOIN wf ON wf.site_id = bf.site_id AND wf."timestamp" = r."timestamp" """,
-                            ["meter_reading"] + BUILD_DBL + TRAIN_WF)
+        LEFT JOIN wf ON wf.site_id = bf.site_id AND wf."timestamp" = r."timestamp" """
+    q["training_frame"] = w(tf_ctes, tf_body, ["meter_reading"] + BUILD_DBL + TRAIN_WF)
+    stats = """avg(x.meter_reading) AS meter_reading_mean, median(x.meter_reading) AS meter_reading_median,
+        stddev_samp(x.meter_reading) AS meter_reading_std"""
+    names = "meter_reading_mean, meter_reading_median, meter_reading_std"
+    profiled = ["air_temperature", "meter_reading_mean", "meter_reading_median", "meter_reading_std", "building_id_te"]
+    q["profiled_training_frame"] = w(tf_ctes + f""",
+        tf AS ({tf_body}),
+        folded AS (SELECT *, {kfold('n', 'pos', 3)} AS fold FROM (
+          SELECT *, row_number() OVER (ORDER BY row_id) - 1 AS pos, count(*) OVER () AS n FROM tf WHERE meter_reading IS NOT NULL)),
+        other AS (SELECT f.fold AS for_fold, x.* FROM (SELECT DISTINCT fold FROM folded) f JOIN folded x ON x.fold <> f.fold),
+        p AS (SELECT building_id, meter, for_fold, {stats} FROM other x GROUP BY 1, 2, 3),
+        st AS (SELECT building_id, for_fold, count(*) AS n, sum(meter_reading) AS s FROM other GROUP BY 1, 2),
+        fp AS (SELECT for_fold, avg(meter_reading) AS prior FROM other GROUP BY 1)""",
+                                     f"""SELECT a.row_id, a.fold, a.building_id, a.meter, a.air_temperature, {names},
+        CASE WHEN st.n > 0 THEN {te_sql('st.n', 'st.s / st.n', 'fp.prior')} ELSE fp.prior END AS building_id_te
+        FROM folded a LEFT JOIN p ON p.building_id = a.building_id AND p.meter = a.meter AND p.for_fold = a.fold
+        LEFT JOIN st ON st.building_id = a.building_id AND st.for_fold = a.fold LEFT JOIN fp ON fp.for_fold = a.fold""", profiled)
+    q["profiled_scoring_frame"] = w(tf_ctes + f""",
+        tr AS (SELECT * FROM ({tf_body}) WHERE meter_reading IS NOT NULL AND "timestamp" < TIMESTAMP '{cut}'),
+        p AS (SELECT building_id, meter, {stats} FROM tr x GROUP BY 1, 2),
+        pr AS (SELECT avg(meter_reading) AS prior FROM tr),
+        st AS (SELECT building_id, count(*) AS n, avg(meter_reading) AS m FROM tr GROUP BY 1)""",
+                                    f"""SELECT r.row_id, r.building_id, r.meter, wf.air_temperature, {names},
+        coalesce({te_sql('st.n', 'st.m', 'pr.prior')}, pr.prior) AS building_id_te
+        FROM readings r LEFT JOIN bf USING (building_id) LEFT JOIN wf ON wf.site_id = bf.site_id AND wf."timestamp" = r."timestamp"
+        LEFT JOIN p ON p.building_id = r.building_id AND p.meter = r.meter LEFT JOIN st ON st.building_id = r.building_id CROSS JOIN pr""", profiled)
     vector = ", ".join(f'coalesce(CAST("{c}" AS DOUBLE), -999.0)' for c in params["features"])
     q["assemble_features"] = f"""WITH frame AS ({q["training_frame"]}),
         codes AS (SELECT meter, row_number() OVER (ORDER BY meter) - 1 AS meter_code FROM (SELECT DISTINCT event_type AS meter FROM events))
         SELECT row_id, list_transform([{vector}], lambda x: round(x, {ND})) AS features
         FROM (SELECT frame.*, meter_code FROM frame LEFT JOIN codes USING (meter)) WHERE meter_reading IS NOT NULL"""
     lag_names = ", ".join(f"lg.{c}" for c in ROLL_NAMES)
-    q["site_training_frame"] = w(READINGS + ",\n" + BUILDING_FEATURES + ",\n" + _interp_sql(RAW_WEATHER, "raw_weather") + f""",
+    site_ctes = (READINGS + ",\n" + BUILDING_FEATURES + ",\n" + _interp_sql(RAW_WEATHER, "raw_weather") + f""",
         lags AS (SELECT site_id, "timestamp", {_ROLL_SQL} FROM interp
                  WINDOW r AS (PARTITION BY site_id ORDER BY "timestamp" ROWS BETWEEN 17 PRECEDING AND CURRENT ROW)),
         base AS (
@@ -583,7 +608,8 @@ def build(holidays, params) -> dict[str, str]:
                 AND r."timestamp" < TIMESTAMP '{st['before']}' AND b.site_id = 0, false)),
         feat AS (SELECT *, CASE WHEN meter_reading > -1 THEN ln(1 + meter_reading) END AS log_meter_reading,
                         CAST(hour("timestamp") AS INTEGER) AS hour,
-                        CAST(isodow("timestamp") - 1 AS INTEGER) AS weekday FROM base)""",
+                        CAST(isodow("timestamp") - 1 AS INTEGER) AS weekday FROM base)""")
+    q["site_training_frame"] = w(site_ctes,
                                  f"""SELECT f.*, p1.mean_building_meter, p1.median_building_meter,
         p2.mean_building_meter_hour, p2.median_building_meter_hour, {lag_names}
         FROM feat f
@@ -597,6 +623,21 @@ def build(holidays, params) -> dict[str, str]:
                                  ["meter_reading", "square_feet", "floor_count", "log_meter_reading",
                                   "mean_building_meter", "median_building_meter", "mean_building_meter_hour",
                                   "median_building_meter_hour"] + INTERP + ROLL_NAMES)
+    q["site_scoring_frame"] = w(site_ctes + """,
+        p1 AS (SELECT building_id, meter, avg(log_meter_reading) AS mean_building_meter,
+                      median(log_meter_reading) AS median_building_meter FROM feat GROUP BY 1, 2),
+        p2 AS (SELECT building_id, meter, hour, avg(log_meter_reading) AS mean_building_meter_hour,
+                      median(log_meter_reading) AS median_building_meter_hour FROM feat GROUP BY 1, 2, 3)""",
+                                """SELECT r.row_id, b.site_id, p.code AS primary_use, i.air_temperature, CAST(hour(r."timestamp") AS INTEGER) AS hour,
+        CAST(isodow(r."timestamp") - 1 AS INTEGER) AS weekday, mean_building_meter, median_building_meter,
+        mean_building_meter_hour, median_building_meter_hour, lags.air_temperature_mean_lag18
+        FROM readings r LEFT JOIN buildings b USING (building_id) LEFT JOIN pu p ON b.primary_use = p.primary_use
+        LEFT JOIN interp i ON i.site_id = b.site_id AND i."timestamp" = r."timestamp"
+        LEFT JOIN p1 ON p1.building_id = r.building_id AND p1.meter = r.meter
+        LEFT JOIN p2 ON p2.building_id = r.building_id AND p2.meter = r.meter AND p2.hour = hour(r."timestamp")
+        LEFT JOIN lags ON lags.site_id = b.site_id AND lags."timestamp" = r."timestamp" """,
+                                ["air_temperature", "mean_building_meter", "median_building_meter", "mean_building_meter_hour",
+                                 "median_building_meter_hour", "air_temperature_mean_lag18"])
     q["folds_per_segment"] = w(READINGS, f"""SELECT row_id, meter, {kfold('n', 'pos', 2)} AS fold
         FROM (SELECT row_id, meter, row_number() OVER (PARTITION BY meter ORDER BY row_id) - 1 AS pos,
                      count(*) OVER (PARTITION BY meter) AS n FROM readings)""", [])
