@@ -73,13 +73,11 @@ def canonical(json: Column) -> Column:
 
 def _waves(calls: DataFrame) -> DataFrame:
     """(conv, id, wave) of the calls that do not keep wave 0; wave is null on or behind a cycle."""
-    spark = calls.sparkSession
     pos = calls.select("conv", "id", F.struct("turn", "idx").alias("pos"))
     ref = calls.select("conv", "id", F.struct("turn", "idx").alias("pos"), F.explode("refs").alias("ref"))
     pos = pos.select(F.col("conv").alias("c"), F.col("id").alias("r"), F.col("pos").alias("ref_pos"))
     ref = ref.join(pos, F.col("conv").eqNullSafe(F.col("c")) & (F.col("ref") == F.col("r")))
     edges = saved(ref.select("conv", "id", "ref", (F.col("ref_pos") > F.col("pos")).alias("forward")), "edges")
-    node = "conv string, id string"
     affected = saved(edges.filter("forward").select("conv", "id").distinct(), "affected")
     front = affected
     while not front.isEmpty():                     # what builds on an affected call is affected
@@ -87,7 +85,7 @@ def _waves(calls: DataFrame) -> DataFrame:
         step = edges.join(f, F.col("conv").eqNullSafe(F.col("c")) & (F.col("ref") == F.col("r")), "left_semi").select("conv", "id").distinct()
         front = saved(_minus(step, affected), "front")
         affected = saved(affected.unionByName(front), "affected")
-    placed = spark.createDataFrame([], f"{node}, wave int")
+    placed = affected.limit(0).withColumn("wave", F.lit(0))
     left, wave = affected, 0
     while not left.isEmpty():
         wave += 1
