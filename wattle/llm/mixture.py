@@ -26,6 +26,8 @@ empty table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,9 @@ REPEAT = 2
 #: words of a block
 BLOCK = 256
 SLOTS_PER_NEED = 3
-#: rows of a (source, hash range) group, on average over all sources
-GROUP_ROWS = 20_000
+#: least rows of a (source, hash range) group, on average over all sources; a group has the
+#: square root of all rows, so that neither groups nor the tables of groups grow large
+GROUP_ROWS = 1_000
 #: slot numbers ranked together, and cells of the unit interval for the slot-to-source join
 STRETCH = 1 << 16
 CELLS = 4096
@@ -111,7 +114,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     sized = saved(docs.select(*columns), "sizes")
     tgt = saved(targets(sized, weights, share, repeat).coalesce(1), "targets")
     n_rows = sized.count()
-    bits = max(0, (max(n_rows, 1) // GROUP_ROWS).bit_length())
+    bits = (n_rows // max(GROUP_ROWS, isqrt(n_rows))).bit_length()
     # shuffled order: by the digest of the id; its leading bits are the hash range
     rows = sized.join(tgt.select(F.col("source").alias("s"), "source_no", "source_size", "target"),
                       F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
