@@ -280,7 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = (sketched.select("doc_id", "row", *words).join(labels.select(*words, "label", "n_links"), words, "left")
               .withColumn("label", F.coalesce("label", "row")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
-    classes = member.groupBy("label").agg(best, F.count("*").alias("class_size"))
+    member = saved(member.drop(*words), "members")
+    # a table of its own, so that the members' side of the join can be split
+    classes = saved(member.groupBy("label").agg(best, F.count("*").alias("class_size")), "classes")
     return member.join(classes, "label").select("doc_id", "row", F.col("best.doc_id").alias("class_id"), "class_size", "n_links",
                                                 (F.col("row") == F.col("best.row")).alias("kept"))
 
