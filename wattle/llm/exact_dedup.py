@@ -195,6 +195,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .select(*KEY).distinct().withColumn("split", F.lit(True)))
     prints = prints.join(saved(differ, "differ"), KEY, "left").withColumn("class", F.when(F.col("split"), F.col("sha")))
     groups = prints.groupBy(*KEY, "class").agg(best, F.count("*").alias("group_size"))
+    groups = saved(groups, "classes")
     g = groups.select(*[F.col(c).alias(f"g_{c}") for c in KEY], F.col("class").alias("g_class"), "best", "group_size")
     same = [F.col(c) == F.col(f"g_{c}") for c in KEY] + [F.col("class").eqNullSafe(F.col("g_class"))]
     on = same[0] & same[1] & same[2] & same[3]
