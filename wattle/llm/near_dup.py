@@ -11,10 +11,11 @@ occurrence number in the text, so a repeated k-mer counts as often as it is repe
   all copies).  First, the members of a bucket (table, entry) are paired with its least
   and its greatest member, by a join whose hot side can be split.  Then come rounds in
   which every member meets ``NEIGHBOURS`` others of its bucket, in an order that is drawn
-  anew for each round (large buckets are dealt into parts for it); pairs within a class
-  that is known already are passed over, and rounds go on until one finds no new link.
-  So the pairs grow with the members, not with their square.  A pair is looked at when
-  its sketches agree on ``MIN_AGREE`` entries.
+  anew for each round (large buckets are dealt into parts for it); of those in another
+  class the one whose sketch agrees most, and one drawn by lot, are compared if they
+  were not before.  Rounds go on until one finds no new link.  So the pairs grow with the
+  members, not with their square.  A pair is looked at when its sketches agree on
+  ``MIN_AGREE`` entries.
 * Verification: labelled k-mers match at most once, so the best alignment of two texts
   is the longest chain of matches that rises in both; matches outside the band of
   diagonals that a similar pair can touch are left out.  Similarity is the length of the
@@ -196,17 +197,26 @@ def _agreement(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def _neighbours(members: DataFrame, turn: int, min_agree: int) -> DataFrame:
-    """Pairs (a, b) of bucket neighbours in this turn's order, from different classes and
-    with sketches that agree; members: table, entry, size, node, entries, label."""
+def _neighbours(members: DataFrame, tested: DataFrame, turn: int, min_agree: int) -> DataFrame:
+    """Pairs (a, b) of bucket neighbours in this turn's order, from different classes, not
+    tested before: of a member's neighbours in each bucket the one whose sketch agrees
+    most, and of those in all buckets again that one and one by lot.  members: table,
+    entry, size, node, entries, label."""
     drawn = F.xxhash64(F.lit(turn), "table", "node")
     part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("size") / PART))
     along = Window.partitionBy("table", "entry", "part").orderBy("drawn").rowsBetween(1, NEIGHBOURS)
     others = F.collect_list(F.struct(F.col("node").alias("n"), F.col("label").alias("l"), F.col("entries").alias("e"))).over(along)
-    met = (members.withColumn("drawn", drawn).withColumn("part", part).withColumn("others", others)
-           .select("node", "label", "entries", F.explode("others").alias("o"))
-           .filter("label <> o.l").withColumn("oe", F.col("o.e")).filter(_agreement("entries", "oe") >= min_agree))
-    return met.select(F.least("node", "o.n").alias("a"), F.greatest("node", "o.n").alias("b")).distinct()
+    met = members.withColumn("drawn", drawn).withColumn("part", part).withColumn("others", others)
+    agree = F.transform(F.filter("others", lambda o: o["l"] != F.col("label")), lambda o: F.struct(
+        F.aggregate(F.zip_with("entries", o["e"], lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v).alias("agree"), o["n"].alias("n")))
+    best = met.select("node", F.array_max(agree).alias("best")).filter(F.col("best.agree") >= min_agree)
+    best = best.select(F.least("node", "best.n").alias("a"), F.greatest("node", "best.n").alias("b"), "best.agree").distinct()
+    best = best.join(tested, ["a", "b"], "left_anti")
+    ends = best.select(F.col("a").alias("node"), F.struct("agree", "a", "b").alias("p")).unionByName(
+        best.select(F.col("b").alias("node"), F.struct("agree", "a", "b").alias("p")))
+    # a node is in as many rows as it has buckets, or as others chose it: the sums stay small by the max
+    top = ends.groupBy("node").agg(F.max("p").alias("p1"), F.max_by("p", F.xxhash64(F.lit(turn), "p.a", "p.b")).alias("p2"))
+    return top.select(F.explode(F.array("p1", "p2")).alias("p")).select("p.a", "p.b").distinct()
 
 
 def _links(pairs: DataFrame, kmers: DataFrame, similarity: float) -> DataFrame:
@@ -268,13 +278,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = saved(_links(pairs, kmers, similarity), "links")
     labels = saved(components(links, nodes), "classes")
     members = shared.select("table", "entry", "node", "size").join(reps.select("node", "entries"), "node")
+    tested = pairs
     for turn in count():
-        met = saved(_neighbours(members.join(labels.select("node", "label"), "node"), turn, min_agree), "pairs")
+        met = saved(_neighbours(members.join(labels.select("node", "label"), "node"), tested, turn, min_agree), "pairs")
+        tested = tested.unionByName(met)
         found = saved(_links(met, kmers, similarity), "links")
         if found.isEmpty():
             break
         links = saved(links.unionByName(found), "links")
-        labels = saved(components(links, nodes), "classes")
+        # the classes so far are stars around their labels: few steps join them by the new links
+        stars = labels.filter("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b"))
+        labels = saved(components(stars.unionByName(found), nodes), "classes")
     degree = (links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links")))
     labels = labels.join(degree, "node", "left")
     member = (sketched.select("doc_id", "row", *words).join(labels.select(*words, "label", "n_links"), words, "left")
