@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.llm.common import saved
+from wattle.llm.common import bounded_sample, saved
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -81,9 +81,9 @@ def _pairs(value: Column) -> Column:
 
 
 def _pair_counts(strings: DataFrame, limit: int) -> dict[int, int]:
-    """Counts of character pairs in ``limit`` strings, chosen by their hash: a table of
+    """Counts of character pairs in ``limit`` distinct strings, chosen by their hash: a table of
     at most len(ALPHABET + 1) ** 2 rows."""
-    sample = strings.select("s").orderBy(F.xxhash64("s"), "s").limit(limit)
+    sample = bounded_sample(strings.select("s").distinct(), limit, "s")
     rows = sample.select(F.explode(_pairs(F.col("s"))).alias("pair")).groupBy("pair").count().collect()
     return {r["pair"]: r["count"] for r in rows}
 
@@ -104,8 +104,8 @@ def train(docs: DataFrame, base: DataFrame, text_col: str = "text", id_col: str
     random = _pair_counts(caught, sample_strings)
     if not random:
         return None
-    texts = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    texts = saved(bounded_sample(texts, sample_docs, "doc_id"), "sample")
     caught_here = F.lit(False)
     for pattern, _, _, test in KINDS.values():
         caught_here = caught_here | F.col("t").rlike(test)

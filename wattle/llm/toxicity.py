@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattle.llm import arrays as A
-from wattle.llm.common import fresh, quoted, saved, tune
+from wattle.llm.common import bounded_sample, fresh, quoted, saved, tune
 
 SAMPLE = 20_000
 LEXICON = 4_096
@@ -251,8 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     tune(spark)
     marked = (labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id"))
-              .agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("id")))
-              .orderBy(F.xxhash64("id"), "id").limit(sample))
+              .agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("id"))))
+    marked = bounded_sample(marked, sample, "id")
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     # the sample is bounded, so its ids and labels may be broadcast
     part = F.pmod(F.xxhash64(F.lit("part"), F.col("id")), F.lit(5))
