@@ -81,9 +81,9 @@ def _pairs(value: Column) -> Column:
 
 
 def _pair_counts(strings: DataFrame, limit: int) -> dict[int, int]:
-    """Counts of character pairs in ``limit`` distinct strings, chosen by their hash: a table of
+    """Counts of character pairs in ``limit`` strings, chosen by their hash: a table of
     at most len(ALPHABET + 1) ** 2 rows."""
-    sample = bounded_sample(strings.select("s").distinct(), limit, "s")
+    sample = bounded_sample(strings.select("s"), limit, "s")
     rows = sample.select(F.explode(_pairs(F.col("s"))).alias("pair")).groupBy("pair").count().collect()
     return {r["pair"]: r["count"] for r in rows}
 
@@ -101,7 +101,7 @@ def train(docs: DataFrame, base: DataFrame, text_col: str = "text", id_col: str
     """Log-likelihood ratio (random against ordinary) of every character pair, or None if
     the base patterns caught nothing to learn from."""
     caught = base.select(F.explode(F.concat(*[F.col(k)["value"] for k in KINDS])).alias("s"))
-    random = _pair_counts(caught, sample_strings)
+    random = _pair_counts(caught.distinct(), sample_strings)      # one string may be everywhere
     if not random:
         return None
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
