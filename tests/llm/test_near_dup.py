@@ -148,3 +148,33 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(min(a, b), max(a, b)) for a, b in zip(order, order[1:], strict=False)], "a long, b long")
     got = N.components(edges, spark.range(n + 2).withColumnRenamed("id", "node")).collect()
     assert {r.node: r.label for r in got} == {i: 0 if i < n else i for i in range(n + 2)}
+
+
+def test_no_link_is_lost_among_close_misses(frame):
+    """Groups in which most pairs agree on many entries and few are links: all pairs decide."""
+    r = random.Random(11)
+    ts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(260)]
+        ts += [" ".join(edited(r, base, 5)) for _ in range(120)]
+    kmers = [N.labelled_kmers(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0] for t in ts]
+    label = list(range(len(ts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    sketch = N.sketches(np.concatenate(kmers), np.array([len(x) for x in kmers]))
+    short = [(x >> np.uint64(32)).astype(np.uint32) for x in kmers]
+    links = misses = 0
+    for i in range(len(ts)):
+        for j in range(i + 1, len(ts)):
+            if (sketch[i] == sketch[j]).sum() >= N.MIN_AGREE:
+                if N.aligned_similarity(short[i], short[j]) >= 0.8:
+                    a, b = sorted((root(i), root(j)))
+                    label[b], links = a, links + 1
+                else:
+                    misses += 1
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(ts)).collect()}
+    assert 0 < 2 * links < misses
+    assert got == {i: root(i) for i in range(len(ts))}

@@ -13,9 +13,13 @@ occurrence number in the text, so a repeated k-mer counts as often as it is repe
   which every member meets ``NEIGHBOURS`` others of its bucket, in an order that is drawn
   anew for each round (large buckets are dealt into parts for it); of those in another
   class the one whose sketch agrees most, and one drawn by lot, are compared if they
-  were not before.  Rounds go on until one finds no new link.  So the pairs grow with the
-  members, not with their square.  A pair is looked at when its sketches agree on
-  ``MIN_AGREE`` entries.
+  were not before.  The rounds join most of each class at little cost and end with the
+  first that finds no new link.  Last, every pair that is left is listed: members of the
+  bucket's commonest class are met by all others, the others by one another, in tiles of
+  bounded size.  All of them that lie in different classes and were not compared yet are
+  compared, a sixteenth first, so that linked classes shrink the rest.  A pair is looked
+  at when its sketches agree on ``MIN_AGREE`` entries; at the end each such pair was
+  compared, lies in one class, or has lengths that rule out the similarity.
 * Verification: labelled k-mers match at most once, so the best alignment of two texts
   is the longest chain of matches that rises in both; matches outside the band of
   diagonals that a similar pair can touch are left out.  Similarity is the length of the
@@ -25,8 +29,9 @@ occurrence number in the text, so a repeated k-mer counts as often as it is repe
   tables in the shared folder.
 
 At similarity 0.8 two sketches agree on fewer than two of 16 entries with a probability of
-2e-6.  A class can stay split if no pair that would join its parts is drawn in a round
-that finds none elsewhere either (README: measured against all pairs).
+2e-6; no other link is lost.  What is left after the rounds grows with the pairs of
+different classes that share a bucket, which is the square of a bucket's members only
+where many of them are in small classes.
 
 Defined cases: null, empty and wordless texts are alone in their class; the document with
 the smallest id stays (null last), of equal ids one row; rows with the same id are
@@ -55,6 +60,11 @@ SIMILARITY = 0.8
 NEIGHBOURS = 12
 #: members of a bucket that are ordered together in a round
 PART = 4096
+#: members of a bucket on each side of a tile, when all pairs that are left are listed
+TILE = 1024
+#: pairs up to which all that are left are compared at once, and the shares compared in turn above
+AT_ONCE = 100_000
+SHARES = (16, 4, 1)
 #: node numbers (8 bytes each) that are broadcast to pick the k-mers of a round
 BROADCAST_NODES = 1_000_000
 SEEDS = A.mix(np.arange(1, 65, dtype=np.uint64) * A.MULT)
@@ -219,6 +229,35 @@ def _neighbours(members: DataFrame, tested: DataFrame, turn: int, min_agree: int
     return top.select(F.explode(F.array("p1", "p2")).alias("p")).select("p.a", "p.b").distinct()
 
 
+def _rest(members: DataFrame, tested: DataFrame, min_agree: int, similarity: float, k: int) -> DataFrame:
+    """Every pair (a, b) of a bucket from different classes that agrees on ``min_agree``
+    entries, was not tested and has lengths that allow the similarity.  members: table,
+    entry, node, entries, n_words, label."""
+    by = ["table", "entry"]
+    sizes = members.groupBy(*by, "label").agg(F.count("*").alias("m"))
+    mixed = (sizes.groupBy(*by).agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("classes"))
+             .filter("classes > 1"))
+    # a table of its own, so that the members' side of the join can be split
+    mixed = saved(mixed.select(*by, F.col("most.label").alias("major"), F.ceil((F.col("n") - F.col("most.m")) / TILE).alias("rows"),
+                               F.ceil(F.col("n") / TILE).alias("columns")), "mixed")
+    met = (members.join(mixed, by).withColumn("grams", F.greatest(F.col("n_words") - (k - 1), F.lit(1)))
+           .select(*by, "node", "entries", "label", "grams", "major", "rows", "columns"))
+    place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = met.filter("label <> major").withColumn("i", place(1, "rows")).withColumn("j", every("columns")).drop("rows", "columns", "major").alias("x")
+    right = met.withColumn("j", place(2, "columns")).withColumn("i", every("rows")).drop("rows", "columns").alias("y")
+    same = F.zip_with("x.entries", "y.entries", lambda p, q: p == q)
+    longest = F.greatest("x.grams", "y.grams")
+    meet = ((F.col("x.table") == F.col("y.table")) & (F.col("x.entry") == F.col("y.entry")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+            & (F.col("x.label") != F.col("y.label"))
+            & ((F.col("y.label") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))      # of two others, once
+            & (F.least("x.grams", "y.grams") >= similarity * longest - 1e-6)
+            & (F.array_position(same, True) == F.col("x.table") + 1)                            # in their first common bucket
+            & (F.size(F.filter(same, lambda z: z)) >= min_agree))
+    pairs = left.join(right, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
 def _links(pairs: DataFrame, kmers: DataFrame, similarity: float) -> DataFrame:
     """The pairs that are similar enough."""
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -245,6 +284,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return nodes.join(cur.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _joined(labels: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The classes after new links; those so far are stars around their labels, so few
+    steps join them."""
+    stars = labels.filter("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    return components(stars.unionByName(found.select("a", "b")), nodes)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, tables: int = TABLES,
                     sample: int = SAMPLE, min_agree: int = MIN_AGREE, similarity: float = SIMILARITY,
                     row_col: str | None = None) -> DataFrame:
@@ -286,9 +332,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if found.isEmpty():
             break
         links = saved(links.unionByName(found), "links")
-        # the classes so far are stars around their labels: few steps join them by the new links
-        stars = labels.filter("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b"))
-        labels = saved(components(stars.unionByName(found), nodes), "classes")
+        labels = saved(_joined(labels, found, nodes), "classes")
+    # what the rounds did not meet, until no pair of different classes is left untested
+    widths = reps.select("node", "n_words")
+    rest = saved(_rest(members.join(widths, "node").join(labels.select("node", "label"), "node"), tested, min_agree, similarity, k), "pairs")
+    for share in (SHARES if rest.count() > AT_ONCE else SHARES[-1:]):
+        drawn = F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0
+        found = saved(_links(rest.filter(drawn), kmers, similarity), "links")
+        if not found.isEmpty():
+            links = saved(links.unionByName(found), "links")
+            labels = saved(_joined(labels, found, nodes), "classes")
+        if share > 1:
+            end = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
+            rest = saved(rest.filter(~drawn).join(end("a"), "a").join(end("b"), "b").filter("la <> lb").select("a", "b"), "pairs")
     degree = (links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links")))
     labels = labels.join(degree, "node", "left")
     member = (sketched.select("doc_id", "row", *words).join(labels.select(*words, "label", "n_links"), words, "left")
