@@ -178,3 +178,8 @@ def test_no_link_is_lost_among_close_misses(frame):
     got = {r.doc_id: r.class_id for r in N.near_duplicates(frame(ts)).collect()}
     assert 0 < 2 * links < misses
     assert got == {i: root(i) for i in range(len(ts))}
+
+
+def test_columns_hold_only_what_is_known_of_every_row(frame):
+    """Links inside a known class are not all verified, so none are counted."""
+    assert N.near_duplicates(frame(["a b c", None])).columns == ["doc_id", "row", "class_id", "class_size", "kept"]

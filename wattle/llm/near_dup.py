@@ -294,9 +294,9 @@ def _joined(labels: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, tables: int = TABLES,
                     sample: int = SAMPLE, min_agree: int = MIN_AGREE, similarity: float = SIMILARITY,
                     row_col: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, class_id (the id that stays), class_size, n_links
-    (links of its text to different texts) and kept.  ``row_col`` names a column with
-    distinct numbers to use, and return as ``row``, instead of new ones."""
+    """Per row of ``docs``: doc_id, class_id (the id that stays), class_size and
+    kept.  ``row_col`` names a column with distinct numbers to use, and return as ``row``,
+    instead of new ones."""
     tune(docs.sparkSession)
     q = lambda c: F.col("`" + c.replace("`", "``") + "`")
     text = F.coalesce(q(text_col).cast("string"), F.lit(""))
@@ -331,7 +331,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = saved(_links(met, kmers, similarity), "links")
         if found.isEmpty():
             break
-        links = saved(links.unionByName(found), "links")
         labels = saved(_joined(labels, found, nodes), "classes")
     # what the rounds did not meet, until no pair of different classes is left untested
     widths = reps.select("node", "n_words")
@@ -340,20 +339,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         drawn = F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0
         found = saved(_links(rest.filter(drawn), kmers, similarity), "links")
         if not found.isEmpty():
-            links = saved(links.unionByName(found), "links")
             labels = saved(_joined(labels, found, nodes), "classes")
         if share > 1:
             end = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
             rest = saved(rest.filter(~drawn).join(end("a"), "a").join(end("b"), "b").filter("la <> lb").select("a", "b"), "pairs")
-    degree = (links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links")))
-    labels = labels.join(degree, "node", "left")
-    member = (sketched.select("doc_id", "row", *words).join(labels.select(*words, "label", "n_links"), words, "left")
-              .withColumn("label", F.coalesce("label", "row")).withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))))
+    member = (sketched.select("doc_id", "row", *words).join(labels.select(*words, "label"), words, "left")
+              .withColumn("label", F.coalesce("label", "row")))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
     member = saved(member.drop(*words), "members")
     # a table of its own, so that the members' side of the join can be split
     classes = saved(member.groupBy("label").agg(best, F.count("*").alias("class_size")), "classes")
-    return member.join(classes, "label").select("doc_id", "row", F.col("best.doc_id").alias("class_id"), "class_size", "n_links",
+    return member.join(classes, "label").select("doc_id", "row", F.col("best.doc_id").alias("class_id"), "class_size",
                                                 (F.col("row") == F.col("best.row")).alias("kept"))
 
 

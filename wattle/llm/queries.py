@@ -62,7 +62,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
