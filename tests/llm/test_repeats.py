@@ -96,3 +96,29 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark, frame, op):
         rows.setdefault(r.doc_id, []).append(r.n_removed)
     assert rows[5] == [0, 0] and sorted(rows[None])[0] == 0 and sorted(rows[None])[1] > 0
     assert op(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("by_words", [False, True])
+def test_surroundings_of_a_passage_do_not_meet_in_one_bucket(frame, by_words):
+    """One passage in 2000 texts of two or three chunks, each with its own edges."""
+    from wattle.llm import repeats, substring_dedup as W, suffix_dedup as S
+    passage = " ".join(f"common{i}" for i in range(30))
+    ts = [" ".join([*[f"{i}h{j}" for j in range(20)], passage, *[f"{i}t{j}" for j in range(20)]]) for i in range(2000)]
+
+    def find(bucket):
+        assert len(bucket.texts) < 1000
+        return W.extend_seeds(bucket) if by_words else S.least_documents(bucket)
+
+    m, spec = (W, repeats.Spec(True, 20, 10, True)) if by_words else (S, repeats.Spec(False, 50, 18, False))
+    sizes = {"bucket_bytes": 20_000} | ({"hot_contexts": 200} if hasattr(repeats, "HOT_CONTEXTS") else {})
+    got = repeats.run(spec, frame(ts), find, m._emit, m.SCHEMA, m.ARROW, **sizes).collect()
+    assert len(got) == 2000
+    assert all((r.n_removed >= (30 if by_words else len(passage))) == (r.doc_id > 0) for r in got)
+
+
+def test_contexts_are_counted_for_hot_anchors(frame, passages):
+    """Every anchor with two contexts or more goes by window: same results."""
+    got = suffix_dedup(frame(passages), chunk_bytes=3000, bucket_bytes=500, hot_contexts=1).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(list(enumerate(passages)))
+    got = substring_dedup(frame(passages), chunk_bytes=3000, bucket_bytes=500, hot_contexts=1).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_words(list(enumerate(passages)))

@@ -12,9 +12,10 @@ equal anchors, and a window can repeat only if its anchor does.
    per hash range, and gets back one bit per hash: occurs elsewhere or not.
 3. ``contexts``: the stretch of text around each repeated anchor that covers the
    windows it stands for goes to the anchor's bucket, once per chunk however
-   often the chunk repeats it.  Anchors that occur in very many chunks are
-   *hot*: their windows are sent one by one, routed by their own content, so no
-   bucket gathers all surroundings of a common passage.
+   often the chunk repeats it.  Anchors with very many contexts (counted per chunk
+   and summed) or in very many chunks are *hot*: their windows are sent one by one,
+   routed by their own content, so no bucket gathers all surroundings of a common
+   passage.
 4. The bucket function of the operator finds equal windows and answers one bit
    per window: occurs earlier in another chunk's or context's copy.
 5. ``resolve``: every chunk combines the answers with what it knows locally
@@ -43,6 +44,7 @@ from wattle.llm.common import id_and_text, saved, tune
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 2 << 20          # text bytes for which one bucket is made
 HOT_CHUNKS = 4096               # an anchor in more chunks than this is routed by window
+HOT_CONTEXTS = 16384            # and so is one with more contexts than this, summed over the chunks
 NO_ID = np.iinfo(np.int64).max  # stands for a null id: sorts after every id
 
 CHUNK_SCHEMA = "chunk long, n_bytes long, ids binary, lens binary, text binary"
@@ -214,31 +216,59 @@ def _bits(cells: pa.Table, column: str = "blob") -> dict[int, bytes]:
     return dict(zip(cells.column("bucket").to_pylist(), cells.column(column).to_pylist(), strict=True))
 
 
-def repeated_anchors(spec: Spec, chunks: DataFrame, buckets: int, hot_chunks: int) -> DataFrame:
+def _more_contexts(c: Chunk, u: np.ndarray) -> np.ndarray:
+    """For each distinct anchor of the chunk the number of its distinct contexts less one."""
+    _, at, count = np.unique(c.hash, return_inverse=True, return_counts=True)
+    more = np.zeros(len(u), np.uint32)
+    runs = np.flatnonzero(count[at] > 1)
+    if len(runs):
+        begin, end = c.bounds(c.lo[runs], c.hi[runs])
+        body = c.norm if c.spec.by_words else c.text
+        own = {(a, body[i:j]) for a, i, j in zip(at[runs].tolist(), begin.tolist(), end.tolist(), strict=True)}
+        which, n = np.unique(np.array([a for a, _ in own], np.int64), return_counts=True)
+        more[which] = n - 1
+    return more
+
+
+def repeated_anchors(spec: Spec, chunks: DataFrame, buckets: int, hot_chunks: int, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """(bucket, chunk, blob): two bit sets over the chunk's sorted distinct anchors of
-    that bucket: occurs in another chunk; occurs in more than ``hot_chunks`` chunks."""
+    that bucket: occurs in another chunk; is hot, that is, occurs in more than
+    ``hot_chunks`` chunks or has more than ``hot_contexts`` contexts in all chunks."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, c in _chunks(spec, batches):
             u = np.unique(c.hash)
             cut = np.searchsorted(_bucket(u, buckets), np.arange(buckets + 1))
             raw = _short(u).view(np.uint8).reshape(-1, 8)[:, :6]
-            yield from _blob_batches([(b, chunk, raw[cut[b]:cut[b + 1]].tobytes())
-                                      for b in np.flatnonzero(np.diff(cut)).tolist()])
+            more = _more_contexts(c, u)
+            some = np.flatnonzero(more)
+            part = np.searchsorted(some, cut)
+            rows = []
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                own = some[part[b]:part[b + 1]]                    # few anchors have several contexts in a chunk
+                rows.append((b, chunk, np.array([cut[b + 1] - cut[b]], np.int64).tobytes() + raw[cut[b]:cut[b + 1]].tobytes()
+                             + (own - cut[b]).astype(np.uint32).tobytes() + more[own].tobytes()))
+            yield from _blob_batches(rows)
 
     def meet(cells: pa.Table) -> pa.Table:
         names = cells.column("chunk").to_pylist()
-        sets = []
+        sets, extra = [], []
         for x in cells.column("blob").to_pylist():
-            wide = np.zeros((len(x) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+            size = int(np.frombuffer(x, np.int64, 1)[0])
+            wide = np.zeros((size, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(x, np.uint8, 6 * size, 8).reshape(-1, 6)
             sets.append(wide.view(np.uint64).ravel())
+            extra.append(np.frombuffer(x[8 + 6 * size:], np.uint32).reshape(2, -1))
         values, counts = np.unique(np.concatenate(sets), return_counts=True)
+        surroundings = counts.astype(np.int64)
+        for s, (which, more) in zip(sets, extra, strict=True):
+            np.add.at(surroundings, np.searchsorted(values, s[which]), more.astype(np.int64))
+        is_hot = (counts > hot_chunks) | (surroundings > hot_contexts)
         bucket = cells.column("bucket")[0].as_py()
         rows = []
         for name, s in zip(names, sets, strict=True):
-            n = counts[np.searchsorted(values, s)]
-            rows.append((bucket, name, np.packbits(n > 1).tobytes() + np.packbits(n > hot_chunks).tobytes()))
+            at = np.searchsorted(values, s)
+            rows.append((bucket, name, np.packbits(counts[at] > 1).tobytes() + np.packbits(is_hot[at]).tobytes()))
         return _blob_table(rows)
 
     return chunks.mapInArrow(send, BLOB_SCHEMA).groupBy("bucket").applyInArrow(meet, BLOB_SCHEMA)
@@ -421,10 +451,10 @@ def resolve(spec: Spec, chunks: DataFrame, marks: DataFrame, answers: DataFrame,
 
 def run(spec: Spec, docs: DataFrame, find: Finder, emit: Emit, schema: str, empty: pa.Schema,
         id_col: str = "doc_id", text_col: str = "text", hot_chunks: int = HOT_CHUNKS,
-        chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+        chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     chunks = chunk_table(docs, id_col, text_col, chunk_bytes)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    marks = saved(repeated_anchors(spec, chunks, buckets, hot_chunks), "anchors")
+    marks = saved(repeated_anchors(spec, chunks, buckets, hot_chunks, hot_contexts), "anchors")
     answers = answer(spec, contexts(spec, chunks, marks, buckets), find)
     return resolve(spec, chunks, marks, answers, buckets, emit, schema, empty)

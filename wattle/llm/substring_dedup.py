@@ -53,8 +53,8 @@ def extend_seeds(bucket: repeats.Bucket, width: int = WIDTH, k: int = ANCHOR) ->
     h = A.gram_hashes(A.span_hashes(data, s, e), k)
     start = A.ranges(at, bucket.windows)                     # first word of every window
     grams = width - k + 1
-    bits = A.U64((1 << 24) - 1)
-    v = (h & ~bits) | np.arange(len(h), dtype=np.uint64)     # a bucket has far fewer than 2**24 words
+    bits = A.U64((1 << max(24, len(h).bit_length())) - 1)    # as wide as the bucket needs
+    v = (h & ~bits) | np.arange(len(h), dtype=np.uint64)
     anchor = (A.sliding_min(v, grams)[start] & bits).astype(np.int64)
     seed_at, seed_of = np.unique(anchor, return_inverse=True)
     seed = _dense(h[seed_at])
