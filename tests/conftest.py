@@ -19,8 +19,3 @@ def spark():
     if not s.sparkContext.getCheckpointDir() and not s.conf.get("spark.checkpoint.dir", None):
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wattle-test-ckpt-"))
     yield s
-
-
-def ts(text):
-    import datetime as dt
-    return dt.datetime.fromisoformat(text)

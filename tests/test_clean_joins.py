@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from conftest import ts
+from golden_helpers import ts
 from wattle.operators import clean, joins, setops
 
 

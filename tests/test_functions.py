@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from conftest import ts
+from golden_helpers import ts
 from wattle.functions import arith, calendar, weather
 
 

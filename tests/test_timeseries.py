@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ts
+from golden_helpers import ts
 from wattle.operators import timeseries as T
 
 VALS = [1, 2, 4, 8, 16.5, 3, 7.25]
