@@ -18,6 +18,7 @@ from wattle.llm.mixture import mixture
 from wattle.llm.near_dup import near_duplicates
 from wattle.llm.substring_dedup import substring_dedup
 from wattle.llm.suffix_dedup import suffix_dedup
+from wattle.llm.url_filter import filter_urls
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,11 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_line_dedup, op4_exact_dedup, op5_decontaminate,
-                            op6_tool_calls, op7_substring_dedup, op8_near_dup, op9_secrets, op10_mixture)
+                            op6_tool_calls, op7_substring_dedup, op8_near_dup, op9_secrets, op10_mixture, op13_url_filter)
 }

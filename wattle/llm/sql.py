@@ -8,7 +8,9 @@ running sum.
 
 from __future__ import annotations
 
-from wattle.llm import line_dedup, mixture, substring_dedup, suffix_dedup
+import re
+
+from wattle.llm import line_dedup, mixture, substring_dedup, suffix_dedup, url_filter
 
 ORACLE: dict[str, str] = {}
 
@@ -108,3 +110,24 @@ d AS (SELECT doc_id, size, s.no, s.source_size, s.target,
 cut AS (SELECT doc_id, sum(greatest(least(p0 + size - b * {_B}, take) - greatest(p0 - b * {_B}, 0), 0)) AS taken
         FROM d JOIN taken ON d.no = taken.no AND b BETWEEN p0 // {_B} AND (p0 + size - 1) // {_B} WHERE size > 0 AND take > 0 GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d LEFT JOIN cut USING (doc_id)"""
+
+
+def _glob_regex(glob: str) -> str:
+    """A glob of ``url_filter`` as a regular expression for the whole text."""
+    wild = {"*": "[^/]*", "**": ".*", "?": "[^/]"}
+    return "(?s)" + "".join(wild.get(part, re.escape(part[1:])) for part in url_filter.parse(glob))
+
+
+_RULE = "".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}' "
+                for r in sorted(url_filter.RULES, key=lambda r: -len(r.name)))
+_RULE_VERDICT = "".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}' " for r in url_filter.RULES)
+_BY_LENGTH = sorted(url_filter.GLOBS, key=lambda g: -url_filter.plain_length(g.glob))
+_GLOB = "".join(f"WHEN regexp_full_match(canon, '{_glob_regex(g.glob)}') THEN '{g.glob}' " for g in _BY_LENGTH)
+_GLOB_VERDICT = "".join(f"WHEN glob = '{g.glob}' THEN '{g.verdict}' " for g in _BY_LENGTH)
+ORACLE["op13_url_filter"] = rf"""
+WITH cut AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h,
+                    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+u AS (SELECT page_id, translate(h, '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, path FROM cut),
+ruled AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '.' || host || path END AS canon, CASE {_RULE} END AS rule FROM u),
+judged AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {_GLOB} END END AS glob FROM ruled)
+SELECT page_id, host, path, rule, glob, CASE {_RULE_VERDICT} ELSE CASE {_GLOB_VERDICT} ELSE 'allow' END END AS verdict FROM judged"""
