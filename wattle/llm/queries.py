@@ -14,6 +14,7 @@ from wattle.llm.common import documents, sorted_digest
 from wattle.llm.decontaminate import matches
 from wattle.llm.exact_dedup import exact_dedup
 from wattle.llm.line_dedup import line_dedup
+from wattle.llm.merkle import proofs
 from wattle.llm.mixture import mixture
 from wattle.llm.near_dup import near_duplicates
 from wattle.llm.substring_dedup import substring_dedup
@@ -77,11 +78,15 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proofs(documents(spark, sf_dir))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_line_dedup, op4_exact_dedup, op5_decontaminate,
-                            op6_tool_calls, op7_substring_dedup, op8_near_dup, op9_secrets, op10_mixture, op13_url_filter)
+                            op6_tool_calls, op7_substring_dedup, op8_near_dup, op9_secrets, op10_mixture, op11_merkle_manifest, op13_url_filter)
 }

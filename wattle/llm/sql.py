@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 
-from wattle.llm import line_dedup, mixture, substring_dedup, suffix_dedup, url_filter
+from wattle.llm import line_dedup, merkle, mixture, substring_dedup, suffix_dedup, url_filter
 
 ORACLE: dict[str, str] = {}
 
@@ -112,6 +112,44 @@ cut AS (SELECT doc_id, sum(greatest(least(p0 + size - b * {_B}, take) - greatest
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM d LEFT JOIN cut USING (doc_id)"""
 
 
+def _coded(value: str) -> str:
+    return f"coalesce(CAST(strlen({value}) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_coded(v) for v in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
+# CRC-32 byte by byte from its table of 256 steps; all levels of both kinds of tree (0: sources, 1: over them) as one table of steps
+ORACLE["op11_merkle_manifest"] = f"""
+WITH RECURSIVE bit AS (SELECT v AS i, 0 AS k, v FROM (SELECT unnest(range(256)) AS v)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT i, v FROM bit WHERE k = 8),
+run AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, 4294967295 AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, s, k + 1, xor(c >> 8, v) FROM run JOIN crc ON i = xor(c & 255, CAST(ord(s[k + 1]) AS BIGINT)) WHERE k < length(s)),
+tampered AS (SELECT doc_id FROM run WHERE k = length(s) AND xor(c, 4294967295) % 5 = 0),
+leaf AS (SELECT doc_id, source, {_leaf('text')} AS leaf,
+                CASE WHEN doc_id IN (SELECT doc_id FROM tampered) THEN {_leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} END AS bad FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaf),
+low AS (SELECT 0 AS lvl, source, pos, n, leaf AS d FROM placed
+  UNION ALL SELECT lvl + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lvl, source, pos // 16, n),
+sub AS (SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS lvl, pos, n, d FROM sub
+  UNION ALL SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 16, n),
+node AS (SELECT 0 AS kind, lvl, source, pos, n, d FROM low UNION ALL SELECT 1, lvl, NULL, pos, n, d FROM high),
+step AS (SELECT node.*, coalesce(string_agg(node.d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                coalesce(string_agg(node.d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r,
+                CASE WHEN kind = 0 THEN (SELECT sub.pos FROM sub WHERE sub.source IS NOT DISTINCT FROM node.source) END AS at
+         FROM node WINDOW w AS (PARTITION BY kind, lvl, source, pos // 16 ORDER BY pos)),
+climb AS (SELECT doc_id, leaf, source AS of, 0 AS kind, 0 AS lvl, source, pos, coalesce(bad, leaf) AS f, '' AS sibs FROM placed
+  UNION ALL SELECT doc_id, leaf, of, CASE WHEN s.n > 1 THEN c.kind ELSE c.kind + 1 END, CASE WHEN s.n > 1 THEN c.lvl + 1 ELSE 0 END,
+                   CASE WHEN s.n > 1 THEN c.source END, CASE WHEN s.n > 1 THEN c.pos // 16 ELSE s.at END,
+                   CASE WHEN s.n > 1 THEN sha256(l || f || r) ELSE f END, CASE WHEN s.n > 1 THEN sibs || l || r ELSE sibs END
+            FROM climb c JOIN step s ON c.kind = s.kind AND c.lvl = s.lvl AND c.pos = s.pos AND c.source IS NOT DISTINCT FROM s.source)
+SELECT doc_id, leaf, sub.d AS subroot, top.d AS root, sha256(sibs) AS proof_sha256, f AS folded_root, f = top.d AS verified
+FROM climb JOIN sub ON of IS NOT DISTINCT FROM sub.source, (SELECT d FROM high WHERE n = 1) top WHERE kind = 2"""
+
+
 def _glob_regex(glob: str) -> str:
     """A glob of ``url_filter`` as a regular expression for the whole text."""
     wild = {"*": "[^/]*", "**": ".*", "?": "[^/]"}
@@ -123,11 +161,11 @@ _RULE = "".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND s
 _RULE_VERDICT = "".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}' " for r in url_filter.RULES)
 _BY_LENGTH = sorted(url_filter.GLOBS, key=lambda g: -url_filter.plain_length(g.glob))
 _GLOB = "".join(f"WHEN regexp_full_match(canon, '{_glob_regex(g.glob)}') THEN '{g.glob}' " for g in _BY_LENGTH)
-_GLOB_VERDICT = "".join(f"WHEN glob = '{g.glob}' THEN '{g.verdict}' " for g in _BY_LENGTH)
+_GLOB_VERDICT = "".join(f"WHEN \"glob\" = '{g.glob}' THEN '{g.verdict}' " for g in _BY_LENGTH)
 ORACLE["op13_url_filter"] = rf"""
 WITH cut AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '') AS h,
                     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 u AS (SELECT page_id, translate(h, '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, path FROM cut),
 ruled AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '.' || host || path END AS canon, CASE {_RULE} END AS rule FROM u),
-judged AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {_GLOB} END END AS glob FROM ruled)
-SELECT page_id, host, path, rule, glob, CASE {_RULE_VERDICT} ELSE CASE {_GLOB_VERDICT} ELSE 'allow' END END AS verdict FROM judged"""
+judged AS (SELECT *, CASE WHEN rule IS NULL THEN CASE {_GLOB} END END AS "glob" FROM ruled)
+SELECT page_id, host, path, rule, "glob", CASE {_RULE_VERDICT} ELSE CASE {_GLOB_VERDICT} ELSE 'allow' END END AS verdict FROM judged"""
