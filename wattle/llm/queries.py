@@ -19,6 +19,7 @@ from wattle.llm.mixture import mixture
 from wattle.llm.near_dup import near_duplicates
 from wattle.llm.substring_dedup import substring_dedup
 from wattle.llm.suffix_dedup import suffix_dedup
+from wattle.llm.token_align import align
 from wattle.llm.url_filter import filter_urls
 
 
@@ -82,11 +83,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proofs(documents(spark, sf_dir))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(documents(spark, sf_dir))
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_line_dedup, op4_exact_dedup, op5_decontaminate,
-                            op6_tool_calls, op7_substring_dedup, op8_near_dup, op9_secrets, op10_mixture, op11_merkle_manifest, op13_url_filter)
+                            op6_tool_calls, op7_substring_dedup, op8_near_dup, op9_secrets, op10_mixture, op11_merkle_manifest,
+                            op12_token_alignment, op13_url_filter)
 }
