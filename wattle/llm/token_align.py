@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from wattle.llm import perfect_hash
 from wattle.llm.arrays import U64, mix
 from wattle.llm.common import id_and_text, saved, tune
-from wattle.llm.token_groups import Segments, Vocabularies, text_sums
+from wattle.llm.token_groups import Segments, Vocabularies, distinct, text_sums
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -83,12 +83,12 @@ def document_pairs(seg: Segments, texts: list[str]) -> np.ndarray:
     """The distinct link keys of each text, all texts one after the other."""
     nums, offs = seg.of(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(offs)).astype(np.uint64)
-    once = np.unique(doc << U64(40) | nums.astype(np.uint64))             # a segment counts once per text
+    once = distinct(doc << U64(40) | nums.astype(np.uint64))             # a segment counts once per text
     keys, n = seg.links_of((once & U64((1 << 40) - 1)).astype(np.int64))
     doc = np.repeat(once >> U64(40), n)
     if len(keys) and int(keys.max()) >> 44:
         raise ValueError("the product of the vocabularies is beyond 2**44")
-    return np.unique(doc << U64(44) | keys) & U64((1 << 44) - 1)
+    return distinct(doc << U64(44) | keys) & U64((1 << 44) - 1)
 
 
 def _gather(files) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -110,9 +110,10 @@ def _gather(files) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                  pa.array([c[a:b].tobytes() for a, b in zip(cut, ends, strict=False)], pa.binary())], ["shard", "part", "keys", "counts"])
 
         for batch in batches:
-            k, c = np.unique(document_pairs(seg, _texts(batch)), return_counts=True)
+            k = document_pairs(seg, _texts(batch))
+            k, c = add_up([k], [np.ones(len(k), np.int64)])
             keys.append(k)
-            counts.append(c.astype(np.int64))
+            counts.append(c)
             held += len(k)
             if held > FLUSH:
                 k, c = add_up(keys, counts)
@@ -127,13 +128,13 @@ def _gather(files) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 
 def _unite(key: tuple, table: pa.Table) -> pa.Table:
-    keys = np.unique(np.concatenate([_u64(x) for x in table.column("keys").to_pylist()]))
+    keys = distinct(np.concatenate([_u64(x) for x in table.column("keys").to_pylist()]))
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()),
                      "keys": pa.array([keys.tobytes()], pa.binary())})
 
 
 def _hash(key: tuple, table: pa.Table) -> pa.Table:
-    keys = np.unique(np.concatenate([_u64(x) for x in table.column("keys").to_pylist()]))
+    keys = distinct(np.concatenate([_u64(x) for x in table.column("keys").to_pylist()]))
     h = perfect_hash.build(keys)
     slots = np.empty(len(keys), np.uint64)
     slots[h.index(keys)] = keys

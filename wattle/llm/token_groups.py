@@ -24,6 +24,8 @@ SEGMENT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
 CROSSES = re.compile(r"\S ")
 #: segments and links kept before a task starts anew (memory)
 KEEP_SEGMENTS, KEEP_LINKS = 1_000_000, 4_000_000
+#: characters of segments that are encoded as one text
+CHUNK = 1 << 16
 
 
 def byte_of_char() -> dict[str, int]:
@@ -58,10 +60,35 @@ class Vocabularies:
         self.a_text = np.array([[f"{i},", f"{i}|"] for i in range(len(self.a_bytes))], dtype=object)
         self.b_text = np.array([[f"{i},", f"{i};"] for i in range(len(self.b_bytes))], dtype=object)
 
-    def encode(self, spaced: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of texts that begin with the space that A is given and B adds by itself."""
-        a = [e.ids for e in self._a.encode_batch(spaced, add_special_tokens=False)]
-        return a, self._b.encode([t[1:] for t in spaced], num_threads=1)
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, their number per segment, ids of B, their number per segment, segments
+        whose bytes both give back).  Segments begin with the space that A is given and B adds
+        by itself; those that may follow each other are encoded as one text."""
+        out, run, size = [], [], 0
+        for s in segments:
+            if run and (size > CHUNK or not self.cuts or s[0] != " " or run[-1][-1].isspace()):
+                out.append(self._encode_run(run))
+                run, size = [], 0
+            run.append(s)
+            size += len(s)
+        if run:
+            out.append(self._encode_run(run))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def _encode_run(self, run: list[str]) -> tuple[np.ndarray, ...]:
+        text = "".join(run)
+        a, b = self._a.encode(text, add_special_tokens=False).ids, self._b.encode(text[1:], num_threads=1)
+        whole = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
+            ends = np.cumsum([len(s.encode()) for s in run])
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            stop_a, stop_b = (np.searchsorted(np.cumsum(x), ends, "right") for x in (self.a_len[a], self.b_len[b]))
+            if (np.add.accumulate(self.a_len[a])[stop_a - 1] == ends).all() and (np.add.accumulate(self.b_len[b])[stop_b - 1] == ends).all():
+                return a, np.diff(stop_a, prepend=0), b, np.diff(stop_b, prepend=0), np.ones(len(run), bool)
+        if len(run) == 1:
+            none = np.zeros(0, np.int64)
+            return none, np.zeros(1, np.int64), none, np.zeros(1, np.int64), np.zeros(1, bool)
+        return tuple(np.concatenate(x) for x in zip(*(self._encode_run([s]) for s in run), strict=True))
 
 
 class Aligned:
@@ -79,15 +106,8 @@ class Aligned:
         if not spaced:
             return
         voc = self.voc
-        ids_a, ids_b = voc.encode(spaced)
-        self.good = np.append(self.good, [voc_a == t and voc_b == t for t, voc_a, voc_b in zip(
-            (t.encode() for t in spaced), (b"".join(map(voc.a_bytes.__getitem__, x)) for x in ids_a),
-            (b"".join(map(voc.b_bytes.__getitem__, x)) for x in ids_b), strict=True)])
-        fresh_good = self.good[-len(spaced):]
-        ids_a = [x if ok else [] for x, ok in zip(ids_a, fresh_good, strict=True)]
-        ids_b = [x if ok else [] for x, ok in zip(ids_b, fresh_good, strict=True)]
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        a, n_a, b, n_b, good = voc.encode(spaced)
+        self.good = np.append(self.good, good)
         # ends of all tokens on one line of bytes; a segment's last end is an end of both
         end_a, end_b = np.cumsum(voc.a_len[a]), np.cumsum(voc.b_len[b])
         some = np.concatenate([end_a, end_b])
@@ -96,11 +116,9 @@ class Aligned:
         ends = some[first]
         # between two ends lies the overlap of exactly one token of A and one of B
         in_a, in_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        both = some[:-1][~first[1:]] if len(some) else some                 # what is an end of A and of B comes twice
         links = a[in_a].astype(np.uint64) * np.uint64(len(voc.b_len)) + b[in_b].astype(np.uint64)
-        stop = np.zeros(len(spaced) + 1, np.int64)
-        np.cumsum(np.add.reduceat(voc.a_len[a], np.minimum(np.cumsum(n_a) - n_a, max(len(a) - 1, 0))) * (n_a > 0)
-                  if len(a) else np.zeros(len(spaced), np.int64), out=stop[1:])
+        stop = np.append(0, np.append(0, end_a)[np.cumsum(n_a)])            # last end of each segment
         n_groups = np.diff(np.searchsorted(both, stop, "right"))
         offs = np.searchsorted(ends, stop, "right")
         self.n = np.concatenate([self.n, np.stack([n_a, n_b, n_groups], axis=1)])
@@ -123,6 +141,14 @@ class Aligned:
         return ["".join(flat[lo:hi])[:-1] for lo, hi in zip([0, *stop], stop, strict=False)]
 
 
+class Numbers(dict):
+    """Numbers texts in the order in which they are asked for first."""
+
+    def __missing__(self, text: str) -> int:
+        n = self[text] = len(self)
+        return n
+
+
 class Segments:
     """Numbers the segments of texts and keeps what is known of each."""
 
@@ -131,7 +157,7 @@ class Segments:
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.known = Aligned(self.voc, self.texts)
         self.generation = getattr(self, "generation", -1) + 1
 
@@ -153,12 +179,9 @@ class Segments:
 
     def _numbers(self, parts: list[list[str]]) -> list[np.ndarray]:
         number, before = self.number, len(self.number)
-        for p in parts:
-            for s in p:
-                if s not in number:
-                    number[s] = len(number)
+        nums = [np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in parts]
         self.known.add(list(islice(number, before, None)))
-        return [np.fromiter(map(number.__getitem__, p), np.int64, len(p)) for p in parts]
+        return nums
 
     def links_of(self, nums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(link keys of the numbered segments, their counts per segment)."""
@@ -167,6 +190,12 @@ class Segments:
         return k.links[ranges(k.offs[nums], n)], n
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def text_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of ``values`` per text (0 for a text without any)."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.int64)
