@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,32 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)     # known schema: no footer-inference job
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of this session's shared folder whose successor has been written."""
+    if not path.startswith(shared_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not in the shared folder")
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors (once an application), whose Python workers import it."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or not os.path.isdir(root):              # already inside an archive
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="wattle-package-"), "wattle_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(n for n in names if n.endswith(".py")):
+                z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)                          # served from the driver
+    _shipped.add(app)
+
+
 def size_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict:
     """Size shuffles and scan splits for the data actually read.
 
