@@ -8,18 +8,16 @@ occurrence number in the text, so a repeated k-mer counts as often as it is repe
   hashed in the order in which they stand in the text.  Texts agree on an entry with
   about the probability similarity ** SAMPLE; a change of order breaks the agreement.
 * Candidates: texts with equal words are one class from the start (one row stands for
-  all copies).  First, the members of a bucket (table, entry) are paired with its least
-  and its greatest member, by a join whose hot side can be split.  Then come rounds in
-  which every member meets ``NEIGHBOURS`` others of its bucket, in an order that is drawn
-  anew for each round (large buckets are dealt into parts for it); of those in another
-  class the one whose sketch agrees most, and one drawn by lot, are compared if they
-  were not before.  The rounds join most of each class at little cost and end with the
-  first that finds no new link.  Last, every pair that is left is listed: members of the
-  bucket's commonest class are met by all others, the others by one another, in tiles of
-  bounded size.  All of them that lie in different classes and were not compared yet are
-  compared, a sixteenth first, so that linked classes shrink the rest.  A pair is looked
-  at when its sketches agree on ``MIN_AGREE`` entries; at the end each such pair was
-  compared, lies in one class, or has lengths that rule out the similarity.
+  all copies).  First, the members of a bucket (one of the first ``BUCKETS`` entries) are
+  paired with its least and its greatest member, by a join whose hot side can be split, and
+  the classes are joined.  Then the buckets that still have members of several classes are
+  compared in tiles, with no row for a pair: a tile holds the sketches and k-mers of at most
+  about ``TILE`` members on each side and is compared inside a task, the pairs that agree
+  most first; those found in one class by then are passed over, and a spanning forest of the
+  links comes back.  Buckets of up to ``TILE`` members are one tile; larger ones are cut into parts, and
+  after these have joined the classes, the members outside a bucket's commonest class meet
+  all its members, tile by tile.  A pair is aligned when it shares a bucket, its sketches
+  agree on ``MIN_AGREE`` entries and its lengths allow the similarity.
 * Verification: labelled k-mers match at most once, so the best alignment of two texts
   is the longest chain of matches that rises in both; matches outside the band of
   diagonals that a similar pair can touch are left out.  Similarity is the length of the
@@ -28,10 +26,10 @@ occurrence number in the text, so a repeated k-mer counts as often as it is repe
 * Classes: connected components of the links, by least labels and pointer jumping on
   tables in the shared folder.
 
-At similarity 0.8 two sketches agree on fewer than two of 16 entries with a probability of
-2e-6; no other link is lost.  What is left after the rounds grows with the pairs of
-different classes that share a bucket, which is the square of a bucket's members only
-where many of them are in small classes.
+At similarity 0.8 an entry agrees with probability 0.64: fewer than 8 of 32 do with one of
+1.4e-6, none of the 16 buckets with one of 8e-8; at 0.4, 13 % of the pairs get that far.  No
+other link is lost.  Rows grow with the texts in buckets; a bucket of n members of which m are
+outside its commonest class, once parts are joined, is sent as about 2 m n / ``TILE`` rows.
 
 Defined cases: null, empty and wordless texts are alone in their class; the document with
 the smallest id stays (null last), of equal ids one row; rows with the same id are
@@ -42,29 +40,24 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattle.llm import arrays as A
 from wattle.llm.common import fresh, quoted, saved, tune
 
 K = 5
-TABLES = 16
+#: entries of a sketch, and those of them that make buckets
+TABLES, BUCKETS = 32, 16
 SAMPLE = 2
-MIN_AGREE = 2
+MIN_AGREE = 8
 SIMILARITY = 0.8
-NEIGHBOURS = 12
-#: members of a bucket that are ordered together in a round
-PART = 4096
-#: members of a bucket on each side of a tile, when all pairs that are left are listed
-TILE = 1024
-#: pairs up to which all that are left are compared at once, and the shares compared in turn above
-AT_ONCE = 100_000
-SHARES = (16, 4, 1)
+#: members of a bucket on each side of a tile, and rows of tiles in one group of a job
+TILE, GROUP = 1024, 4096
+BOTH, LEFT, RIGHT = 0, 1, 2
 #: node numbers (8 bytes each) that are broadcast to pick the k-mers of a round
 BROADCAST_NODES = 1_000_000
 SEEDS = A.mix(np.arange(1, 65, dtype=np.uint64) * A.MULT)
@@ -207,55 +200,93 @@ def _agreement(x: str, y: str) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
 
 
-def _neighbours(members: DataFrame, tested: DataFrame, turn: int, min_agree: int) -> DataFrame:
-    """Pairs (a, b) of bucket neighbours in this turn's order, from different classes, not
-    tested before: of a member's neighbours in each bucket the one whose sketch agrees
-    most, and of those in all buckets again that one and one by lot.  members: table,
-    entry, size, node, entries, label."""
-    drawn = F.xxhash64(F.lit(turn), "table", "node")
-    part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("size") / PART))
-    along = Window.partitionBy("table", "entry", "part").orderBy("drawn").rowsBetween(1, NEIGHBOURS)
-    others = F.collect_list(F.struct(F.col("node").alias("n"), F.col("label").alias("l"), F.col("entries").alias("e"))).over(along)
-    met = members.withColumn("drawn", drawn).withColumn("part", part).withColumn("others", others)
-    agree = F.transform(F.filter("others", lambda o: o["l"] != F.col("label")), lambda o: F.struct(
-        F.aggregate(F.zip_with("entries", o["e"], lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v).alias("agree"), o["n"].alias("n")))
-    best = met.select("node", F.array_max(agree).alias("best")).filter(F.col("best.agree") >= min_agree)
-    best = best.select(F.least("node", "best.n").alias("a"), F.greatest("node", "best.n").alias("b"), "best.agree").distinct()
-    best = best.join(tested, ["a", "b"], "left_anti")
-    ends = best.select(F.col("a").alias("node"), F.struct("agree", "a", "b").alias("p")).unionByName(
-        best.select(F.col("b").alias("node"), F.struct("agree", "a", "b").alias("p")))
-    # a node is in as many rows as it has buckets, or as others chose it: the sums stay small by the max
-    top = ends.groupBy("node").agg(F.max("p").alias("p1"), F.max_by("p", F.xxhash64(F.lit(turn), "p.a", "p.b")).alias("p2"))
-    return top.select(F.explode(F.array("p1", "p2")).alias("p")).select("p.a", "p.b").distinct()
-
-
-def _rest(members: DataFrame, tested: DataFrame, min_agree: int, similarity: float, k: int) -> DataFrame:
-    """Every pair (a, b) of a bucket from different classes that agrees on ``min_agree``
-    entries, was not tested and has lengths that allow the similarity.  members: table,
-    entry, node, entries, n_words, label."""
+def _compare(nodes: np.ndarray, label: np.ndarray, grams: np.ndarray, entries: np.ndarray, left: np.ndarray, right: np.ndarray,
+             major: np.ndarray, table: int, min_agree: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (x, y) of the pairs of a tile that may be similar, those that agree most first:
+    x of ``left`` and y of ``right``, of different classes, in their first common bucket, with
+    lengths that allow the similarity; of two that are both on the left, once."""
+    e, f = entries[left], entries[right]
+    ok = label[left][:, None] != label[right][None]
+    ok &= ~(~major[right][None] & (nodes[left][:, None] >= nodes[right][None]))
+    short = np.minimum(grams[left][:, None], grams[right][None])
+    ok &= short >= similarity * np.maximum(grams[left][:, None], grams[right][None]) - 1e-6
+    agree = np.zeros(ok.shape, np.int16)
+    for t in range(entries.shape[1]):
+        same = e[:, t][:, None] == f[:, t][None]
+        if t < table:
+            ok &= ~same
+        agree += same
+    x, y = np.nonzero(ok & (agree >= min_agree))
+    order = np.argsort(-agree[x, y], kind="stable")
+    return left[x[order]], right[y[order]]
+
+
+def _spanning(similarity: float, min_agree: int):
+    """Tiles of buckets, all pairs of which are compared here: returns a spanning forest of the
+    links found, so at most one row for each text and tile."""
+    def run(table: pa.Table) -> pa.Table:
+        root: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while (up := root.get(i, i)) != i:
+                root[i] = i = root.get(up, up)
+            return i
+
+        table = table.sort_by([(c, "ascending") for c in ("table", "entry", "i", "j", "node")])
+        col = lambda c: table.column(c).to_numpy()
+        key = np.stack([col(c) for c in ("table", "entry", "i", "j")], axis=1)
+        nodes, label, grams, major, side = col("node"), col("label"), col("grams"), col("is_major"), col("side")
+        flat = table.column("entries").combine_chunks()
+        entries = (pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat).flatten().to_numpy().reshape(len(nodes), -1)
+        kmers = [np.frombuffer(x, np.uint32) for x in table.column("kmers").to_pylist()]
+        cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1))).tolist() if len(nodes) else []
+        a, b = [], []
+        for lo, hi in zip(cut, [*cut[1:], len(nodes)], strict=False):
+            at = np.arange(lo, hi)
+            left, right = at[side[lo:hi] != RIGHT], at[side[lo:hi] != LEFT]
+            for x, y in zip(*_compare(nodes, label, grams, entries, left, right, major, int(key[lo, 0]), min_agree, similarity), strict=True):
+                p, q = find(int(label[x])), find(int(label[y]))
+                if p != q and aligned_similarity(kmers[x], kmers[y], similarity) >= similarity:
+                    root[max(p, q)] = min(p, q)
+                    a.append(int(nodes[x]))
+                    b.append(int(nodes[y]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The buckets (table, entry) whose members are of several classes, with their size ``n``,
+    the commonest class ``major`` and the number of the others, ``minor``."""
     by = ["table", "entry"]
     sizes = members.groupBy(*by, "label").agg(F.count("*").alias("m"))
-    mixed = (sizes.groupBy(*by).agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n"), F.count("*").alias("classes"))
-             .filter("classes > 1"))
-    # a table of its own, so that the members' side of the join can be split
-    mixed = saved(mixed.select(*by, F.col("most.label").alias("major"), F.ceil((F.col("n") - F.col("most.m")) / TILE).alias("rows"),
-                               F.ceil(F.col("n") / TILE).alias("columns")), "mixed")
-    met = (members.join(mixed, by).withColumn("grams", F.greatest(F.col("n_words") - (k - 1), F.lit(1)))
-           .select(*by, "node", "entries", "label", "grams", "major", "rows", "columns"))
-    place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = met.filter("label <> major").withColumn("i", place(1, "rows")).withColumn("j", every("columns")).drop("rows", "columns", "major").alias("x")
-    right = met.withColumn("j", place(2, "columns")).withColumn("i", every("rows")).drop("rows", "columns").alias("y")
-    same = F.zip_with("x.entries", "y.entries", lambda p, q: p == q)
-    longest = F.greatest("x.grams", "y.grams")
-    meet = ((F.col("x.table") == F.col("y.table")) & (F.col("x.entry") == F.col("y.entry")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-            & (F.col("x.label") != F.col("y.label"))
-            & ((F.col("y.label") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))      # of two others, once
-            & (F.least("x.grams", "y.grams") >= similarity * longest - 1e-6)
-            & (F.array_position(same, True) == F.col("x.table") + 1)                            # in their first common bucket
-            & (F.size(F.filter(same, lambda z: z)) >= min_agree))
-    pairs = left.join(right, meet).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    most = F.max(F.struct("m", "label")).alias("most")
+    return (sizes.groupBy(*by).agg(most, F.sum("m").alias("n"), F.count("*").alias("classes")).filter("classes > 1")
+            .select(*by, "n", F.col("most.label").alias("major"), (F.col("n") - F.col("most.m")).alias("minor")))
+
+
+def _tiles(members: DataFrame, mixed: DataFrame, whole: bool) -> DataFrame:
+    """Rows of the tiles: table, entry, i, j, side and the member's columns.  ``whole``: a
+    bucket is cut into parts of about ``TILE`` members, each a tile by itself.  Otherwise the
+    members outside the commonest class, in parts ``i``, meet all members, in parts ``j``."""
+    place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "table", "node"), F.ceil(F.col(n) / TILE))
+    met = members.join(mixed, ["table", "entry"]).withColumn("is_major", F.col("label") == F.col("major"))
+    if whole:
+        return (met.withColumns({"i": place(3, "n"), "j": F.lit(0).cast("long"), "is_major": F.lit(False), "side": F.lit(BOTH)})
+                .drop("n", "major", "minor"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / TILE) - 1))
+    left = met.filter(~F.col("is_major")).withColumns({"i": place(1, "minor"), "side": F.lit(LEFT)}).withColumn("j", every("n"))
+    right = met.withColumns({"j": place(2, "n"), "side": F.lit(RIGHT)}).withColumn("i", every("minor"))
+    return left.unionByName(right).drop("n", "major", "minor")
+
+
+def _tile_links(tiles: DataFrame, reps: DataFrame, kmers: DataFrame, similarity: float, min_agree: int, k: int) -> DataFrame:
+    """Spanning links (a, b) of the tiles.  Small tiles are dealt to groups of ``GROUP`` rows."""
+    tiles = saved(tiles, "tiles")
+    n = tiles.count()
+    grams = F.greatest(F.col("n_words") - (k - 1), F.lit(1)).alias("grams")
+    rows = (tiles.join(reps.select("node", "entries", grams), "node").join(kmers, "node")
+            .withColumn("deal", F.pmod(F.xxhash64("table", "entry", "i", "j"), F.lit(max(1, -(-n // GROUP))))))
+    return rows.groupBy("deal").applyInArrow(_spanning(similarity, min_agree), "a long, b long")
 
 
 def _links(pairs: DataFrame, kmers: DataFrame, similarity: float) -> DataFrame:
@@ -292,7 +323,7 @@ def _joined(labels: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, tables: int = TABLES,
-                    sample: int = SAMPLE, min_agree: int = MIN_AGREE, similarity: float = SIMILARITY,
+                    sample: int = SAMPLE, min_agree: int = MIN_AGREE, similarity: float = SIMILARITY, buckets: int = BUCKETS,
                     row_col: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, class_id (the id that stays), class_size and
     kept.  ``row_col`` names a column with distinct numbers to use, and return as ``row``,
@@ -308,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = (sketched.filter("n_words > 0").groupBy(*words).agg(first, F.any_value("entries").alias("entries"))
             .select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), *words, "entries"))
     reps = saved(reps, "texts")
-    cells = reps.select("node", F.posexplode("entries").alias("table", "entry"))
+    cells = reps.select("node", F.posexplode(F.slice("entries", 1, min(buckets, tables))).alias("table", "entry"))
     ends = cells.groupBy("table", "entry").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
     shared = saved(cells.join(ends, ["table", "entry"]), "buckets")
     pair = lambda end: (F.when(F.col("node") != F.col(end), F.struct(F.least("node", end).alias("a"), F.greatest("node", end).alias("b"))))
@@ -323,26 +354,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = reps.select("node", *words)
     links = saved(_links(pairs, kmers, similarity), "links")
     labels = saved(components(links, nodes), "classes")
-    members = shared.select("table", "entry", "node", "size").join(reps.select("node", "entries"), "node")
-    tested = pairs
-    for turn in count():
-        met = saved(_neighbours(members.join(labels.select("node", "label"), "node"), tested, turn, min_agree), "pairs")
-        tested = tested.unionByName(met)
-        found = saved(_links(met, kmers, similarity), "links")
-        if found.isEmpty():
+    # buckets of several classes: parts of them first, then what parts have kept apart
+    for whole in (True, False):
+        members = shared.select("table", "entry", "node").join(labels.select("node", "label"), "node")
+        mixed = saved(_mixed(members).filter(F.lit(True) if whole else F.col("n") > TILE), "mixed")
+        if mixed.isEmpty():
             break
-        labels = saved(_joined(labels, found, nodes), "classes")
-    # what the rounds did not meet, until no pair of different classes is left untested
-    widths = reps.select("node", "n_words")
-    rest = saved(_rest(members.join(widths, "node").join(labels.select("node", "label"), "node"), tested, min_agree, similarity, k), "pairs")
-    for share in (SHARES if rest.count() > AT_ONCE else SHARES[-1:]):
-        drawn = F.pmod(F.xxhash64("a", "b"), F.lit(share)) == 0
-        found = saved(_links(rest.filter(drawn), kmers, similarity), "links")
+        found = saved(_tile_links(_tiles(members, mixed, whole), reps, kmers, similarity, min_agree, k), "links")
         if not found.isEmpty():
             labels = saved(_joined(labels, found, nodes), "classes")
-        if share > 1:
-            end = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
-            rest = saved(rest.filter(~drawn).join(end("a"), "a").join(end("b"), "b").filter("la <> lb").select("a", "b"), "pairs")
     member = (sketched.select("doc_id", "row", *words).join(labels.select(*words, "label"), words, "left")
               .withColumn("label", F.coalesce("label", "row")))
     best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")
