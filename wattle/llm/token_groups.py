@@ -22,6 +22,8 @@ from wattle.llm.arrays import ranges
 #: white space, then a run that may hold white space but no space right after a non-space
 SEGMENT = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*\Z)?|\s+")
 CROSSES = re.compile(r"\S ")
+# Fixed value: the pattern by which byte-level tokenizers cut words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: segments and links kept before a task starts anew (memory)
 KEEP_SEGMENTS, KEEP_LINKS = 1_000_000, 4_000_000
 #: characters of segments that are encoded as one text
@@ -48,7 +50,8 @@ class Vocabularies:
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         char = byte_of_char()
-        names = {i: t for t, i in json.loads(a_file)["model"]["vocab"].items()}
+        model = json.loads(a_file)["model"]
+        names = {i: t for t, i in model["vocab"].items()}
         self.a_bytes = [bytes(char[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.b_bytes = []
         for i in range(self._b.get_piece_size()):
@@ -56,10 +59,24 @@ class Vocabularies:
             self.b_bytes.append(bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace("▁", " ").encode())
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self._ranked = self._by_rank(model)
         self.cuts = not any(CROSSES.search(x.decode("utf-8", "replace")) for x in chain(self.a_bytes, self.b_bytes))
         self.a_text = np.array([[f"{i},", f"{i}|"] for i in range(len(self.a_bytes))], dtype=object)
         self.b_text = np.array([[f"{i},", f"{i};"] for i in range(len(self.b_bytes))], dtype=object)
 
+    def _by_rank(self, model: dict):
+        """The same encoding from ranks alone, several times as fast, where the file says that
+        ids are ranks: bytes first, then the merges in their order, and the usual words."""
+        import tiktoken
+
+        merged = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        split = json.loads(self._a.to_str())["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        if (not plain or any(len(x) != 1 for x in self.a_bytes[:256]) or len(set(self.a_bytes[:256])) != 256 or model.get("ignore_merges")
+                or any(model["vocab"].get(x + y) != 256 + i for i, (x, y) in enumerate(merged)) or len(model["vocab"]) != 256 + len(merged)):
+            return None
+        return tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes)}, special_tokens={})
+
     def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids of A, their number per segment, ids of B, their number per segment, segments
         whose bytes both give back).  Segments begin with the space that A is given and B adds
@@ -77,7 +94,8 @@ class Vocabularies:
 
     def _encode_run(self, run: list[str]) -> tuple[np.ndarray, ...]:
         text = "".join(run)
-        a, b = self._a.encode(text, add_special_tokens=False).ids, self._b.encode(text[1:], num_threads=1)
+        a = self._ranked.encode_ordinary(text) if self._ranked else self._a.encode(text, add_special_tokens=False).ids
+        b = self._b.encode(text[1:], num_threads=1)
         whole = text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b)):
             ends = np.cumsum([len(s.encode()) for s in run])
