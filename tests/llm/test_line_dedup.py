@@ -15,7 +15,7 @@ def brute(rows, min_sites):
     sites, ids = defaultdict(set), defaultdict(set)
     for i, t, s in rows:
         for line in (t or "").split("\n") if t is not None else []:
-            if len(strip(line)) >= L.MIN_CHARS:
+            if strip(line):
                 sites[strip(line)].add(s)
                 ids[strip(line)].add((i is None, i))
     gone = {k: min(ids[k])[1] for k, v in sites.items() if len(v) >= min_sites}
@@ -57,6 +57,14 @@ def test_near_threshold_lines_get_exact_counts(spark):
     assert len(got) == 30 and all(r.owner.id == 0 for r in got)
 
 
+def test_short_lines_ties_and_a_long_text(spark):
+    long = "\n".join(f"own {i}" for i in range(40_000))
+    data = [(1, "Les.", "a"), (1, "Les.\nx", "b"), (2, "Les.\n \n" + long, "c"), (3, "Les.", "d")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.text) for r in L.line_dedup(df, min_sites=3).collect())
+    assert got == [(1, "Les."), (1, "Les.\nx"), (2, " \n" + long), (3, "")]
+
+
 def test_null_ids_and_empty_table(spark):
     line = "the very same line everywhere"
     df = spark.createDataFrame([(None, line, "a"), (None, line, "b"), (3, line, "c")], "doc_id long, text string, source string")

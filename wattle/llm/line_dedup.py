@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread.
 
-Lines (trimmed, of at least ``MIN_CHARS`` characters) are keyed by two 64-bit hashes.
+Lines (trimmed, all that are not blank) are keyed by two 64-bit hashes.
 A HyperLogLog sketch per key counts the distinct sites (the ``source`` column) that show
 the line; partial sketches merge by aggregation, so a line that occurs everywhere costs
 one small sketch per task, not a row per occurrence.  Lines whose estimate lies within
@@ -11,10 +11,11 @@ A line on ``MIN_SITES`` sites or more is boilerplate and is removed from every d
 but the one with the smallest id that has it, so that copies of a document on many sites
 lose their lines and the first one keeps them.
 
-Defined cases: null text stays null and has no lines; blank lines and lines under
-``MIN_CHARS`` always stay; a null source is one site of its own; a null id sorts last;
-rows with the same id count as one document; an empty table gives an empty result; all
-columns of the input are kept.
+Defined cases: null text stays null and has no lines; blank lines always stay; a null
+source is one site of its own; a null id sorts last; rows with the same id count as one
+document, also where it is the one that keeps a line; an empty table gives an empty
+result; all columns of the input are kept; a text of any length that fits a row (2 GB) is
+read whole, and what is shuffled of it is a key per distinct line.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from wattle.llm.common import fresh, saved
 
 MIN_SITES = 10
-MIN_CHARS = 16
 #: binary logarithm of the sketch's registers: a standard error of 1.6 %
 SKETCH_BITS = 12
 BAND = 0.15
@@ -42,9 +42,9 @@ def _norm(line: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """128 bits of the trimmed line; null for lines that are never removed."""
+    """128 bits of the trimmed line; null for blank lines, which are never removed."""
     n = _norm(line)
-    return F.when(F.char_length(n) >= MIN_CHARS, F.struct(F.xxhash64(n).alias("a"), F.xxhash64(F.lit("line"), n).alias("b")))
+    return F.when(n != "", F.struct(F.xxhash64(n).alias("a"), F.xxhash64(F.lit("line"), n).alias("b")))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, bits: int = SKETCH_BITS, band: float = BAND) -> DataFrame:

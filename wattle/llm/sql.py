@@ -38,7 +38,7 @@ ORACLE["op3_line_dedup"] = f"""
 WITH l AS (SELECT doc_id, source, i, parts[i] AS line FROM (
              SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS i
              FROM (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
-common AS (SELECT {_KEY} AS k, min(doc_id) AS first FROM l WHERE length({_KEY}) >= {line_dedup.MIN_CHARS}
+common AS (SELECT {_KEY} AS k, min(doc_id) AS first FROM l WHERE {_KEY} <> ''
            GROUP BY 1 HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= {line_dedup.MIN_SITES}),
 marked AS (SELECT l.doc_id, i, line, common.k IS NOT NULL AND l.doc_id <> first AS gone FROM l LEFT JOIN common ON {_KEY} = common.k),
 per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
