@@ -78,6 +78,23 @@ def test_removal_keeps_columns_and_cuts_spans(spark, frame, tables):
         assert cut[i] == docs[i] or n_hit
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_one_long_text_on_either_path(spark, frame, bound):
+    """The hits of a text of 60,000 words, by broadcast and by shuffle (no broadcast at all there)."""
+    r = random.Random(3)
+    w = [f"w{r.randrange(5000)}" for _ in range(60_000)]
+    bench = spark.createDataFrame([(k, " ".join(w[p:p + 20])) for k, p in enumerate(range(0, 60_000, 6000))], "item_id long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        if not bound:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        (got,) = matches(frame([" ".join(w)]), bench, broadcast_windows=bound).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert (got.n_words, got.n_hit, len(got["items"])) == (60_000, 200, 10)
+    assert [(s.start, s.end) for s in got.spans] == [(p, p + 20) for p in range(0, 60_000, 6000)]
+
+
 def test_empty_tables_and_repeated_rows(spark, frame):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     df = frame(["One TWO three", "One TWO three"], ids=[4, 4])

@@ -4,20 +4,23 @@ Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z
 lower-cased.  A test window is ``n`` consecutive words of a benchmark item; an item of
 fewer words, but not none, is one window.  The distinct windows form a table keyed by a
 64-bit hash that is broadcast when its counted size is within ``BROADCAST_WINDOWS``, and
-shuffled otherwise.  Every training text is scanned once: one hash per word position and
-window length, joined on the hash, and every hit is verified word by word.  Only hits and
-one marker row per document are shuffled.
+shuffled otherwise.  Every training text is scanned once: one row (row, place, hash) per
+word position and window length, without the text, is joined on the hash.  The hits of a
+row come back to its words in one join by row, where each is verified word by word.
 
 The scan hashes words lower-cased in full (fast), which can only add candidates; the
 verification lower-cases A-Z alone, as the rule says.
 
 Defined cases: null or wordless texts have no windows and no hits; wordless items match
 nothing and are not reported; repeated items count one by one; rows with the same id
-stay separate rows; empty tables on either side work; other columns are ignored.
+stay separate rows; empty tables on either side work; other columns are ignored; the
+work grows in proportion to the length of a text, which must fit a row (2 GB).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +45,17 @@ def _scan_key(window: Column) -> Column:
     return F.xxhash64(window)
 
 
-def _scan_keys(starts: Column, n: int) -> Column:
-    return F.transform(starts, lambda i: _scan_key(F.slice("folded", i, n)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas inside use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan_keys(w: Column, lens: list[int]) -> Column:
+    """Hashes of the windows of each length, one length after the other."""
+    def of_length(folded: Column, n: int) -> Column:
+        starts = F.when(F.size(folded) >= n, F.sequence(F.lit(1), F.size(folded) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: _scan_key(F.slice(folded, i, n)))
+    return _let(F.transform(w, lambda x: F.lower(x)), lambda folded: F.concat(*[of_length(folded, n) for n in lens]))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = N_WORDS, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -65,42 +77,30 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str
     windows = saved(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
     lens = sorted(r["len"] for r in windows.select("len").distinct().collect())      # n values at most
     small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
-    d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
-    d = d.withColumn("folded", F.transform("w", lambda x: F.lower(x)))
-    # position 0 of the list is the document's marker, then the windows of each length
-    no_key = F.array(F.lit(0).cast("long"))
-    lists = [no_key]
-    for ln in lens:
-        starts = F.when(F.size("w") >= ln, F.sequence(F.lit(1), F.size("w") - ln + 1)).otherwise(F.array().cast("array<int>"))
-        lists.append(_scan_keys(starts, ln))
-    d = d.select("doc_id", "row", "w", F.posexplode(F.concat(*lists)).alias("p", "key"))
-    # position in the list -> window length and first word
-    begin, length = F.lit(0), F.lit(0)
-    at = F.lit(1)
+    d = saved(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w")), "words")
+    keys = _scan_keys(F.col("w"), lens) if lens else F.array().cast("array<bigint>")
+    places = d.select("row", F.size("w").alias("n"), F.posexplode(keys).alias("p", "key"))
+    t = windows.select(F.col("key").alias("t_key"), F.col("len").alias("t_len"), "window", "items")
+    hit = places.join(F.broadcast(t) if small else t, F.col("key") == F.col("t_key"))
+    # place in the list of hashes -> window length and first word
+    begin, length, at = F.lit(0), F.lit(0), F.lit(0)
     for ln in lens:
         inside = F.col("p") >= at
         begin, length = F.when(inside, F.col("p") - at).otherwise(begin), F.when(inside, F.lit(ln)).otherwise(length)
-        at = at + F.greatest(F.size("w") - ln + 1, F.lit(0))
-    t = windows.select(F.col("key").alias("t_key"), F.col("len").alias("t_len"), "window", "items")
-    hit = d.join(F.broadcast(t) if small else t, F.col("key") == F.col("t_key"), "left")
-    marker = F.col("p") == 0
-    hit = hit.filter(marker | F.col("t_key").isNotNull()).withColumn("begin", begin).withColumn("len", length)
-    same = (F.col("len") == F.col("t_len")) & (F.translate(F.array_join(F.slice("w", F.col("begin") + 1, F.greatest("len", F.lit(1))), " "), UPPER, LOWER) == F.col("window"))
-    found = F.when(~marker & same, F.struct("begin", (F.col("begin") + F.col("len")).alias("end"), "items"))
-    per = hit.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max(F.when(marker, F.size("w"))).alias("n"),
-                                 F.collect_list(found).alias("found"))
-    spans = F.aggregate(
-        F.array_sort(F.transform("found", lambda x: F.struct(x["begin"].alias("start"), x["end"].alias("end")))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.try_element_at(acc, F.lit(-1))["end"]),
-                              F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                                  F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
-                                  F.greatest(x["end"], F.try_element_at(acc, F.lit(-1))["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(x))))
-    per = per.withColumn("spans", spans)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+        at = at + F.greatest(F.col("n") - ln + 1, F.lit(0))
+    hit = hit.withColumn("begin", begin).withColumn("len", length).filter(F.col("len") == F.col("t_len"))
+    hit = saved(hit.groupBy(F.col("row").alias("hit_row")).agg(F.collect_list(F.struct("begin", "len", "window", "items")).alias("met")), "hits")
+    # the written table of hits has a known size: the planner broadcasts it, or shuffles each text once
+    same = lambda x: F.translate(F.array_join(F.slice("w", x["begin"] + 1, x["len"]), " "), UPPER, LOWER) == x["window"]
+    found = F.coalesce(F.filter("met", same), F.array().cast(dict(hit.dtypes)["met"]))
+    per = d.join(hit, F.col("row") == F.col("hit_row"), "left").select("row", "doc_id", F.size("w").cast("long").alias("n_words"), found.alias("found"))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["begin"], x["begin"] + x["len"] - 1)))))
+    per = per.withColumn("covered", covered)
+    after = F.transform("covered", lambda p: p + 1)
+    # a run starts where the word before is not covered and ends before the first that is not
+    spans = F.zip_with(F.array_except("covered", after), F.array_except(after, "covered"), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"]))))
-    return (per.select("row", "doc_id", F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"), items.alias("items"), "spans")
+    return (per.select("row", "doc_id", "n_words", F.size("covered").cast("long").alias("n_hit"), items.alias("items"), spans.alias("spans"))
             .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))))
 
 
