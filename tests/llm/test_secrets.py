@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -20,6 +21,52 @@ def brute(t):
     return sorted(out)
 
 
+def brute_random(ts):
+    """Added spans by plain loops: pair counts, smoothed models, pieces of runs, ratios."""
+    token = set(S.ALPHABET) - {"."}
+    runs = lambda t: [(m.start(), m.end()) for m in re.finditer(f"[{re.escape(''.join(sorted(token)))}]+", t)]
+    values, ordinary = set(), []
+    for t in ts:
+        t = t or ""
+        base = brute(t)
+        values |= {m[1] for m in ASSIGN.finditer(t) if len(m[1]) >= 6} | {t[a:b] for a, k, b in base if k > 0}
+        if not (ASSIGN.search(t) or re.search(r"AKIA[A-Z0-9]{16}", t) or re.search("[0-9a-f]{24}", t)):
+            ordinary += [t[a:b] for a, b in runs(t) if 6 <= b - a <= 19]
+    size = len(S.ALPHABET) + 1
+    pairs = lambda v: [(S.ALPHABET.find(a) + 1, S.ALPHABET.find(b) + 1) for a, b in zip(v, v[1:])]
+
+    def model(strings):
+        n, total = {}, [size] * size
+        for v in strings:
+            for a, b in pairs(v):
+                n[a, b] = n.get((a, b), 0) + 1
+                total[a] += 1
+        return lambda a, b: math.log((n.get((a, b), 0) + 1) / total[a])
+    hot, cold = model(values), model(ordinary)
+    odd = lambda v: len(v) >= 20 or len(v) >= 8 and any(not "a" <= c <= "z" for c in v[1:])
+    out = []
+    for t in ts:
+        t, found = t or "", []
+        taken = {p for a, _, b in brute(t) for p in range(a, b)}
+        for a, b in runs(t):
+            if not odd(t[a:b]):
+                continue
+            p = a
+            while p < b:
+                if p in taken:
+                    p += 1
+                    continue
+                q = p
+                while q < b and q not in taken:
+                    q += 1
+                ratio = sum(hot(*x) - cold(*x) for x in pairs(t[p:q]))
+                if odd(t[p:q]) and ratio >= S.MIN_RATIO and ratio >= S.MIN_MEAN * (q - p - 1):
+                    found.append((p, q))
+                p = q
+        out.append(found)
+    return out
+
+
 def texts():
     r = random.Random(9)
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
@@ -62,6 +109,24 @@ def test_models_tell_random_strings_from_identifiers(frame):
     assert sum(got[i] for i in [*range(50), *range(140, 180)]) == 0
 
 
+def test_added_spans_match_a_plain_computation(frame):
+    r = random.Random(4)
+    al = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    key = lambda n: "".join(r.choice(al) for _ in range(n))
+    word = lambda: r.choice(["station", "ingredients", "well-known", "camelCase", "2024", "snake_case_name", "answering"])
+    ts = [f"set password={key(30)} now" for _ in range(80)] + [" ".join(word() for _ in range(30)) for _ in range(60)]
+    for _ in range(60):
+        bits = [key(8), key(14), key(24) + "." + key(9), key(12) + "AKIA" + "Q7" * 10, "0f" * 13 + key(15) + "e1" * 14 + "xyz", word(), word(), "secret:" + key(9)]
+        ts.append(" ".join(r.choice(bits) for _ in range(12)))
+    ts += [None, "", key(20_000) + " " + "token=abcdef " * 3000]
+    want = brute_random(ts)
+    got = {x.doc_id: [(s.start, s.end) for s in x.spans if s.kind == "random"] for x in S.scan(frame(ts)).collect()}
+    assert [got[i] for i in range(len(ts))] == want
+    spans = [(i, a, b) for i, w in enumerate(want) for a, b in w]
+    assert any(b - a < 20 for _, a, b in spans) and any(b - a == 20_000 for _, a, b in spans)
+    assert any(a and ts[i][a - 1] in S.ALPHABET for i, a, b in spans)                # the rest of a run
+
+
 def test_span_list_empty_table_and_nothing_to_learn(frame):
     df = frame(["password=abcdef", None]).selectExpr("*", "1 AS row", "2 AS t", "3 AS hex")
     rows = S.scan(df).select("doc_id", S.span_list(F.col("spans")).alias("s")).collect()

@@ -2,24 +2,31 @@
 
 Base spans come from three fixed patterns.  The method adds spans of kind ``random``:
 runs of token characters that a first-order Markov model of random strings explains
-better than one of ordinary identifiers, by a log-likelihood ratio of at least
-``MIN_RATIO`` in all and ``MIN_MEAN`` for each step.  Both models are trained here, on
-labelled samples: strings that the base patterns caught are random, words of documents
-without a base span are ordinary.  The samples are bounded (``SAMPLE_STRINGS`` strings of each kind, the ordinary
+better than one of ordinary tokens, by a log-likelihood ratio of at least ``MIN_RATIO``
+in all (which short runs reach only when they are very odd) and ``MIN_MEAN`` for each
+step.  Judged are runs of ``LONG`` characters or more, and runs from ``SHORT`` on that are
+more than a word: some character after the first is no small letter.  A dot ends a run,
+its pieces are judged one by one.  What base spans leave of a run is judged as runs are.
+
+Both models are trained here, on labelled samples: strings that the base patterns caught
+are random, each distinct one once; tokens of 6 to 19 characters in documents without a
+base span are ordinary, as often as they occur.  The samples are bounded (``SAMPLE_STRINGS`` strings of each kind, the ordinary
 ones from ``SAMPLE_DOCS`` documents), so the model is a table of fixed size (pairs of
 alphabet characters), which is all that reaches the driver.  Every text is scanned whole.
 
 Everything is DataFrame code: the places of a pattern's matches follow from the lengths
-of the matches and of the text between them.
+of the matches and of the text between them, summed in blocks.
 
 Defined cases: null counts as empty; a corpus without base spans trains no model and adds
 no spans; added spans never overlap base spans; positions are code points, end exclusive;
-rows with the same id stay separate rows; other columns are ignored.
+rows with the same id stay separate rows; other columns are ignored; empty tables work;
+the work on a text grows in proportion to its length and to that of its runs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,13 +46,40 @@ KINDS = {
 NAMES = [*KINDS, "random"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
-#: shorter than any run that is judged
-ORDINARY = r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9_]{5,18}(?![A-Za-z0-9_])"
+TOKEN = "[A-Za-z0-9+/_=-]"
+LONG, SHORT = 20, 8
+RUN = rf"(?<!{TOKEN})(?:{TOKEN}{{{LONG},}}|(?={TOKEN}[a-z]*[A-Z0-9+/_=-]){TOKEN}{{{SHORT},}})"
+WORDLIKE = rf"^{TOKEN}[a-z]*$"
+#: shorter than long runs, so that a secret that no pattern catches is no example of the ordinary
+ORDINARY = rf"(?<!{TOKEN}){TOKEN}{{6,{LONG - 1}}}(?!{TOKEN})"
 SAMPLE_DOCS = 2_000
 SAMPLE_STRINGS = 20_000
-MIN_RATIO = 8.0
+MIN_RATIO = 12.0
 MIN_MEAN = 0.2
+#: matches whose lengths are summed in one go
+BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where lambdas inside use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _places(sizes: Column) -> Column:
+    """array<struct<start, end>> from array<struct<gap, len>>: running sums, in blocks, so
+    that no long array is copied for each match."""
+    def walk(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
+                           lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct(
+                               (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))).alias("out")))["out"]
+
+    def total(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda acc, x: acc + x["gap"] + x["len"])
+
+    def begins(blocks: Column) -> Column:
+        return F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + total(b))))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, BLOCK))
+    return _let(blocks, lambda bs: F.flatten(F.zip_with(bs, F.slice(begins(bs), 1, F.size(bs)), walk)))
 
 
 def spans(text: Column, pattern: str, group: int, least: int, test: str) -> Column:
@@ -54,36 +88,63 @@ def spans(text: Column, pattern: str, group: int, least: int, test: str) -> Colu
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     sizes = F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.struct(
         F.char_length(gap).alias("gap"), F.coalesce(F.char_length(m), F.lit(0)).alias("len")))
-    walked = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-                         lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct(
-                             (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["len"]).alias("end")))).alias("out")))
+    places = _let(sizes, _places)
     # the text after the last match makes one entry too many, which has no value
-    found = F.filter(F.zip_with(walked["out"], value, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value"))),
+    found = F.filter(F.zip_with(places, value, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value"))),
                      lambda x: F.char_length(x["value"]) >= least)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return F.when(text.rlike(test), found).otherwise(none)
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, assign, access, hex, runs): base spans by kind, and the long runs that
-    the models will judge."""
+    """(doc_id, row, assign, access, hex, runs): base spans by kind, and the runs that the
+    models will judge."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"),
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    runs = spans(F.col("t"), RUN, 0, 20, RUN)
+    runs = spans(F.col("t"), RUN, 0, SHORT, RUN)
     return d.select("doc_id", "row", *[spans(F.col("t"), *KINDS[k]).alias(k) for k in KINDS], runs.alias("runs"))
 
 
 def _pairs(value: Column) -> Column:
     """Codes of neighbouring characters: first * base + second, 0 for a foreign one."""
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substr(value, i, F.lit(1)))
-    steps = F.when(F.char_length(value) >= 2, F.sequence(F.lit(1), F.char_length(value) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda i: code(i) * (len(ALPHABET) + 1) + code(i + 1))
-
-
-def _pair_counts(strings: DataFrame, limit: int) -> dict[int, int]:
-    """Counts of character pairs in ``limit`` strings, chosen by their hash: a table of
-    at most len(ALPHABET + 1) ** 2 rows."""
-    sample = bounded_sample(strings.select("s"), limit, "s")
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    steps = F.greatest(F.char_length(value) - 1, F.lit(0))
+    return F.zip_with(F.slice(codes, 1, steps), F.slice(codes, 2, steps), lambda a, b: a * (len(ALPHABET) + 1) + b)
+
+
+def _touching(runs: Column, known: Column) -> Column:
+    """The members of ``known`` (sorted, apart) that share a character with each run, found
+    by sorting: a run that comes as number j and stands at place i has i - j of them before it."""
+    def before(end: str) -> Column:
+        marks = F.concat(F.transform(known, lambda k: F.struct(k["start"].alias("at"), F.lit(1).alias("run"))),
+                         F.transform(runs, lambda r: F.struct((r[end] if end == "start" else r[end] - 1).alias("at"), F.lit(2).alias("run"))))
+        places = F.filter(F.transform(F.array_sort(marks), lambda x, i: F.when(x["run"] == 2, i)), lambda i: i.isNotNull())
+        return F.transform(places, lambda i, j: i - j)
+    spread = F.zip_with(before("start"), before("end"), lambda lo, hi: F.struct(F.greatest(lo, F.lit(1)).alias("lo"), hi.alias("hi")))
+    return F.zip_with(runs, spread, lambda r, x: F.filter(F.slice(known, x["lo"], F.greatest(x["hi"] - x["lo"] + 1, F.lit(0))),
+                                                          lambda k: k["end"] > r["start"]))
+
+
+def _rests(runs: Column, kinds: list[Column]) -> Column:
+    """What base spans leave of each run, where it is long or odd enough to be judged."""
+    def pieces(r: Column, inside: Column) -> Column:
+        taken = F.flatten(F.transform(inside, lambda k: F.sequence(k["start"], k["end"] - 1)))
+        free = F.array_except(F.sequence(r["start"], r["end"] - 1), taken)
+        after = F.transform(free, lambda p: p + 1)
+        parts = F.zip_with(F.array_except(free, after), F.array_except(after, free), lambda lo, hi: F.struct(
+            lo.alias("start"), hi.alias("end"), F.substr(r["value"], lo - r["start"] + 1, hi - lo).alias("value")))
+        return F.filter(parts, lambda p: (F.char_length(p["value"]) >= LONG)
+                        | ((F.char_length(p["value"]) >= SHORT) & ~p["value"].rlike(WORDLIKE)))
+    touching = F.transform(F.arrays_zip(*[_touching(runs, k).alias(f"k{i}") for i, k in enumerate(kinds)]),
+                           lambda z: F.concat(*[z[f"k{i}"] for i in range(len(kinds))]))
+    cut = F.flatten(F.zip_with(runs, touching, lambda r, inside: F.when(F.size(inside) == 0, F.array(r)).otherwise(pieces(r, inside))))
+    return F.when(F.size(F.concat(*kinds)) == 0, runs).otherwise(cut)
+
+
+def _pair_counts(strings: DataFrame, limit: int, *place: str) -> dict[int, int]:
+    """Counts of character pairs in ``limit`` strings, chosen by their hash (with that
+    of their ``place``, where repeated strings count): a table of at most len(ALPHABET + 1) ** 2 rows."""
+    sample = bounded_sample(strings.select("s", *place), limit, "s", *place)
     rows = sample.select(F.explode(_pairs(F.col("s"))).alias("pair")).groupBy("pair").count().collect()
     return {r["pair"]: r["count"] for r in rows}
 
@@ -109,8 +170,8 @@ def train(docs: DataFrame, base: DataFrame, text_col: str = "text", id_col: str
     caught_here = F.lit(False)
     for pattern, _, _, test in KINDS.values():
         caught_here = caught_here | F.col("t").rlike(test)
-    words = texts.filter(~caught_here).select(F.explode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("s"))
-    ordinary = _pair_counts(words, sample_strings)
+    words = texts.filter(~caught_here).select("doc_id", F.posexplode(F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))).alias("place", "s"))
+    ordinary = _pair_counts(words, sample_strings, "doc_id", "place")
     size = len(ALPHABET) + 1
     return [a - b for a, b in zip(_log_transitions(random, size), _log_transitions(ordinary, size), strict=True)]
 
@@ -125,14 +186,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_ra
     array<struct<start, kind_no, end, kind>> sorted by start, then kind as listed."""
     base = saved(base_spans(docs, id_col, text_col), "base-spans")
     ratio = train(docs, base, text_col, id_col, **samples)
-    known = F.concat(*[F.col(k) for k in KINDS])
     if ratio is None:
         base = base.withColumn("random", F.array().cast("array<struct<start:int,end:int,value:string>>"))
     else:
         table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratio)), ",").cast("array<double>")   # folded to one literal
         score = lambda v: F.aggregate(_pairs(v), F.lit(0.0), lambda a, p: a + F.element_at(table, p + 1))
-        free = F.filter("runs", lambda r: ~F.exists(known, lambda k: (k["start"] < r["end"]) & (r["start"] < k["end"])))
-        judged = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["value"].alias("value"), score(r["value"]).alias("ratio")))
+        judged = F.transform(_rests(F.col("runs"), [F.col(k) for k in KINDS]), lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["value"].alias("value"), score(r["value"]).alias("ratio")))
         random = F.filter(judged, lambda r: (r["ratio"] >= min_ratio) & (r["ratio"] >= min_mean * (r["end"] - r["start"] - 1)))
         base = base.withColumn("random", F.transform(random, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["value"].alias("value"))))
     tagged = [_tagged(k, i) for i, k in enumerate(NAMES)]
