@@ -1,4 +1,6 @@
 import os
+import random
+import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -35,6 +37,21 @@ def test_fixed_decimals_round_binary_values(spark):
     assert out2[1].v == "2.67"                      # exact binary value is 2.67499999...
 
 
+def test_fixed_decimals_equal_printf(spark):
+    """Random doubles of every size, all ties of the fourth place in a range, and edges."""
+    r = random.Random(12)
+    vals = [r.choice([-1, 1]) * r.random() * 10.0 ** r.randint(-12, 30) for _ in range(100_000)]
+    vals += [struct.unpack("d", r.randbytes(8))[0] for _ in range(100_000)]
+    vals += [sign * k / 32 for k in range(20_000) for sign in (1, -1)]                # 1/32 = 0.03125
+    vals += [0.0, -0.0, -0.00001, 0.99995, 9.99995, 5e-324, 2.0**62, 2.0**63, 2.0**124, 1e16 + 2, float("inf"), float("-inf")]
+    vals = [v for v in vals if v == v and (abs(v) < 2.0**125 or abs(v) == float("inf"))]
+    df = spark.createDataFrame(pd.DataFrame({"v": vals}))
+    for decimals in (4, 1, 9):
+        out = df.select("v", sinks.fixed_text(F.col("v"), decimals).alias("t"))
+        assert [x for x in out.toPandas().itertuples(index=False) if x.t != f"{x.v:.{decimals}f}"] == []
+    assert "Python" not in out._jdf.queryExecution().toString()
+
+
 def test_segments_round_trip_and_template(spark):
     df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(30)], "row_id long, meter int, v double")
     path = sinks.write_segments(df, scratch_path(spark, "seg-test"), "meter")
