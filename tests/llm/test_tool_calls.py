@@ -59,6 +59,8 @@ def test_links_order_and_records(spark):
     ("summarise", '{"text": "", "max_words": 1, "ratio": 0.5}', []),
     ("translate", '{"text": "t", "target": "en", "options": []}', ["type:options"]),
     ("translate", '{"text": "t", "target": "en", "options": {}}', []),
+    ("search", '{"query": "q", "limit": 12345678901234567890}', []), ("search", '{"query": "q", "limit": 100000000000000000000}', []),
+    ("search", '{"query": "q", "limit": 1e3}', ["type:limit"]),
     ("nothing", '{}', ["tool:unknown"]), (None, '{}', ["tool:unknown"]),
     ("search", None, ["arguments:malformed"]), ("search", "[1]", ["arguments:malformed"]), ("search", "{", ["arguments:malformed"]),
     ("search", '{"query": "q", "query": "r", "limit": 1}', ["arguments:malformed"]),
@@ -86,6 +88,64 @@ def test_order_respects_references_in_random_transcripts(spark, monkeypatch):
         assert all(got[conv, j].seq < got[conv, i].seq for j in needs)
 
 
+def test_ids_that_are_missing_are_rows_of_their_own(spark):
+    rows = [("c", 0, "assistant", None, [call(None), call("a"), call(None, name="none")], None), ("c", 1, "tool", "lost", [], None),
+            ("c", 1, "tool", "lost", [], None), ("c", 2, "tool", "got", [], "a"), ("c", None, "user", "no result", [], None),
+            (None, None, "assistant", None, [call(None, after=["a", None])], None)]
+    got = T.format_tool_calls(spark.createDataFrame(rows, SCHEMA)).collect()
+    key = lambda r: (r.conv or "", r.turn if r.turn is not None else -1, r.idx, r.n_calls, r.n_results, tuple(r.errors), r.seq)
+    assert sorted(map(key, (r for r in got if r.id is None))) == sorted([
+        ("c", 0, 0, 1, 0, ("id:missing",), None), ("c", 0, 2, 1, 0, ("id:missing", "tool:unknown"), None),
+        ("c", 1, 0, 0, 1, ("id:missing", "call:missing"), None), ("c", 1, 0, 0, 1, ("id:missing", "call:missing"), None),
+        ("", -1, 0, 1, 0, ("id:missing",), None)])
+    assert [(r.id, r.linked, r.seq) for r in got if r.id] == [("a", True, 0)]
+    assert [json.loads(r.json)["result"] for r in got if r.errors[1:] == ["call:missing"]] == ["lost", "lost"]
+
+
+def plain_transcripts(talk):
+    """(conv, id, seq) and linked of every call and result, one conversation at a time in plain Python."""
+    out = []
+    for conv in {c for c, *_ in talk}:
+        calls, results = {}, {}
+        for _, turn, role, text in sorted((x for x in talk if x[0] == conv and x[1] is not None), key=lambda x: x[1]):
+            n = len(text or "")
+            if role == "user":
+                back = [turn + 2] if n % 11 == 0 else [turn - 2, turn - 4] if n % 3 == 0 else []
+                calls[turn] = back
+            elif role == "assistant":
+                results[turn - 1] = turn
+        out += [(conv, None, None, False)] * sum(1 for x in talk if x[0] == conv and x[1] is None and x[2] in ("user", "assistant"))
+        wave, left = {}, dict(calls)
+        known = {t: [b for b in back if b in calls and b != t] for t, back in calls.items()}
+        moved = {t for t in calls if any(b > t for b in known[t])}
+        while (more := {t for t in calls if t not in moved and any(b in moved for b in known[t])}):
+            moved |= more
+        wave = {t: 0 for t in calls if t not in moved}
+        left, w = set(moved), 0
+        while left:
+            w += 1
+            free = {t for t in left if not any(b in left for b in known[t])}
+            if not free:
+                break
+            wave |= dict.fromkeys(free, w)
+            left -= free
+        rows = [(wave[t], t, f"call-{t}") for t in wave] + [(0, turn, f"call-{t}") for t, turn in results.items() if t not in calls]
+        seq = {i: n for n, (_, _, i) in enumerate(sorted(rows))}
+        for t in calls.keys() | results.keys():
+            out.append((conv, f"call-{t}", seq.get(f"call-{t}"), t in calls and t in results))
+    return out
+
+
+def test_transcripts_equal_a_plain_version(spark):
+    r = random.Random(5)
+    talk = [(str(c), t if r.random() > 0.05 else None, r.choice(["user", "user", "assistant", "system"]), "x" * r.randint(0, 40))
+            for c in range(30) for t in range(r.randint(0, 12))]
+    df = spark.createDataFrame(talk, "conv_id string, turn long, role string, text string")
+    got = [(x.conv, x.id, x.seq, x.linked) for x in T.format_tool_calls(T.transcripts(df)).collect()]
+    order = lambda x: tuple(str(v) for v in x)
+    assert sorted(got, key=order) == sorted(plain_transcripts(talk), key=order)
+
+
 def test_transcripts_and_empty_tables(spark):
     talk = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", 'say "x"\n'), (1, 2, "assistant", "ok"), (1, 3, "user", None), (2, 0, "user", "u")],
                                  "conv_id long, turn long, role string, text string").withColumn("calls", F.lit(1))

@@ -17,9 +17,13 @@ groups, so a huge conversation is not sorted in one task.
 
 Defined cases: a result without a call and a call without a result are kept and marked;
 of calls (or results) with the same id in a conversation the first counts, the number is
-reported; null or malformed arguments are invalid; a reference to an unknown id, or of a
+reported; a call without an id and a result that names no call (role ``tool``) are rows
+of their own, tagged ``id:missing``, never linked and without a place in the order, since
+no reference can name them; null or malformed arguments are invalid; a reference to an unknown id, or of a
 call to itself, is dropped from the order and reported; null conversation ids form one
-conversation; empty tables work; other columns are ignored.
+conversation; empty tables work; other columns are ignored.  An integer is a number
+without a fraction, of up to 38 digits and without an exponent; numbers beyond that are
+of type number.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ STRETCH = 1 << 16
 
 def _json_type(v: Column) -> Column:
     s = F.schema_of_variant(v)
-    return (F.when(s == "BIGINT", "integer").when(s.startswith("DECIMAL") | (s == "DOUBLE"), "number")
+    whole = s.startswith("DECIMAL") & F.to_json(v).rlike("^-?[0-9]+$")       # also beyond 64 bits
+    return (F.when((s == "BIGINT") | whole, "integer").when(s.startswith("DECIMAL") | (s == "DOUBLE"), "number")
             .when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object")
             .when(s.startswith("ARRAY"), "array").otherwise("null"))
 
@@ -104,15 +109,30 @@ def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("i")), "left_anti")
 
 
+def _nameless(calls: DataFrame, messages: DataFrame, schemas: dict) -> DataFrame:
+    """Rows of the calls without an id and of the results that name no call."""
+    missing = F.array(F.lit("id:missing"))
+    count = lambda n: F.lit(n).cast("long")
+    same = lambda name, idx: [F.col("conv"), F.lit(None).cast("string").alias("id"), F.col("turn"), idx.cast("int").alias("idx"),
+                              *[count(int(x == name)).alias(x) for x in ("n_calls", "n_results")], F.lit(False).alias("linked")]
+    a = calls.filter("id IS NULL").select(*same("n_calls", F.col("idx")), F.concat(missing, argument_errors(F.col("name"), F.col("arguments"), schemas)).alias("errors"),
+                                          "name", "arguments")
+    r = messages.filter("role = 'tool' AND result_for IS NULL").withColumn("conv", F.col("conv").cast("string")).withColumn("turn", F.col("turn").cast("long"))
+    r = r.select(*same("n_results", F.lit(0)), F.concat(missing, F.array(F.lit("call:missing"))).alias("errors"), F.col("content").alias("result"))
+    return a.unionByName(r, allowMissingColumns=True)
+
+
 def format_tool_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """One row per call id (and per result without a call) from messages (conv string,
+    """One row per call id (and per result without a call, and per call or result
+    without an id) from messages (conv string,
     turn long, role string, content string, calls array<struct<id, name, arguments, after
     array<string>>>, result_for string): conv, id, turn, idx, wave, seq (place in the
     conversation's order, from 0; null if it has none), n_calls, n_results, linked, errors and json."""
     key = ["conv", "id"]
-    each = (messages.select(F.col("conv").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), F.posexplode("calls").alias("idx", "call"))
-            .select("conv", "turn", "idx", F.col("call.id").alias("id"), "call.name", "call.arguments",
-                    F.coalesce("call.after", F.array().cast("array<string>")).alias("after")).filter("id IS NOT NULL"))
+    every = (messages.select(F.col("conv").cast("string").alias("conv"), F.col("turn").cast("long").alias("turn"), F.posexplode("calls").alias("idx", "call"))
+             .select("conv", "turn", "idx", F.col("call.id").alias("id"), "call.name", "call.arguments",
+                     F.coalesce("call.after", F.array().cast("array<string>")).alias("after")))
+    each = every.filter("id IS NOT NULL")
     calls = (each.groupBy(*key).agg(F.min(F.struct(F.col("turn").isNull(), "turn", "idx", "name", "arguments", "after")).alias("c"), F.count("*").alias("n_calls"))
              .select(*key, "n_calls", *[F.col(f"c.{x}") for x in ("turn", "idx", "name", "arguments", "after")]))
     calls = calls.withColumn("refs", F.array_remove(F.array_distinct(F.array_compact("after")), F.col("id")))
@@ -151,6 +171,7 @@ def format_tool_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame
     rank = F.row_number().over(Window.partitionBy(*group).orderBy("turn", "idx", "id")) - 1
     placed = placed.withColumn("rank", rank).join(per, same).withColumn("seq", (F.col("rank") + F.col("before")).cast("long"))
     out = placed.select(*both.columns, "seq").unionByName(both.filter("wave IS NULL").withColumn("seq", F.lit(None).cast("long")))
+    out = out.unionByName(_nameless(every, messages, schemas), allowMissingColumns=True)
     # arguments that parse go in as JSON, others as the text that was given
     record = F.to_json(F.struct("id", "name", F.when(F.try_parse_json("arguments").isNull(), F.col("arguments")).alias("raw_arguments"),
                                 F.try_parse_json("arguments").alias("arguments"), "result", "errors", "seq"))
@@ -158,8 +179,8 @@ def format_tool_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """``conversations`` read as tool use: a user turn is a call, the turn after it the
-    call's result.  Tool, arguments and references follow from the text, so that every
+    """``conversations`` read as tool use: a user turn is a call, an assistant's turn is
+    the result (role ``tool``) of the turn before it; without a turn number neither has an id.  Tool, arguments and references follow from the text, so that every
     kind of case occurs: missing, mistyped and unknown arguments, malformed JSON,
     references that point back and forward, calls without a result."""
     n = F.char_length(F.coalesce("text", F.lit("")))
@@ -178,6 +199,7 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     call = F.struct(name_of(F.col("turn")).alias("id"), name.alias("name"), fields.alias("arguments"), after.alias("after"))
     is_call = F.col("role") == "user"
     none = F.array().cast("array<struct<id:string,name:string,arguments:string,after:array<string>>>")
-    return conversations.select(F.col("conv_id").cast("string").alias("conv"), "turn", "role", F.col("text").alias("content"),
+    role = F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role")
+    return conversations.select(F.col("conv_id").cast("string").alias("conv"), "turn", role, F.col("text").alias("content"),
                                 F.when(is_call, F.array(call)).otherwise(none).alias("calls"),
                                 F.when(F.col("role") == "assistant", name_of(F.col("turn") - 1)).alias("result_for"))
