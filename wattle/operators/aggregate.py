@@ -76,6 +76,7 @@ def profile_full(df: DataFrame, keys: list[str], col: str, prefix: str | None =
                              *[F.col("__q")[i].cast("double").alias(f"{p}_{s}") for i, s in enumerate(wanted)])
     if "mad" not in stats:
         return first
+    first = write_table(first, "profile")       # both the deviations and the result read it
     if "mean" in stats:
         mad = mean_abs_dev(df, keys, col, f"{p}_mad", first.select(*keys, F.col(f"{p}_mean").alias("__mu")))
     else:

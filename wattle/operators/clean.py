@@ -63,6 +63,26 @@ def drop_bad_rows(df: DataFrame, bad: DataFrame, row_id: str = "row_id", pos: st
     return df.join(b, F.col(row_id) == F.col("__bad_pos"), "left_anti")
 
 
+def position_bitmap(bad: DataFrame, pos: str = "pos") -> DataFrame:
+    """The listed positions as a bitmap: (word, bits), one row per run of 64 positions that
+    holds any, with a bit for each.  Dense stretches of a list shrink 64-fold, and no row
+    is added where positions lie alone; repeated and null positions do no harm."""
+    p = F.col(pos).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))
+    return bad.filter(p.isNotNull()).groupBy(F.shiftright(p, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def drop_by_bitmap(df: DataFrame, bitmap: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Remove the rows whose position has its bit set in ``bitmap`` (see
+    :func:`position_bitmap`): a join on the word, then a test of the bit.  No hint: the
+    planner sizes the bitmap, which is aggregated before it is shuffled or broadcast."""
+    b = bitmap.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    p = F.col(row_id).cast("long")
+    j = df.join(b, F.shiftright(p, 6) == F.col("__word"), "left")
+    hit = F.getbit(F.col("__bits"), p.bitwiseAND(63).cast("int")) == 1
+    return j.filter(~F.coalesce(hit, F.lit(False))).select(*df.columns)
+
+
 def clip_negative(df: DataFrame, col: str, to: float = 0.0) -> DataFrame:
     """Overwrite negative values with ``to`` (NULL stays NULL)."""
     c = F.col(col)

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattle.functions import arith, calendar, target, weather
-from wattle.operators import aggregate, clean, encode, folds, joins, leafwise, model, project, score, search, setops
+from wattle.operators import aggregate, clean, encode, folds, joins, leafwise, model, profiles, project, score, search, setops
 from wattle.operators import timeseries as ts
 from wattle.plans import features
 from wattle.session import materialize, scratch_path, write_table
+from wattle.sources import arrow_files, bucketed, ordered, positions, readers, sinks
 from wattle.sources import driver_tables as dt
-from wattle.sources import positions, readers, sinks
 
 ND = 9
 KEYS = ["building_id", "meter", "timestamp"]
@@ -116,6 +116,32 @@ def q_sink_csv(s, d):
                                                    T.StructField("meter_reading", T.DoubleType())]))
 
 
+READINGS_SCHEMA = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("building_id", T.LongType()), T.StructField("meter", T.StringType()),
+                                T.StructField("timestamp", T.TimestampNTZType()), T.StructField("meter_reading", T.DoubleType())])
+
+
+def q_scan_csv(s, d):
+    """Readings as CSV files with text timestamps, scanned with the declared schema."""
+    r = _readings(s, d).select([f.name for f in READINGS_SCHEMA])
+    text = r.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return readers.read_csv(s, sinks.write_csv(text, scratch_path(s, "readings-csv")), READINGS_SCHEMA)
+
+
+def q_scan_feather(s, d):
+    """Readings as Arrow files, scanned, written as CSV and read back."""
+    r = arrow_files.read_arrow(s, arrow_files.write_arrow(_readings(s, d), scratch_path(s, "readings-arrow")), [f.name for f in READINGS_SCHEMA])
+    text = r.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return readers.read_csv(s, sinks.write_csv(text, scratch_path(s, "feather-csv")), READINGS_SCHEMA)
+
+
+def q_sink_ordered(s, d):
+    """Predictions as sorted CSV parts with one header; ``pos`` is a row's place in the parts."""
+    o = _oof(s, d).select("row_id", F.expm1("oof").alias("meter_reading"))
+    path = ordered.write_ordered(o, scratch_path(s, "ordered"), ["row_id"])
+    back = ordered.read_ordered(s, path, T.StructType([T.StructField("row_id", T.LongType()), T.StructField("meter_reading", T.DoubleType())]))
+    return positions.with_row_id(back, "pos")
+
+
 def q_segment_outputs(s, d):
     o = _oof(s, d).select("row_id", "meter", F.col("oof").alias("meter_reading_oof"))
     path = sinks.write_segments(o, scratch_path(s, "segments"), "meter")
@@ -149,6 +175,11 @@ def q_drop_bad_rows(s, d):
     return clean.drop_bad_rows(_readings(s, d), dt.bad_rows(s, d))
 
 
+def q_drop_bad_rows_bitmap(s, d):
+    """Bad rows as a bitmap of their positions, looked up by word."""
+    return clean.drop_by_bitmap(_readings(s, d), clean.position_bitmap(dt.bad_rows(s, d)))
+
+
 def q_clip_negative(s, d):
     return clean.clip_negative(_buildings(s, d), "square_feet").select("building_id", "square_feet")
 
@@ -209,6 +240,18 @@ def q_cast_flags(s, d):
 
 
 # ---------------------------------------------------------------- C: joins
+def _bucketed(s, df, name):
+    return bucketed.write_bucketed(df, ["building_id", "meter"], int(s.conf.get("spark.sql.shuffle.partitions")), name)
+
+
+def q_bucketed_truth(s, d):
+    """Truth join and profile of bucketed facts: neither shuffles them again."""
+    r = _bucketed(s, _readings(s, d).select(*KEYS, "row_id", "meter_reading"), "readings")
+    o = _bucketed(s, _oof(s, d).select(*KEYS, F.expm1("oof").alias("predicted")), "predictions")
+    keys = ["building_id", "meter"]
+    return joins.join_back(r.join(o, KEYS, "left"), aggregate.group_mean(r, keys, "meter_reading", "profile_mean"), keys)
+
+
 def q_join_building(s, d):
     return joins.join_building(_readings(s, d), features.building_features(_buildings(s, d)))
 
@@ -267,6 +310,12 @@ def q_profile_fold_safe(s, d):
                            ["building_id", "meter", "fold"]).drop("building_id", "meter")
 
 
+def q_profile_other_folds(s, d):
+    """Profiles of the other folds by merging states; groups here are small, so that the sketch holds their values."""
+    return profiles.profile_other_folds(_folded(s, d), ["building_id", "meter"], "meter_reading", "fold", 3,
+                                        ("count", "mean", "std", "min", "max", "ptp", "median"))
+
+
 def q_quantiles(s, d):
     return aggregate.quantiles(_readings(s, d), ["meter"], "meter_reading", (0.3, 0.8))
 
@@ -457,6 +506,11 @@ def q_folds_group(s, d):
     return folds.folds_group(r, 3, "third").select("row_id", "third", "fold")
 
 
+def q_folds_group_building(s, d):
+    """Group folds by building: many groups, dealt in runs of one size."""
+    return folds.folds_group(_readings(s, d), 3, "building_id").select("row_id", "building_id", "fold")
+
+
 def q_oof_group_mean(s, d):
     return _oof(s, d).select("row_id", "fold", "oof")
 

@@ -152,7 +152,8 @@ def site_training_frame(readings: DataFrame, buildings: DataFrame, weather: Data
     hours = [F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("weekday")]
     df = join_weather(join_building(readings, b, how="inner"), wi)
     df = drop_startup_outliers(df, **outlier)
-    df = df.select("*", log1p_safe("meter_reading").alias("log_meter_reading"), *hours)
+    # written once: the rows and both profiles read it, the profiles only their columns
+    df = write_table(df.select("*", log1p_safe("meter_reading").alias("log_meter_reading"), *hours), "site-rows")
     keys = ["building_id", "meter"]
     p1 = profile_mean_median(df, keys, "log_meter_reading", "building_meter")
     p2 = profile_mean_median(df, keys + ["hour"], "log_meter_reading", "building_meter_hour")

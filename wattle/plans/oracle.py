@@ -270,6 +270,12 @@ def build(holidays, params) -> dict[str, str]:
     q["preview"] = w(READINGS, "SELECT count(*) AS n_rows, 5 AS n_cols FROM readings", [])
     q["sink_fixed_decimals"] = w(OOF, "SELECT row_id, printf('%.4f', exp(oof) - 1) AS meter_reading FROM oof_t", [])
     q["sink_csv"] = w(OOF, "SELECT row_id, exp(oof) - 1 AS meter_reading FROM oof_t", ["meter_reading"])
+    q["scan_csv"] = q["scan_feather"] = w(READINGS, 'SELECT row_id, building_id, meter, "timestamp", meter_reading FROM readings', ["meter_reading"])
+    q["sink_ordered"] = w(OOF, """SELECT row_id, exp(oof) - 1 AS meter_reading, row_number() OVER (ORDER BY row_id) - 1 AS pos
+        FROM oof_t""", ["meter_reading"])
+    q["bucketed_truth"] = w(OOF, """SELECT r.building_id, r.meter, r."timestamp", r.row_id, r.meter_reading, exp(o.oof) - 1 AS predicted,
+        avg(r.meter_reading) OVER (PARTITION BY r.building_id, r.meter) AS profile_mean
+        FROM readings r LEFT JOIN oof_t o USING (building_id, meter, "timestamp")""", ["meter_reading", "predicted", "profile_mean"])
     q["segment_outputs"] = w(OOF, "SELECT row_id, meter, oof AS meter_reading_oof FROM oof_t",
                              ["meter_reading_oof"])
     q["align_to_template"] = w(OOF, """SELECT r.row_id, p.meter_reading FROM oof_t r
@@ -285,6 +291,7 @@ def build(holidays, params) -> dict[str, str]:
         AND "timestamp" < TIMESTAMP '{st['before']}', false)""", ["meter_reading"])
     q["drop_bad_rows"] = w(READINGS + ",\n" + BAD, """SELECT * FROM readings r
         WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.pos = r.row_id)""", ["meter_reading"])
+    q["drop_bad_rows_bitmap"] = q["drop_bad_rows"]
     q["clip_negative"] = w(BUILDINGS, """SELECT building_id,
         CASE WHEN square_feet < 0 THEN 0.0 ELSE square_feet END AS square_feet FROM buildings""", ["square_feet"])
     q["clip_zero"] = w(BUILDINGS, """SELECT building_id,
@@ -395,6 +402,12 @@ def build(holidays, params) -> dict[str, str]:
           FROM (SELECT DISTINCT fold FROM folded) f JOIN folded x ON x.fold <> f.fold
           GROUP BY 1, 2, 3) p ON p.building_id = a.building_id AND p.meter = a.meter AND p.fold = a.fold""",
                                ["meter_reading_mean", "meter_reading_median", "meter_reading_std"])
+    q["profile_other_folds"] = w(FOLDED, """SELECT building_id, meter, CAST(f.fold AS INTEGER) AS fold, count(meter_reading) AS meter_reading_count,
+        avg(meter_reading) AS meter_reading_mean, stddev_samp(meter_reading) AS meter_reading_std, min(meter_reading) AS meter_reading_min,
+        max(meter_reading) AS meter_reading_max, max(meter_reading) - min(meter_reading) AS meter_reading_ptp,
+        quantile_disc(meter_reading, 0.5) AS meter_reading_median
+        FROM folded r JOIN (SELECT unnest([0, 1, 2]) AS fold) f ON r.fold <> f.fold
+        GROUP BY building_id, meter, f.fold""", [f"meter_reading_{x}" for x in ("mean", "std", "min", "max", "ptp", "median")])
     q["quantiles"] = w(READINGS, """SELECT meter, quantile_cont(meter_reading, 0.3) AS q30,
         quantile_cont(meter_reading, 0.8) AS q80 FROM readings GROUP BY 1""", ["q30", "q80"])
     q["global_bounds"] = w(RAW_WEATHER, """SELECT first_ts, last_ts, date_diff('hour', first_ts, last_ts) + 1 AS total_hours
@@ -524,6 +537,17 @@ def build(holidays, params) -> dict[str, str]:
               FROM order_readings),
         f AS (SELECT third, CAST(row_number() OVER (ORDER BY n DESC, third DESC) - 1 AS INTEGER) AS fold
               FROM (SELECT third, count(*) AS n FROM t GROUP BY third))""", "SELECT row_id, third, fold FROM t JOIN f USING (third)", [])
+    q["folds_group_building"] = "WITH RECURSIVE " + READINGS + """,
+        s AS (SELECT building_id, n, row_number() OVER (ORDER BY n DESC, building_id DESC) AS i
+              FROM (SELECT building_id, count(*) AS n FROM readings GROUP BY building_id)),
+        g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS building_id, -1 AS fold,
+                     CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c
+              UNION ALL
+              SELECT i, building_id, f, a + CASE WHEN f = 0 THEN n ELSE 0 END, b + CASE WHEN f = 1 THEN n ELSE 0 END,
+                     c + CASE WHEN f = 2 THEN n ELSE 0 END
+              FROM (SELECT s.i, s.building_id, s.n, a, b, c, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END AS f
+                    FROM g JOIN s ON s.i = g.i + 1))
+        SELECT r.row_id, r.building_id, g.fold FROM readings r JOIN g USING (building_id)"""
     q["oof_group_mean"] = w(OOF, "SELECT row_id, fold, oof FROM oof_t", ["oof"])
     q["holdout_rmsle"] = w(OOF + f""",
         truth AS (
