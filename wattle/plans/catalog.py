@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattle.functions import arith, calendar, target, weather
-from wattle.operators import aggregate, clean, encode, folds, joins, leafwise, model, profiles, project, score, search, setops
+from wattle.operators import aggregate, blocks, clean, encode, folds, joins, leafwise, model, profiles, project, score, search, setops
 from wattle.operators import timeseries as ts
 from wattle.plans import features
 from wattle.session import materialize, scratch_path, write_table
@@ -400,6 +400,22 @@ def q_lead_features(s, d):
     return ts.lead_features(w, "air_temperature")
 
 
+#: hours in a block of the stand-in weather, which spans a month
+BLOCK = 24 * 7
+
+
+def q_interpolate_blocks(s, d):
+    return blocks.interpolate_blocks(_filled(s, d).select("site_id", "timestamp", *features.SITE_WEATHER), features.SITE_WEATHER, hours=BLOCK)
+
+
+def q_rolling_blocks(s, d):
+    return blocks.rolling_stats_blocks(_interpolated(s, d), features.SITE_WEATHER, 18, drop_source=True, hours=BLOCK)
+
+
+def q_lead_blocks(s, d):
+    return blocks.lead_features_blocks(_imputed(s, d).select("site_id", "timestamp", "air_temperature"), "air_temperature", hours=BLOCK)
+
+
 # ---------------------------------------------------------------- U / S: set ops, sort
 def q_union_by_name(s, d):
     r = _readings(s, d)

@@ -463,6 +463,8 @@ def build(holidays, params) -> dict[str, str]:
                            ["air_temperature", "air_temperature_lead1", "air_temperature_lead2",
                             "air_temperature_lead3"])
 
+    for by_site, by_block in (("interpolate_linear", "interpolate_blocks"), ("rolling_stats", "rolling_blocks"), ("lead_features", "lead_blocks")):
+        q[by_block] = q[by_site]
     q["union_by_name"] = w(READINGS + ",\n" + BAD, """
         SELECT * FROM readings r WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.pos = r.row_id)
         UNION ALL
