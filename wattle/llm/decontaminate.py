@@ -5,8 +5,9 @@ lower-cased.  A test window is ``n`` consecutive words of a benchmark item; an i
 fewer words, but not none, is one window.  The distinct windows form a table keyed by a
 64-bit hash that is broadcast when its counted size is within ``BROADCAST_WINDOWS``, and
 shuffled otherwise.  Every training text is scanned once: one row (row, place, hash) per
-word position and window length, without the text, is joined on the hash.  The hits of a
-row come back to its words in one join by row, where each is verified word by word.
+word position and window length, without the text, is joined on the hash.  The words of
+the rows with hits, and of no others, meet their hits in a join by row, where each is
+verified word by word.
 
 The scan hashes words lower-cased in full (fast), which can only add candidates; the
 verification lower-cases A-Z alone, as the rule says.
@@ -77,7 +78,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str
     windows = saved(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
     lens = sorted(r["len"] for r in windows.select("len").distinct().collect())      # n values at most
     small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
-    d = saved(docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w")), "words")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
+    d = saved(d.withColumn("n_words", F.size("w").cast("long")), "words")
     keys = _scan_keys(F.col("w"), lens) if lens else F.array().cast("array<bigint>")
     places = d.select("row", F.size("w").alias("n"), F.posexplode(keys).alias("p", "key"))
     t = windows.select(F.col("key").alias("t_key"), F.col("len").alias("t_len"), "window", "items")
@@ -90,10 +92,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str
         at = at + F.greatest(F.col("n") - ln + 1, F.lit(0))
     hit = hit.withColumn("begin", begin).withColumn("len", length).filter(F.col("len") == F.col("t_len"))
     hit = saved(hit.groupBy(F.col("row").alias("hit_row")).agg(F.collect_list(F.struct("begin", "len", "window", "items")).alias("met")), "hits")
-    # the written table of hits has a known size: the planner broadcasts it, or shuffles each text once
+    # only rows with hits take their words along: their numbers are a written table of known
+    # size, which the planner broadcasts, or shuffles each text once for beyond its threshold
+    rows = saved(hit.select("hit_row"), "hit-rows")
+    texts = d.join(rows, F.col("row") == F.col("hit_row"), "left_semi").select(F.col("row").alias("text_row"), "w")
     same = lambda x: F.translate(F.array_join(F.slice("w", x["begin"] + 1, x["len"]), " "), UPPER, LOWER) == x["window"]
-    found = F.coalesce(F.filter("met", same), F.array().cast(dict(hit.dtypes)["met"]))
-    per = d.join(hit, F.col("row") == F.col("hit_row"), "left").select("row", "doc_id", F.size("w").cast("long").alias("n_words"), found.alias("found"))
+    found = texts.join(hit, F.col("text_row") == F.col("hit_row")).select("text_row", F.filter("met", same).alias("found"))
+    none = F.array().cast(dict(found.dtypes)["found"])
+    per = (d.select("row", "doc_id", "n_words").join(found, F.col("row") == F.col("text_row"), "left")
+           .select("row", "doc_id", "n_words", F.coalesce("found", none).alias("found")))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["begin"], x["begin"] + x["len"] - 1)))))
     per = per.withColumn("covered", covered)
     after = F.transform("covered", lambda p: p + 1)
