@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 import random
+from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -179,3 +181,43 @@ def test_proposals_find_the_minimum():
     blind = min(error(search.to_point(x, ranges)) for x in r.random((24, 3)))
     assert guided < start / 4 and guided < blind
     assert len({tuple(p.values()) for p in search.propose(trials, ranges, 4, 7, 30)}) == 4
+
+
+def test_leaf_of_some_rows_either_way(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 31                                                      # node i has the children 2 i + 1 and 2 i + 2
+    at = np.arange(n, dtype=np.int32)
+    inner = at < 15
+    tree = flat_trees.Tree(np.where(inner, rng.integers(0, 3, n), -1).astype(np.int32), rng.integers(0, 256, (n, 32)).astype(np.uint8),
+                           np.where(inner, 2 * at + 1, 0).astype(np.int32), np.where(inner, 2 * at + 2, 0).astype(np.int32), np.zeros(n), np.zeros(n))
+    codes = rng.integers(0, 256, (3, 4000)).astype(np.uint8)
+
+    def leaf(x):
+        i = 0
+        while tree.feature[i] >= 0:
+            c = x[tree.feature[i]]
+            i = tree.left[i] if tree.goes_left[i, c >> 3] >> (c & 7) & 1 else tree.right[i]
+        return i
+
+    want = np.array([leaf(x) for x in codes.T.tolist()])
+    rows = np.flatnonzero(rng.random(4000) < 0.3)
+    for bound in (1, 10**9):
+        monkeypatch.setattr(flat_trees, "ROWS_PER_SPLIT", bound)
+        assert (tree.leaf_of(codes) == want).all() and (tree.leaf_of(codes, rows) == want[rows]).all()
+        assert len(tree.leaf_of(codes, rows[:0])) == 0
+
+
+def test_guided_search_packs_its_rows_once(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, float(a), float(a > 0.5) + float(b) / 10) for i, (a, b) in enumerate(rng.random((200, 2)))]
+    df = spark.createDataFrame(rows, "row_id long, fold int, a double, y double")
+    packed, pack = [], search.pack
+    monkeypatch.setattr(search, "pack", lambda *a, **k: packed.append(pack(*a, **k)) or packed[-1])
+    ranges, known = {"num_leaves": (2, 6), "lambda_l2": (0.1, 2.0)}, {"num_leaves": 4, "lambda_l2": 1.0}
+    base = leafwise.LeafwiseParams(n_rounds=2, min_data_in_leaf=5, learning_rate=0.5)
+    trials = search.guided_search(df, ["a"], "y", "fold", str(tmp_path / "trials"), base, ranges, known, 1, 2).orderBy("trial").collect()
+    assert len(trials) == 4 and len(packed) == 1
+    assert not list(Path(packed[0].path.removeprefix("file:")).glob("*"))
+    for t in trials:                                            # the same as a fleet on blocks of its own
+        own = leafwise.train_fleet(df, ["a"], "y", fold="fold", params=[replace(base, num_leaves=int(t.num_leaves), lambda_l2=t.lambda_l2)])
+        assert abs(np.mean([min(m.history) for m in own.models.values()]) - t.rmse) < 1e-12
