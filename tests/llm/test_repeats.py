@@ -122,3 +122,33 @@ def test_contexts_are_counted_for_hot_anchors(frame, passages):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_bytes(list(enumerate(passages)))
     got = substring_dedup(frame(passages), chunk_bytes=3000, bucket_bytes=500, hot_contexts=1).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_words(list(enumerate(passages)))
+
+
+@pytest.mark.parametrize("op,brute", [(suffix_dedup, brute_bytes), (substring_dedup, brute_words)])
+def test_a_chunk_sends_a_blob_for_a_group_of_buckets(frame, passages, monkeypatch, op, brute):
+    """Many buckets in two groups: two blobs at most from each chunk, same results."""
+    from wattle.llm import repeats
+    monkeypatch.setattr(repeats, "GROUPS", 2, raising=False)
+    written, saved = {}, repeats.saved
+    monkeypatch.setattr(repeats, "saved", lambda df, name: written.setdefault(name, saved(df, name)))
+    got = op(frame(passages), chunk_bytes=3000, bucket_bytes=200).collect()
+    assert sorted((*r[:-1], bytes(r.kept) if op is suffix_dedup else r.kept) for r in got) == brute(list(enumerate(passages)))
+    assert 0 < written["anchors"].count() <= 2 * written["chunks"].count()
+    assert repeats.deal(100 << 30, repeats.BUCKET_BYTES).groups < (100 << 30) // (16 << 20)
+
+
+def test_suffix_arrays_hold_repeated_stretches_only(monkeypatch):
+    from wattle.llm import suffix_dedup as S
+    r = np.random.default_rng(3)
+    once = [bytes(r.integers(97, 123, 200, np.uint8)) for _ in range(50)]
+    texts = [*once, once[7][20:100] + b"!", b"?" + once[7][10:90], bytes(60)]
+    bucket = Bucket(texts, np.array([len(t) - 49 for t in texts]), np.arange(len(texts))[::-1].copy(), np.zeros(len(texts), np.int64))
+    seen, make = [], S.suffix_array
+    monkeypatch.setattr(S, "suffix_array", lambda data: seen.append(len(data)) or make(data))
+    key, start = S.least_documents(bucket)
+    least = {}
+    for t, k in zip(texts, bucket.doc_key.tolist(), strict=True):
+        for p in range(len(t) - 49):
+            least[t[p:p + 50]] = min(least.get(t[p:p + 50], k), k)
+    assert key.tolist() == [least[t[p:p + 50]] for t in texts for p in range(len(t) - 49)]
+    assert not start.any() and 0 < sum(seen) < 400
