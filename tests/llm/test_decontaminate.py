@@ -102,3 +102,24 @@ def test_empty_tables_and_repeated_rows(spark, frame):
     assert [r.n_hit for r in matches(df, bench.limit(0)).collect()] == [0, 0]
     assert matches(df.limit(0), bench).collect() == []
     assert decontaminate(df.limit(0), bench).collect() == []
+
+
+def test_hits_are_not_broadcast_by_the_size_of_their_file(spark, frame):
+    """Hits of few windows are a small file however many they are: no join takes them to the driver."""
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
+    docs = frame([" ".join(f"w{i}" for i in range(40))] * 50 + ["nothing here"])
+    out = matches(docs, bench)
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not [x for x in joins if "BroadcastHashJoin" in x and "LeftSemi" not in x]
+    assert sorted(r.n_hit for r in out.collect()) == [0] + [40] * 50
+
+
+def test_windows_of_many_items_are_not_broadcast(spark, frame, monkeypatch):
+    from wattle.llm import decontaminate as D
+    bench = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(20))) for i in range(300)], "item_id long, text string")
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 10_000, raising=False)
+    plans, saved = {}, D.saved
+    monkeypatch.setattr(D, "saved", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and saved(df, name))
+    (row,) = matches(frame([" ".join(f"w{j}" for j in range(20))]), bench).collect()
+    assert "Broadcast" not in plans["hits"]
+    assert row.n_hit == 20 and len(row["items"]) == 300

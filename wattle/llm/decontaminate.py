@@ -3,11 +3,12 @@
 Words are runs of ASCII letters and digits and of non-ASCII characters, with A-Z
 lower-cased.  A test window is ``n`` consecutive words of a benchmark item; an item of
 fewer words, but not none, is one window.  The distinct windows form a table keyed by a
-64-bit hash that is broadcast when its counted size is within ``BROADCAST_WINDOWS``, and
-shuffled otherwise.  Every training text is scanned once: one row (row, place, hash) per
+64-bit hash that is broadcast when its counted size is within ``BROADCAST_WINDOWS`` and
+``BROADCAST_BYTES``, and shuffled otherwise.  Every training text is scanned once: one row (row, place, hash) per
 word position and window length, without the text, is joined on the hash.  The words of
 the rows with hits, and of no others, meet their hits in a join by row, where each is
-verified word by word.
+verified word by word.  Hits repeat the windows' texts: their file is a hundredth of what
+they are in memory, so they are never left to the planner's size check, but always shuffled.
 
 The scan hashes words lower-cased in full (fast), which can only add candidates; the
 verification lower-cases A-Z alone, as the rule says.
@@ -32,6 +33,10 @@ N_WORDS = 13
 SHARE = 20
 #: distinct test windows that are broadcast (about 200 bytes each); beyond, they are shuffled
 BROADCAST_WINDOWS = 100_000
+#: bytes of windows and their items in memory beyond which they are shuffled in any case
+BROADCAST_BYTES = 64 << 20
+#: numbers of rows with hits beyond which they are shuffled
+BROADCAST_ROWS = 1 << 20
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -71,19 +76,28 @@ def benchmark_windows(benchmark: DataFrame, n: int = N_WORDS, item_col: str = "i
             .groupBy("key", "len", "window").agg(F.collect_set("item").alias("items")))
 
 
+def _held(windows: DataFrame) -> tuple[int, int]:
+    """(windows, about their bytes in memory); the file of a table does not tell the latter."""
+    items = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 24)
+    n, size = windows.agg(F.count("*"), F.sum(F.octet_length("window") + items + 100)).first()
+    return n, size or 0
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, items (ids as sorted strings), spans
     (merged hit word ranges, end exclusive) and contaminated."""
     windows = saved(benchmark_windows(benchmark, n, item_col, item_text_col), "windows")
     lens = sorted(r["len"] for r in windows.select("len").distinct().collect())      # n values at most
-    small = windows.limit(broadcast_windows + 1).count() <= broadcast_windows
+    n_windows, held = _held(windows)
+    few = n_windows <= broadcast_windows and held <= BROADCAST_BYTES
     d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
     d = saved(d.withColumn("n_words", F.size("w").cast("long")), "words")
     keys = _scan_keys(F.col("w"), lens) if lens else F.array().cast("array<bigint>")
     places = d.select("row", F.size("w").alias("n"), F.posexplode(keys).alias("p", "key"))
     t = windows.select(F.col("key").alias("t_key"), F.col("len").alias("t_len"), "window", "items")
-    hit = places.join(F.broadcast(t) if small else t, F.col("key") == F.col("t_key"))
+    t = F.broadcast(t) if few else t.hint("merge") if held > BROADCAST_BYTES else t
+    hit = places.join(t, F.col("key") == F.col("t_key"))
     # place in the list of hashes -> window length and first word
     begin, length, at = F.lit(0), F.lit(0), F.lit(0)
     for ln in lens:
@@ -95,11 +109,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N_WORDS, id_col: str
     # only rows with hits take their words along: their numbers are a written table of known
     # size, which the planner broadcasts, or shuffles each text once for beyond its threshold
     rows = saved(hit.select("hit_row"), "hit-rows")
+    rows = rows if rows.count() <= BROADCAST_ROWS else rows.hint("merge")
     texts = d.join(rows, F.col("row") == F.col("hit_row"), "left_semi").select(F.col("row").alias("text_row"), "w")
     same = lambda x: F.translate(F.array_join(F.slice("w", x["begin"] + 1, x["len"]), " "), UPPER, LOWER) == x["window"]
-    found = texts.join(hit, F.col("text_row") == F.col("hit_row")).select("text_row", F.filter("met", same).alias("found"))
+    found = texts.join(hit.hint("merge"), F.col("text_row") == F.col("hit_row")).select("text_row", F.filter("met", same).alias("found"))
     none = F.array().cast(dict(found.dtypes)["found"])
-    per = (d.select("row", "doc_id", "n_words").join(found, F.col("row") == F.col("text_row"), "left")
+    per = (d.select("row", "doc_id", "n_words").join(found.hint("merge"), F.col("row") == F.col("text_row"), "left")
            .select("row", "doc_id", "n_words", F.coalesce("found", none).alias("found")))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["begin"], x["begin"] + x["len"] - 1)))))
     per = per.withColumn("covered", covered)
